@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hours_between, json_text, slice_index
 from ..functions.time import Moment, timestamp_literal
-from .pivot import StageSpec, any_stage, has, joined_entity, mask_of
+from .pivot import StageSpec, any_stage, has, member_mask
 
 DONE = 99
 
@@ -22,37 +22,31 @@ def anchored_first_times(
     "First at or after the anchor" cannot be merged from partial results until the anchor is known. The
     anchor's slice of the clock is the only one where single rows matter: later slices count whole,
     earlier ones not at all. So raw rows meet only inside (entity, slice), and an entity is put together
-    from one row per slice.
+    from a few rows per slice, one for each set of stages that occurs in it.
     """
-    conditions = [anchor, *[joined_entity(s.matches()) for s in stages]]
     marked = (
-        rows.select("entity", "event_time", mask_of(conditions).alias("mask"))
+        rows.select("entity", "event_time", member_mask(anchor, [s.matches() for s in stages]).alias("mask"))
         .filter(F.col("mask") != 0)
         .withColumn("slice", slice_index(F.col("event_time"), slice_minutes))
-        .withColumn("anchor_time", F.when(has(F.col("mask"), 0), F.col("event_time")))
-        .withColumn("in_slice", F.min("anchor_time").over(Window.partitionBy("entity", "slice")))
+        .withColumn("in_slice", F.min(_anchor_time()).over(Window.partitionBy("entity", "slice")))
     )
-    time, late = F.col("event_time"), F.col("event_time") >= F.col("in_slice")
-    per_slice = marked.groupBy("entity", "slice").agg(
-        F.min("anchor_time").alias("anchor_time"),
-        *[F.min(F.when(has(F.col("mask"), i + 1), time)).alias(f"all_{i}") for i in range(len(stages))],
-        *[F.min(F.when(has(F.col("mask"), i + 1) & late, time)).alias(f"late_{i}") for i in range(len(stages))],
-    )
-    joined = per_slice.withColumn("booking_time", F.min("anchor_time").over(Window.partitionBy("entity")))
+    late = F.coalesce(F.col("event_time") >= F.col("in_slice"), F.lit(False))
+    per_slice = marked.groupBy("entity", "slice", "mask", late.alias("late")).agg(F.min("event_time").alias("event_time"))
+    joined = per_slice.withColumn("booking_time", F.min(_anchor_time()).over(Window.partitionBy("entity")))
     first_slice = slice_index(F.col("booking_time"), slice_minutes)
-    return (
-        joined.filter(F.col("slice") >= first_slice)
-        .groupBy("entity")
-        .agg(
-            F.min("booking_time").alias("booking_time"),
-            *[
-                F.min(F.when(F.col("slice") == first_slice, F.col(f"late_{i}")).otherwise(F.col(f"all_{i}"))).alias(s.name)
-                for i, s in enumerate(stages)
-            ],
-        )
+    counted = joined.filter((F.col("slice") > first_slice) | ((F.col("slice") == first_slice) & F.col("late")))
+    return counted.groupBy("entity").agg(
+        F.min("booking_time").alias("booking_time"),
+        *[
+            F.min(F.when(has(F.col("mask"), i), F.col("event_time"))).alias(s.name) for i, s in enumerate(stages, 1)
+        ],
     )
 
 
+def _anchor_time() -> Column:
+    return F.when(has(F.col("mask"), 0), F.col("event_time"))
+
+
 def stage_first_times(
     cohort: DataFrame | StageSpec, events: DataFrame, stages: Sequence[StageSpec], slice_minutes: int = 60
 ) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -18,8 +17,8 @@ from .pivot import (
     bit,
     entity_masks,
     has,
-    joined_entity,
     mask_of,
+    member_mask,
 )
 
 
@@ -43,7 +42,7 @@ def reach_funnel(
     ``cutoff`` adds the maturity date as ``post_end_date``. Sums over an empty cohort are NULL.
     """
     rows, member = _with_cohort(cohort, events, stages)
-    masks = entity_masks(rows, [member, *[joined_entity(s.matches()) for s in stages]])
+    masks = entity_masks(rows, member_mask(member, [s.matches() for s in stages]))
     extra = [] if cutoff is None else [F.lit(cutoff).alias("post_end_date")]
     totals = (
         masks.filter(has(F.col("mask"), 0))
@@ -75,7 +74,9 @@ def period_stage_distincts(
         else:
             rows = rows.unionByName(as_members(cohort, f"cohort {i}"))
             members.append(F.col("source") == f"cohort {i}")
-    masks = entity_masks(rows.filter(F.col("entity").isNotNull()), [*members, *[s.matches() for s in stages]])
+    masks = entity_masks(
+        rows.filter(F.col("entity").isNotNull()), mask_of([*members, *[s.matches() for s in stages]])
+    )
     mask = F.col("mask")
     counts = masks.agg(
         *[
@@ -114,7 +115,7 @@ def cohort_flag_cooccurrence(
         rows, member = log.filter(in_window).unionByName(as_members(cohort)), F.col("source") == "cohort"
     masks = entity_masks(
         rows.filter(F.col("entity").isNotNull()),
-        [member, in_window, *[in_window & s.matches() for s in stages]],
+        mask_of([member, in_window, *[in_window & s.matches() for s in stages]]),
     ).filter(has(F.col("mask"), 0) & has(F.col("mask"), 1))
     flags = {s.name: bit(F.col("mask"), i + 2) for i, s in enumerate(stages)}
     others = F.greatest(F.lit(0).cast("bigint"), *[f for n, f in flags.items() if n != click])
@@ -214,8 +215,3 @@ def overall_mixed_funnel(
         *[F.count_if(has(F.col("mask"), i)).alias(s.name) for i, s in enumerate(unordered)],
         *[F.count_if(test).alias(start_name if n == "gs_time" else n) for n, test in reached.items()],
     )
-
-
-def within(stages: Sequence[StageSpec], window: TimeWindow) -> list[StageSpec]:
-    """The same stages, each limited to the window."""
-    return [replace(s, window=window) for s in stages]

@@ -48,8 +48,13 @@ def _on_timeline(
         no_time.alias("end_time"),
         *carried,
     )
+    # At one instant bookings come before events, and of equal bookings the one that lasts comes last.
     placed = carry_forward(
-        starts.unionByName(happened), keys, "event_time", F.col("is_event"), ["booking_time", "end_time"], slice_minutes
+        starts.unionByName(happened),
+        keys,
+        ["event_time", "is_event", "end_time"],
+        ["booking_time", "end_time"],
+        slice_minutes,
     )
     return placed.filter((F.col("is_event") == 0) | (F.col("event_time") < F.col("end_time")))
 
@@ -60,21 +65,23 @@ def interval_attribution(
     """Each event with the booking whose interval holds it; ``left`` keeps bookings without events."""
     if how not in ("left", "inner"):
         raise ValueError(f"how must be 'left' or 'inner', not {how!r}")
-    matched = _on_timeline(intervals, events, ["entity"], ["event_name", "payload"], slice_minutes).filter(
-        F.col("is_event") == 1
+    placed = _on_timeline(intervals, events, ["entity"], ["event_name", "payload"], slice_minutes)
+    found = placed.filter(F.col("is_event") == 1).select(
+        "entity", "booking_time", "event_name", "event_time", "payload"
     )
-    found = matched.select("entity", "booking_time", "event_name", "event_time", "payload")
     if how == "inner":
         return found
-    taken = matched.select("entity", "booking_time", "end_time").distinct()
+    no_time = F.lit(None).cast("timestamp_ntz")
     idle = (
-        intervals.withColumn("end_time", F.coalesce("next_booking_time", timestamp_literal(OPEN_END)))
-        .join(taken, ["entity", "booking_time", "end_time"], "left_anti")
+        placed.groupBy("entity", "booking_time", "end_time")
+        .agg(F.max("is_event").alias("used"), F.count_if(F.col("is_event") == 0).alias("copies"))
+        .filter(F.col("used") == 0)
+        .select("entity", "booking_time", F.explode(F.sequence(F.lit(1), F.col("copies"))))
         .select(
             "entity",
             "booking_time",
             F.lit(None).cast("string").alias("event_name"),
-            F.lit(None).cast("timestamp_ntz").alias("event_time"),
+            no_time.alias("event_time"),
             F.lit(None).cast("string").alias("payload"),
         )
     )

@@ -36,45 +36,66 @@ class StageSpec:
 
     def coarse(self) -> Column:
         """The part of the test a Parquet reader can evaluate."""
-        tests = [F.col("event_name").isin(*self.events)]
-        if self.source is not None:
-            tests.append(F.col("source") == self.source)
-        if self.window is not None:
-            tests.append(self.window.contains(F.col("event_time")))
-        if self.key_floor is not None:
-            tests.append(F.col("entity") >= self.key_floor)
-        return reduce(lambda a, b: a & b, tests)
+        return _coarse(self.events, self.source, self.window, self.key_floor)
 
     def matches(self) -> Column:
         return self.coarse() if self.where is None else self.coarse() & self.where(F.col("payload"))
 
 
+def _coarse(
+    events: Sequence[str], source: str | None, window: TimeWindow | None, key_floor: str | None = None
+) -> Column:
+    name = F.col("event_name")
+    tests = [name == events[0] if len(events) == 1 else name.isin(*events)]
+    if source is not None:
+        tests.append(F.col("source") == source)
+    if window is not None:
+        tests.append(window.contains(F.col("event_time")))
+    if key_floor is not None:
+        tests.append(F.col("entity") >= key_floor)
+    return reduce(lambda a, b: a & b, tests)
+
+
 def any_stage(stages: Sequence[StageSpec]) -> Column:
-    return reduce(lambda a, b: a | b, [s.coarse() for s in stages])
+    """Rows that may reach some stage, as a test the Parquet reader can evaluate.
+
+    Stages that differ only in their events share one test. The key floor stands outside the
+    alternatives, because a computed key inside one would keep all of them from being pushed down.
+    """
+    groups: dict[tuple, dict[str, None]] = {}
+    for s in stages:
+        groups.setdefault((s.source, s.window), {}).update(dict.fromkeys(s.events))
+    some = reduce(lambda a, b: a | b, [_coarse(list(events), *shared) for shared, events in groups.items()])
+    floors = [s.key_floor for s in stages]
+    return some if None in floors else some & (F.col("entity") >= min(floors))
 
 
-def mask_of(conditions: Sequence[Column]) -> Column:
+def mask_of(conditions: Sequence[Column], first_bit: int = 0) -> Column:
     """Bit i is set where condition i holds; a NULL condition counts as false."""
-    if len(conditions) > MAX_STAGES:
+    if first_bit + len(conditions) > MAX_STAGES:
         raise ValueError(f"at most {MAX_STAGES} stages fit one mask")
-    bits = [F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, c in enumerate(conditions)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+    bits = [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(conditions, first_bit)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits).cast("bigint")
+
+
+def member_mask(member: Column, conditions: Sequence[Column]) -> Column:
+    """Bit 0 is membership, the rest are the conditions.
+
+    A NULL entity can be a member, but as it never matches in a join it reaches no stage.
+    """
+    reached = F.when(F.col("entity").isNotNull(), mask_of(conditions, 1)).otherwise(0)
+    return mask_of([member]).bitwiseOR(reached)
 
 
 def bit(mask: Column, i: int) -> Column:
     """Bit i as 0 or 1."""
-    return F.shiftright(mask, i).bitwiseAND(F.lit(1).cast("bigint"))
+    return F.shiftright(mask, i).bitwiseAND(1)
 
 
 def has(mask: Column, i: int) -> Column:
     return bit(mask, i) == 1
 
 
-def joined_entity(condition: Column) -> Column:
-    """A NULL entity never matches in a join, so it reaches no stage."""
-    return F.col("entity").isNotNull() & condition
-
-
 def as_members(cohort: DataFrame, tag: str = "cohort") -> DataFrame:
     """Cohort rows in log shape, to be unioned with a log instead of joined to it."""
     return cohort.select(
@@ -86,12 +107,8 @@ def as_members(cohort: DataFrame, tag: str = "cohort") -> DataFrame:
     )
 
 
-def entity_masks(rows: DataFrame, conditions: Sequence[Column]) -> DataFrame:
-    return (
-        rows.select("entity", mask_of(conditions).alias("mask"))
-        .groupBy("entity")
-        .agg(F.bit_or("mask").alias("mask"))
-    )
+def entity_masks(rows: DataFrame, mask: Column) -> DataFrame:
+    return rows.select("entity", mask.alias("mask")).groupBy("entity").agg(F.bit_or("mask").alias("mask"))
 
 
 def first_event_times(log: DataFrame, stages: Sequence[StageSpec], window: TimeWindow | None = None) -> DataFrame:

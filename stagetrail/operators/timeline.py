@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import slice_index
@@ -19,56 +19,50 @@ SLICE = "time_slice"
 
 
 def with_next_time(
-    rows: DataFrame,
-    key: str,
-    time: str,
-    out: str,
-    tie: Sequence[str] = (),
-    slice_minutes: int = 60,
+    rows: DataFrame, key: str, time: str, out: str, tie: Sequence[str] = (), slice_minutes: int = 60
 ) -> DataFrame:
     """Add the time of the key's next row, NULL for its last; a NULL key is a key of its own."""
+    in_slice = Window.partitionBy(key, SLICE)
+    ordered = in_slice.orderBy(time, *[F.asc_nulls_first(c) for c in tie])
     sliced = rows.withColumn(SLICE, slice_index(F.col(time), slice_minutes))
-    within = Window.partitionBy(key, SLICE).orderBy(time, *[F.asc_nulls_first(c) for c in tie])
-    ordered = sliced.withColumn("_next", F.lead(time).over(within))
-    later = (
-        sliced.groupBy(F.col(key).alias("_key"), F.col(SLICE).alias("_slice"))
-        .agg(F.min(time).alias("_first"))
-        .withColumn("_later", F.lead("_first").over(Window.partitionBy("_key").orderBy("_slice")))
-        .filter(F.col("_later").isNotNull())
-        .select("_key", "_slice", "_later")
+    led = sliced.withColumn(out, F.lead(time).over(ordered))
+    inner = led.filter(F.col(out).isNotNull()).select(*rows.columns, out)
+    # The last row of each slice looks at the first time of the key's next slice.
+    last = (
+        led.withColumn("first_time", F.min(time).over(in_slice))
+        .filter(F.col(out).isNull())
+        .withColumn(out, F.lead("first_time").over(Window.partitionBy(key).orderBy(SLICE)))
+        .select(*rows.columns, out)
     )
-    return ordered.join(
-        later, F.col(key).eqNullSafe(F.col("_key")) & (F.col(SLICE) == F.col("_slice")), "left"
-    ).select(*rows.columns, F.coalesce("_next", "_later").alias(out))
+    return inner.unionByName(last)
 
 
 def carry_forward(
     rows: DataFrame,
     keys: Sequence[str],
-    time: str,
-    first: Column,
+    order: Sequence[str],
     values: Sequence[str],
     slice_minutes: int = 60,
 ) -> DataFrame:
-    """Replace each value by the running maximum up to the row, in order of time then ``first``.
+    """Replace each value by the running maximum up to the row; ``order`` starts with the time.
 
     For values that only grow along a key's timeline the running maximum is the latest value.
     """
-    sliced = rows.withColumn(SLICE, slice_index(F.col(time), slice_minutes)).withColumn("_order", first)
-    within = (
-        Window.partitionBy(*keys, SLICE).orderBy(time, "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    running = sliced.select(
-        *[c for c in sliced.columns if c not in values], *[F.max(v).over(within).alias(v) for v in values]
+    sliced = rows.withColumn(SLICE, slice_index(F.col(order[0]), slice_minutes))
+    up_to_row = (
+        Window.partitionBy(*keys, SLICE)
+        .orderBy(*[F.asc_nulls_last(c) for c in order])
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    before_slice = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    running = sliced.withColumns({f"running_{v}": F.max(v).over(up_to_row) for v in values})
     carried = (
         sliced.groupBy(*keys, SLICE)
         .agg(*[F.max(v).alias(v) for v in values])
-        .select(*keys, SLICE, *[F.max(v).over(before).alias(f"_{v}") for v in values])
-        .filter(F.coalesce(*[F.col(f"_{v}") for v in values]).isNotNull())
+        .select(*keys, SLICE, *[F.max(v).over(before_slice).alias(f"carried_{v}") for v in values])
+        .filter(F.coalesce(*[F.col(f"carried_{v}") for v in values]).isNotNull())
     )
     return running.join(carried, [*keys, SLICE], "left").select(
         *[c for c in rows.columns if c not in values],
-        *[F.coalesce(v, f"_{v}").alias(v) for v in values],
+        *[F.coalesce(f"running_{v}", f"carried_{v}").alias(v) for v in values],
     )

@@ -103,8 +103,17 @@ SNAPSHOT_RELEASE = {"installs": "signups", "views": "views", "started": "get_sta
 SNAPSHOT_VARIANT = {"entry": "get_started", "cost": "view", "pay": "click", "location": "error", "paid": "purchase"}
 
 
+# Declared schemas: no job has to open the files to infer one.
+SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 # Logs ---------------------------------------------------------------------------------------------
