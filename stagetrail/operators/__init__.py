@@ -38,6 +38,7 @@ from .pivot import StageSpec, first_event_times
 from .report import (
     cohort_delta,
     headline_rates,
+    maturity_label,
     metrics_snapshot,
     report_lines,
     stage_dropoff,
@@ -66,6 +67,7 @@ __all__ = [
     "interval_attribution",
     "interval_event_coverage",
     "latest_per_transaction",
+    "maturity_label",
     "metrics_snapshot",
     "overall_mixed_funnel",
     "period_stage_distincts",

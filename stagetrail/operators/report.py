@@ -142,6 +142,9 @@ def metrics_snapshot(
     )
 
 
-def snapshot_date_label(snapshot: DataFrame) -> DataFrame:
-    """Maturity date of a snapshot as short display text."""
-    return snapshot.select(short_date(F.col("post_end_date").cast("date")).alias("post_end_label"))
+def maturity_label(funnel: DataFrame) -> DataFrame:
+    """Cohort size and maturity date of a rolling funnel as display text."""
+    return funnel.select(
+        thousands(F.coalesce("total_customers", F.lit(0))).alias("customers_text"),
+        short_date(F.col("post_end_date")).alias("post_end_label"),
+    )

@@ -47,6 +47,7 @@ from ..operators import (
     interval_attribution,
     interval_event_coverage,
     latest_per_transaction,
+    maturity_label,
     metrics_snapshot,
     overall_mixed_funnel,
     period_stage_distincts,
@@ -63,7 +64,6 @@ from ..operators import (
     variant_times,
 )
 from ..operators.churn import cancel_stages, initiator_is, initiator_starts
-from ..operators.report import snapshot_date_label
 from ..operators.timeline import with_next_time
 from ..sources import event_log, rename_metrics, union_logs
 
@@ -457,8 +457,8 @@ def q_metrics_snapshot(spark, sf_dir):
     return snapshot(spark, sf_dir).select(F.to_json(F.struct("*")).alias("snapshot"))
 
 
-def q_snapshot_date_label(spark, sf_dir):
-    return snapshot_date_label(q_reach_funnel_rolling(spark, sf_dir))
+def q_maturity_label(spark, sf_dir):
+    return maturity_label(q_reach_funnel_rolling(spark, sf_dir))
 
 
 # Column functions ---------------------------------------------------------------------------------
