@@ -118,13 +118,13 @@ def cohort_flag_cooccurrence(
         mask_of([member, in_window, *[in_window & s.matches() for s in stages]]),
     ).filter(has(F.col("mask"), 0) & has(F.col("mask"), 1))
     flags = {s.name: bit(F.col("mask"), i + 2) for i, s in enumerate(stages)}
-    others = F.greatest(F.lit(0).cast("bigint"), *[f for n, f in flags.items() if n != click])
+    flagged = F.when(F.col("mask") >= 4, 1).otherwise(0)  # any bit above the first two
     total, any_name, others_name = names
     return masks.agg(
         F.count("*").alias(total),
         *[F.sum(f).alias(n) for n, f in flags.items()],
-        F.sum(F.greatest(others, flags[click])).alias(any_name),
-        F.sum(others * (1 - flags[click])).alias(others_name),
+        F.sum(flagged).alias(any_name),
+        F.sum(flagged * (1 - flags[click])).alias(others_name),
     )
 
 
