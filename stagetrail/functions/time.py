@@ -55,6 +55,11 @@ class TimeWindow:
         return reduce(lambda a, b: a & b, tests) if tests else column.isNotNull()
 
 
+    def from_start(self) -> TimeWindow:
+        """The window without its end: everything a booking inside it can be followed by."""
+        return TimeWindow(self.lo, None, self.shift_minutes)
+
+
 def cutoff_date(as_of: Moment, lag_days: int = 5) -> date:
     """Last excluded day of a rolling window: ``as_of`` minus the maturity lag."""
     return (_moment(as_of) - timedelta(days=lag_days)).date()

@@ -52,10 +52,12 @@ def stage_first_times(
 ) -> DataFrame:
     """First time of each stage at or after the booking, one row per cohort entity, named as the stage.
 
-    A cohort given as a stage of the same log is found in the same scan; a DataFrame has ``entity`` and
-    ``booking_time``, of which the earliest counts.
+    A cohort given as a stage of the same log is found in the same scan, which starts where its window
+    does; a DataFrame has ``entity`` and ``booking_time``, of which the earliest counts.
     """
     if isinstance(cohort, StageSpec):
+        if cohort.window is not None:
+            events = events.filter(cohort.window.from_start().contains(F.col("event_time")))
         return anchored_first_times(
             events.filter(any_stage([cohort, *stages])), cohort.matches(), stages, slice_minutes
         )

@@ -113,8 +113,12 @@ class Journeys:
     def _intervals(self, window: TimeWindow) -> DataFrame:
         return booking_intervals(self.bookings, v.BOOKED, window, v.TRANSACTION_KEY, v.KEY_FLOOR)
 
-    def _events(self, log: DataFrame, *names: str) -> DataFrame:
-        return log.filter(log.event_name.isin(*names) & (log.entity >= v.KEY_FLOOR))
+    def _events(self, log: DataFrame, start: str, *names: str) -> DataFrame:
+        """Events that can follow a booking made from ``start`` on."""
+        window = _local(start)
+        return log.filter(
+            log.event_name.isin(*names) & (log.entity >= v.KEY_FLOOR) & window.contains(log.event_time)
+        )
 
     def ssid_coverage(self) -> DataFrame:
         """Bookings of each period with either kind of SSID event before the next booking."""
@@ -123,7 +127,7 @@ class Journeys:
                 "PRE": self._intervals(_local(v.PRE_START, v.PRE_END)),
                 "POST": self._intervals(_local(v.POST_START, v.POST_END)),
             },
-            self._events(self.bookings, v.SSID_SET, v.SSID_CAPTURED),
+            self._events(self.bookings, v.PRE_START, v.SSID_SET, v.SSID_CAPTURED),
             (v.SSID_SET, v.SSID_CAPTURED),
             "any_ssid_cnt",
         )
@@ -132,8 +136,8 @@ class Journeys:
         """Hours from assignment to cancellation, by who cancelled."""
         return time_to_cancel_by_initiator(
             self._intervals(_local(v.PRE_START, v.PRE_END)),
-            self._events(self.tasks, v.ASSIGNED),
-            self._events(self.bookings, v.CANCELLED),
+            self._events(self.tasks, v.PRE_START, v.ASSIGNED),
+            self._events(self.bookings, v.PRE_START, v.CANCELLED),
             v.INITIATOR_KEY,
         )
 
@@ -142,7 +146,7 @@ class Journeys:
         return assigned_cancel_edges(
             self._intervals(_local(v.PRE_START, v.PRE_END)),
             union_logs(
-                self._events(self.tasks, v.ASSIGNED, v.REACHED_HOME), self._events(self.bookings, v.CANCELLED)
+                self._events(self.tasks, v.PRE_START, v.ASSIGNED, v.REACHED_HOME), self._events(self.bookings, v.PRE_START, v.CANCELLED)
             ),
             v.ASSIGNED,
             v.REACHED_HOME,
