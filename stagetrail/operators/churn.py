@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import hours_between, json_text, slice_index
+from ..functions import hour_index, json_text, slice_index
 from ..functions.time import Moment, timestamp_literal
 from .pivot import StageSpec, any_stage, has, member_mask
 
@@ -38,13 +38,13 @@ def anchored_first_times(
     return counted.groupBy("entity").agg(
         F.min("booking_time").alias("booking_time"),
         *[
-            F.min(F.when(has(F.col("mask"), i), F.col("event_time"))).alias(s.name) for i, s in enumerate(stages, 1)
+            F.min(F.when(has("mask", i), F.col("event_time"))).alias(s.name) for i, s in enumerate(stages, 1)
         ],
     )
 
 
 def _anchor_time() -> Column:
-    return F.when(has(F.col("mask"), 0), F.col("event_time"))
+    return F.when(has("mask", 0), F.col("event_time"))
 
 
 def stage_first_times(
@@ -118,10 +118,10 @@ def stage_overdue_flags(
     end = F.coalesce("t_cust_cancel", "t_sys_cancel", timestamp_literal(as_of))
     flags = {}
     for k, hours in limits.items():
-        before, stage = F.col(stages[k - 2]), F.col(stages[k - 1])
-        overdue = before.isNotNull() & stage.isNull() & (hours_between(before, end) >= hours)
+        before, here = F.col(stages[k - 2]), F.col(stages[k - 1])
+        overdue = here.isNull() & (F.col("end_hour") - hour_index(before) >= hours)
         flags[f"s{k}_pred"] = F.when(overdue, 1).otherwise(0)
-    return times.withColumns(flags)
+    return times.withColumn("end_hour", hour_index(end)).withColumns(flags).drop("end_hour")
 
 
 def churn_classified(
@@ -130,24 +130,15 @@ def churn_classified(
     return stage_overdue_flags(stuck_stage(times, stages), stages, limits, as_of)
 
 
-def _churn_totals(n_stages: int, limits: Mapping[int, int]) -> dict[str, Column]:
-    stuck = F.col("stuck_stage")
-
-    def total(test: Column) -> Column:
-        return F.sum(F.when(test, 1).otherwise(0))
-
-    steps = range(1, n_stages + 1)
-    return (
-        {f"s{k}_entry": total(stuck >= k) for k in steps}
-        | {f"s{k}_cust": total((stuck == k) & F.col("t_cust_cancel").isNotNull()) for k in steps}
-        | {f"s{k}_sys": total((stuck == k) & F.col("t_sys_cancel").isNotNull()) for k in steps}
-        | {f"s{k}_pred": F.sum(f"s{k}_pred") for k in limits}
-    )
-
-
 def churn_matrix(classified: DataFrame, n_stages: int, limits: Mapping[int, int]) -> DataFrame:
     """One row: per stage, entities that got there and those stuck in it by kind of cancellation or delay."""
-    return classified.agg(*[c.alias(n) for n, c in _churn_totals(n_stages, limits).items()])
+    steps = range(1, n_stages + 1)
+    return classified.selectExpr(
+        *[f"sum(if(stuck_stage >= {k}, 1, 0)) AS s{k}_entry" for k in steps],
+        *[f"sum(if(stuck_stage = {k} AND t_cust_cancel IS NOT NULL, 1, 0)) AS s{k}_cust" for k in steps],
+        *[f"sum(if(stuck_stage = {k} AND t_sys_cancel IS NOT NULL, 1, 0)) AS s{k}_sys" for k in steps],
+        *[f"sum(s{k}_pred) AS s{k}_pred" for k in limits],
+    )
 
 
 def churn_matrix_long(matrix: DataFrame) -> DataFrame:

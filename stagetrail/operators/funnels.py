@@ -45,10 +45,10 @@ def reach_funnel(
     masks = entity_masks(rows, member_mask(member, [s.matches() for s in stages]))
     extra = [] if cutoff is None else [F.lit(cutoff).alias("post_end_date")]
     totals = (
-        masks.filter(has(F.col("mask"), 0))
+        masks.filter(has("mask", 0))
         .agg(
             F.count("*").alias("total_customers"),
-            *[F.sum(bit(F.col("mask"), i + 1)).alias(s.name) for i, s in enumerate(stages)],
+            *[F.sum(bit("mask", i + 1)).alias(s.name) for i, s in enumerate(stages)],
         )
     )
     return totals.select("total_customers", *extra, *[s.name for s in stages])
@@ -77,10 +77,9 @@ def period_stage_distincts(
     masks = entity_masks(
         rows.filter(F.col("entity").isNotNull()), mask_of([*members, *[s.matches() for s in stages]])
     )
-    mask = F.col("mask")
     counts = masks.agg(
         *[
-            F.count_if(has(mask, p) if s is None else has(mask, p) & has(mask, len(labels) + s)).alias(f"c{p}_{s}")
+            F.count_if(has("mask", p) if s is None else has("mask", p) & has("mask", len(labels) + s)).alias(f"c{p}_{s}")
             for p in range(len(labels))
             for s in [None, *range(len(stages))]
         ]
@@ -116,8 +115,8 @@ def cohort_flag_cooccurrence(
     masks = entity_masks(
         rows.filter(F.col("entity").isNotNull()),
         mask_of([member, in_window, *[in_window & s.matches() for s in stages]]),
-    ).filter(has(F.col("mask"), 0) & has(F.col("mask"), 1))
-    flags = {s.name: bit(F.col("mask"), i + 2) for i, s in enumerate(stages)}
+    ).filter(has("mask", 0) & has("mask", 1))
+    flags = {s.name: bit("mask", i + 2) for i, s in enumerate(stages)}
     flagged = F.when(F.col("mask") >= 4, 1).otherwise(0)  # any bit above the first two
     total, any_name, others_name = names
     return masks.agg(
@@ -212,6 +211,6 @@ def overall_mixed_funnel(
     times = variant_times(log, event, window, variant_key, allowed, stages, unordered)
     reached = sequence_reached("gs_time", links)
     return times.agg(
-        *[F.count_if(has(F.col("mask"), i)).alias(s.name) for i, s in enumerate(unordered)],
+        *[F.count_if(has("mask", i)).alias(s.name) for i, s in enumerate(unordered)],
         *[F.count_if(test).alias(start_name if n == "gs_time" else n) for n, test in reached.items()],
     )

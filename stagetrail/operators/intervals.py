@@ -24,11 +24,17 @@ OPEN_END = "9999-12-31 23:59:59.999999"
 
 
 def _on_timeline(
-    intervals: DataFrame, events: DataFrame, keys: Sequence[str], carried: Sequence[str], slice_minutes: int
+    intervals: DataFrame,
+    events: DataFrame,
+    keys: Sequence[str],
+    carried: Sequence[str],
+    slice_minutes: int,
+    aggregated: bool = True,
 ) -> DataFrame:
     """Bookings, and events that fall into an interval, with ``booking_time`` and ``end_time``.
 
-    Booking rows have ``is_event`` 0 and NULL in the ``carried`` event columns.
+    Booking rows have ``is_event`` 0 and NULL in the ``carried`` event columns. An operator that
+    aggregates the result itself reads all of them; one that returns rows cannot know.
     """
     types = {f.name: f.dataType for f in events.schema.fields}
     no_time = F.lit(None).cast("timestamp_ntz")
@@ -54,6 +60,7 @@ def _on_timeline(
         keys,
         ["event_time", "is_event", "end_time"],
         ["booking_time", "end_time"],
+        carried if aggregated else (),
         slice_minutes,
     )
     return placed.filter((F.col("is_event") == 0) | (F.col("event_time") < F.col("end_time")))
@@ -65,7 +72,7 @@ def interval_attribution(
     """Each event with the booking whose interval holds it; ``left`` keeps bookings without events."""
     if how not in ("left", "inner"):
         raise ValueError(f"how must be 'left' or 'inner', not {how!r}")
-    placed = _on_timeline(intervals, events, ["entity"], ["event_name", "payload"], slice_minutes)
+    placed = _on_timeline(intervals, events, ["entity"], ["event_name", "payload"], slice_minutes, aggregated=False)
     found = placed.filter(F.col("is_event") == 1).select(
         "entity", "booking_time", "event_name", "event_time", "payload"
     )
@@ -110,7 +117,7 @@ def interval_event_coverage(
         .groupBy("period", "entity", "booking_time")
         .agg(F.coalesce(F.bit_or("mask"), F.lit(0).cast("bigint")).alias("mask"))
     )
-    measures = [bit(F.col("mask"), i) for i in range(len(names))] + [F.when(F.col("mask") != 0, 1).otherwise(0)]
+    measures = [bit("mask", i) for i in range(len(names))] + [F.when(F.col("mask") != 0, 1).otherwise(0)]
     outputs = [f"{n}_cnt" for n in names] + [any_name]
     # One global aggregate with a column per period keeps a period that has no bookings.
     totals = bookings.agg(
@@ -201,15 +208,14 @@ def assigned_cancel_edges(
     )
 
     def first(i: int) -> Column:
-        return F.min(F.when(has(F.col("mask"), i), F.col("event_time")))
+        return F.min(F.when(has("mask", i), F.col("event_time")))
 
     bookings = (
         _on_timeline(intervals, marked, ["entity"], ["mask"], slice_minutes)
         .groupBy("entity", "booking_time")
         .agg(F.bit_or("mask").alias("flags"), first(0).alias("assigned_time"), first(2).alias("cancelled_time"))
     )
-    flags = F.col("flags")
-    both = has(flags, 0) & has(flags, 2)
+    both = has("flags", 0) & has("flags", 2)
     hours = hours_between(F.col("assigned_time"), F.col("cancelled_time"))
 
     def total(test: Column) -> Column:
@@ -217,8 +223,8 @@ def assigned_cancel_edges(
 
     return bookings.agg(
         total(both).alias("cancelled_at_assigned_stage"),
-        total(both & has(flags, 1)).alias("reached_and_cancelled"),
-        F.round(F.avg(F.when(both & has(flags, 3), hours)), 0).alias("avg_hours_cust_cancel"),
-        F.round(F.avg(F.when(both & has(flags, 4), hours)), 0).alias("avg_hours_sys_cancel"),
-        total(both & has(flags, 5)).alias("delay_reason_count"),
+        total(both & has("flags", 1)).alias("reached_and_cancelled"),
+        F.round(F.avg(F.when(both & has("flags", 3), hours)), 0).alias("avg_hours_cust_cancel"),
+        F.round(F.avg(F.when(both & has("flags", 4), hours)), 0).alias("avg_hours_sys_cancel"),
+        total(both & has("flags", 5)).alias("delay_reason_count"),
     )

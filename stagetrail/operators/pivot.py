@@ -87,13 +87,13 @@ def member_mask(member: Column, conditions: Sequence[Column]) -> Column:
     return mask_of([member]).bitwiseOR(reached)
 
 
-def bit(mask: Column, i: int) -> Column:
-    """Bit i as 0 or 1."""
-    return F.shiftright(mask, i).bitwiseAND(1)
+def bit(mask: str, i: int) -> Column:
+    """Bit i of the mask column as 0 or 1."""
+    return F.expr(f"shiftright({mask}, {i}) & 1")
 
 
-def has(mask: Column, i: int) -> Column:
-    return bit(mask, i) == 1
+def has(mask: str, i: int) -> Column:
+    return F.expr(f"shiftright({mask}, {i}) & 1 = 1")
 
 
 def as_members(cohort: DataFrame, tag: str = "cohort") -> DataFrame:

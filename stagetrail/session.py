@@ -13,8 +13,8 @@ def local_session(name: str, cores: int | str = "*", shuffle_partitions: int = 8
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
-        # Call sites only serve error messages, and recording them costs a Python round trip each.
-        .config("spark.sql.dataFrameQueryContext.enabled", "false")
+        # Call sites only serve error messages; recording them costs several round trips per column call.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
