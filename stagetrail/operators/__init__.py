@@ -1,7 +1,6 @@
 """DataFrame-to-DataFrame operators over event logs."""
 
 from .churn import (
-    anchored_first_times,
     cancel_attribution,
     churn_classified,
     churn_matrix,
@@ -48,7 +47,6 @@ from .report import (
 __all__ = [
     "StageSpec",
     "anchor_events",
-    "anchored_first_times",
     "assigned_cancel_edges",
     "booking_cohort",
     "booking_intervals",

@@ -4,72 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hour_index, json_text, slice_index
+from ..functions import hour_index, json_text
 from ..functions.time import Moment, timestamp_literal
-from .pivot import StageSpec, any_stage, has, member_mask
+from .pivot import StageSpec, any_stage, has, mask_of
 
 DONE = 99
 
 
-def anchored_first_times(
-    rows: DataFrame, anchor: Column, stages: Sequence[StageSpec], slice_minutes: int = 60
-) -> DataFrame:
-    """Per entity: its earliest anchor as ``booking_time`` and the first time of each stage from then on.
-
-    "First at or after the anchor" cannot be merged from partial results until the anchor is known. The
-    anchor's slice of the clock is the only one where single rows matter: later slices count whole,
-    earlier ones not at all. So raw rows meet only inside (entity, slice), and an entity is put together
-    from a few rows per slice, one for each set of stages that occurs in it.
-    """
-    marked = (
-        rows.select("entity", "event_time", member_mask(anchor, [s.matches() for s in stages]).alias("mask"))
-        .filter(F.col("mask") != 0)
-        .withColumn("slice", slice_index(F.col("event_time"), slice_minutes))
-        .withColumn("in_slice", F.min(_anchor_time()).over(Window.partitionBy("entity", "slice")))
-    )
-    late = F.coalesce(F.col("event_time") >= F.col("in_slice"), F.lit(False))
-    per_slice = marked.groupBy("entity", "slice", "mask", late.alias("late")).agg(F.min("event_time").alias("event_time"))
-    joined = per_slice.withColumn("booking_time", F.min(_anchor_time()).over(Window.partitionBy("entity")))
-    first_slice = slice_index(F.col("booking_time"), slice_minutes)
-    counted = joined.filter((F.col("slice") > first_slice) | ((F.col("slice") == first_slice) & F.col("late")))
-    return counted.groupBy("entity").agg(
-        F.min("booking_time").alias("booking_time"),
-        *[
-            F.min(F.when(has("mask", i), F.col("event_time"))).alias(s.name) for i, s in enumerate(stages, 1)
-        ],
-    )
-
-
-def _anchor_time() -> Column:
-    return F.when(has("mask", 0), F.col("event_time"))
-
-
-def stage_first_times(
-    cohort: DataFrame | StageSpec, events: DataFrame, stages: Sequence[StageSpec], slice_minutes: int = 60
-) -> DataFrame:
+def stage_first_times(cohort: DataFrame | StageSpec, events: DataFrame, stages: Sequence[StageSpec]) -> DataFrame:
     """First time of each stage at or after the booking, one row per cohort entity, named as the stage.
 
-    A cohort given as a stage of the same log is found in the same scan, which starts where its window
-    does; a DataFrame has ``entity`` and ``booking_time``, of which the earliest counts.
+    A cohort DataFrame has ``entity`` and ``booking_time``, of which the earliest counts. A cohort given
+    as a stage of the log is taken from it, and the log is then read only from the start of its window.
+
+    The join has one booking on its right side and a log on its left, so a hot entity's events can be
+    split over tasks by Spark's skew join. Spark does that only where the join's own partitioning is not
+    used further up; hashing the key into the join keys sees to it, as the entity alone then does not
+    describe the partitioning and the times are combined map-side before a shuffle of their own.
     """
     if isinstance(cohort, StageSpec):
+        anchors = events.filter(cohort.matches()).withColumnRenamed("event_time", "booking_time")
         if cohort.window is not None:
             events = events.filter(cohort.window.from_start().contains(F.col("event_time")))
-        return anchored_first_times(
-            events.filter(any_stage([cohort, *stages])), cohort.matches(), stages, slice_minutes
-        )
-    members = cohort.select(
-        F.lit("cohort").alias("source"),
+    else:
+        anchors = cohort
+    bookings = anchors.groupBy("entity").agg(F.min("booking_time").alias("booking_time"))
+    marked = (
+        events.filter(any_stage(stages) & F.col("entity").isNotNull())
+        .select("entity", "event_time", mask_of([s.matches() for s in stages]).alias("mask"))
+        .filter("mask <> 0")
+    )
+    hashed = F.xxhash64("entity").alias("entity_hash")
+    hits = (
+        marked.select("*", hashed)
+        .join(bookings.select("*", hashed), ["entity_hash", "entity"])
+        .filter(F.col("event_time") >= F.col("booking_time"))
+        .select("entity", "booking_time", "event_time", "mask")
+    )
+    members = bookings.select(
         "entity",
-        F.lit("cohort").alias("event_name"),
-        F.col("booking_time").alias("event_time"),
-        F.lit(None).cast("string").alias("payload"),
+        "booking_time",
+        F.lit(None).cast("timestamp_ntz").alias("event_time"),
+        F.lit(0).cast("bigint").alias("mask"),
+    )
+    return (
+        hits.unionByName(members)
+        .groupBy("entity")
+        .agg(
+            F.min("booking_time").alias("booking_time"),
+            *[F.min(F.when(has("mask", i), F.col("event_time"))).alias(s.name) for i, s in enumerate(stages)],
+        )
+        # Always true; it keeps the booking time in use, so that both readers of the bookings share a shuffle.
+        .filter("booking_time IS NOT NULL")
     )
-    rows = events.filter(any_stage(stages)).unionByName(members)
-    return anchored_first_times(rows, F.col("source") == "cohort", stages, slice_minutes)
 
 
 Rule = Callable[[Column], Column]
@@ -91,15 +81,10 @@ def cancel_stages(event: str, customer_rule: Rule, system_rule: Rule, source: st
 
 
 def cancel_attribution(
-    cohort: DataFrame | StageSpec,
-    log: DataFrame,
-    event: str,
-    customer_rule: Rule,
-    system_rule: Rule,
-    slice_minutes: int = 60,
+    cohort: DataFrame | StageSpec, log: DataFrame, event: str, customer_rule: Rule, system_rule: Rule
 ) -> DataFrame:
     """First customer and first system cancellation at or after the booking."""
-    return stage_first_times(cohort, log, cancel_stages(event, customer_rule, system_rule), slice_minutes)
+    return stage_first_times(cohort, log, cancel_stages(event, customer_rule, system_rule))
 
 
 def stuck_stage(times: DataFrame, stages: Sequence[str]) -> DataFrame:

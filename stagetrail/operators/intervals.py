@@ -38,8 +38,13 @@ def _on_timeline(
     """
     types = {f.name: f.dataType for f in events.schema.fields}
     no_time = F.lit(None).cast("timestamp_ntz")
+    others = [k for k in keys if k != "entity"]
+    # A booking of nobody is kept but gets no events. Its key is made non-NULL, because a nullable join
+    # key would add a NULL filter to one of the two branches that are to share a shuffle.
+    who = [F.coalesce("entity", F.lit("")).alias("entity"), F.col("entity").isNull().alias("nobody")]
     starts = intervals.select(
-        *keys,
+        *others,
+        *who,
         F.col("booking_time").alias("event_time"),
         F.lit(0).alias("is_event"),
         F.col("booking_time"),
@@ -47,7 +52,8 @@ def _on_timeline(
         *[F.lit(None).cast(types[c]).alias(c) for c in carried],
     )
     happened = events.filter(F.col("entity").isNotNull()).select(
-        *keys,
+        *others,
+        *who,
         "event_time",
         F.lit(1).alias("is_event"),
         no_time.alias("booking_time"),
@@ -57,13 +63,14 @@ def _on_timeline(
     # At one instant bookings come before events, and of equal bookings the one that lasts comes last.
     placed = carry_forward(
         starts.unionByName(happened),
-        keys,
+        [*keys, "nobody"],
         ["event_time", "is_event", "end_time"],
         ["booking_time", "end_time"],
         carried if aggregated else (),
         slice_minutes,
     )
-    return placed.filter((F.col("is_event") == 0) | (F.col("event_time") < F.col("end_time")))
+    inside = placed.filter((F.col("is_event") == 0) | (F.col("event_time") < F.col("end_time")))
+    return inside.withColumn("entity", F.when(~F.col("nobody"), F.col("entity"))).drop("nobody")
 
 
 def interval_attribution(

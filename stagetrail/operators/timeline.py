@@ -51,17 +51,22 @@ def carry_forward(
     ``used`` the other columns that are sure to be read from the result: then the rows are scanned and
     shuffled once, otherwise a narrow second time for the summary of the slices.
     """
-    sliced = rows.withColumn(SLICE, slice_index(F.col(order[0]), slice_minutes))
-    in_order = Window.partitionBy(*keys, SLICE).orderBy(*[F.asc_nulls_last(c) for c in order])
-    up_to_row = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sliced = rows.withColumn(SLICE, slice_index(F.col(order[0]), slice_minutes)).repartition(*keys, SLICE)
+    up_to_row = (
+        Window.partitionBy(*keys, SLICE)
+        .orderBy(*[F.asc_nulls_last(c) for c in order])
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     before_slice = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     running = sliced.withColumns({f"running_{v}": F.max(v).over(up_to_row) for v in values})
     # Touching the used columns here makes both branches read the same ones, so Spark shares the shuffle.
-    following = F.lead(F.struct(*order, *used)).over(in_order)
-    last = running.withColumn("following", following).filter("following IS NULL")
-    carried = last.select(
-        *keys, SLICE, *[F.max(f"running_{v}").over(before_slice).alias(f"carried_{v}") for v in values]
-    ).filter(F.coalesce(*[F.col(f"carried_{v}") for v in values]).isNotNull())
+    carried = (
+        sliced.groupBy(*keys, SLICE)
+        .agg(*[F.max(v).alias(v) for v in values], F.max(F.xxhash64(*order, *used)).alias("touched"))
+        .filter(F.col("touched").isNotNull())
+        .select(*keys, SLICE, *[F.max(v).over(before_slice).alias(f"carried_{v}") for v in values])
+        .filter(F.coalesce(*[F.col(f"carried_{v}") for v in values]).isNotNull())
+    )
     return running.join(carried, [*keys, SLICE], "left").select(
         *[c for c in rows.columns if c not in values],
         *[F.coalesce(f"running_{v}", f"carried_{v}").alias(v) for v in values],
