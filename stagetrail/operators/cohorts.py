@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import TimeWindow, json_int, json_text, json_upper
-from .timeline import with_next_time
+from .timeline import SLICE_MINUTES, with_next_time
 
 
 def anchor_events(log: DataFrame, anchor: str, window: TimeWindow, key_floor: str | None = None) -> DataFrame:
@@ -104,7 +104,7 @@ def booking_intervals(
     window: TimeWindow,
     dedupe_key: str | None = None,
     key_floor: str | None = None,
-    slice_minutes: int = 60,
+    slice_minutes: int = SLICE_MINUTES,
 ) -> DataFrame:
     """Bookings with the time of the entity's next booking in the window.
 

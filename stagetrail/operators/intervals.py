@@ -17,7 +17,7 @@ from ..functions import hours_between, json_text
 from ..functions.time import timestamp_literal
 from .churn import Rule
 from .pivot import bit, has, mask_of
-from .timeline import carry_forward
+from .timeline import SLICE_MINUTES, carry_forward
 
 # Stands for "no next booking" while ends are compared.
 OPEN_END = "9999-12-31 23:59:59.999999"
@@ -74,7 +74,7 @@ def _on_timeline(
 
 
 def interval_attribution(
-    intervals: DataFrame, events: DataFrame, how: str = "left", slice_minutes: int = 60
+    intervals: DataFrame, events: DataFrame, how: str = "left", slice_minutes: int = SLICE_MINUTES
 ) -> DataFrame:
     """Each event with the booking whose interval holds it; ``left`` keeps bookings without events."""
     if how not in ("left", "inner"):
@@ -107,7 +107,7 @@ def interval_event_coverage(
     events: DataFrame,
     names: Sequence[str],
     any_name: str = "any_cnt",
-    slice_minutes: int = 60,
+    slice_minutes: int = SLICE_MINUTES,
 ) -> DataFrame:
     """One row per period: bookings, those with each named event in their interval, those with any."""
     tagged = reduce(
@@ -156,7 +156,7 @@ def time_to_cancel_by_initiator(
     assigned: DataFrame,
     cancels: DataFrame,
     initiator_key: str = "initiated_by",
-    slice_minutes: int = 60,
+    slice_minutes: int = SLICE_MINUTES,
 ) -> DataFrame:
     """Bookings both assigned and cancelled: count and mean hours between, by initiator.
 
@@ -193,7 +193,7 @@ def assigned_cancel_edges(
     system_rule: Rule,
     delay_pattern: str = "delay",
     delay_keys: Sequence[str] = ("reason", "reason_type"),
-    slice_minutes: int = 60,
+    slice_minutes: int = SLICE_MINUTES,
 ) -> DataFrame:
     """One row on bookings both assigned and cancelled, in whichever order the two happened."""
     name, payload = F.col("event_name"), F.col("payload")

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from ..functions import slice_index
 
 SLICE = "time_slice"
+SLICE_MINUTES = 10
 
 
 def with_next_time(
-    rows: DataFrame, key: str, time: str, out: str, tie: Sequence[str] = (), slice_minutes: int = 60
+    rows: DataFrame, key: str, time: str, out: str, tie: Sequence[str] = (), slice_minutes: int = SLICE_MINUTES
 ) -> DataFrame:
     """Add the time of the key's next row, NULL for its last; a NULL key is a key of its own."""
     in_slice = Window.partitionBy(key, SLICE)
@@ -43,7 +44,7 @@ def carry_forward(
     order: Sequence[str],
     values: Sequence[str],
     used: Sequence[str] = (),
-    slice_minutes: int = 60,
+    slice_minutes: int = SLICE_MINUTES,
 ) -> DataFrame:
     """Replace each value by the running maximum up to the row; ``order`` starts with the time.
 

@@ -64,7 +64,11 @@ APP_LOG = LogLayout("app", "user_id", "event_name", "timestamp", "properties")
 
 
 def read_log(spark: SparkSession, path: str, layout: LogLayout) -> DataFrame:
-    """Read a Parquet log with its declared schema, so no file is opened to infer one."""
+    """Read a Parquet log with its declared schema, so no file is opened to infer one.
+
+    Times must be stored as wall-clock timestamps. Pass a log that stores instants to ``event_log``,
+    which casts them in the session's zone.
+    """
     stored = spark.read.schema(layout.schema()).parquet(path)
     return event_log(stored, layout.source, layout.entity, layout.event_name, layout.event_time, layout.payload)
 
