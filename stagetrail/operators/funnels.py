@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import TimeWindow, json_upper
 from .cohorts import pick_first_touch, variant_touch_columns
 from .pivot import (
+    MEMBERS,
     StageSpec,
     any_stage,
     as_members,
@@ -31,7 +32,7 @@ def _with_cohort(cohort: DataFrame | StageSpec, events: DataFrame, stages: Seque
     if isinstance(cohort, StageSpec):
         return events.filter(any_stage([cohort, *stages])), cohort.matches()
     members = as_members(cohort)
-    return events.filter(any_stage(stages)).unionByName(members), F.col("source") == "cohort"
+    return events.filter(any_stage(stages)).unionByName(members), F.col("source") == MEMBERS
 
 
 def reach_funnel(
@@ -72,8 +73,8 @@ def period_stage_distincts(
         if isinstance(cohort, StageSpec):
             members.append(cohort.matches())
         else:
-            rows = rows.unionByName(as_members(cohort, f"cohort {i}"))
-            members.append(F.col("source") == f"cohort {i}")
+            rows = rows.unionByName(as_members(cohort, f"{MEMBERS} {i}"))
+            members.append(F.col("source") == f"{MEMBERS} {i}")
     masks = entity_masks(
         rows.filter(F.col("entity").isNotNull()), mask_of([*members, *[s.matches() for s in stages]])
     )
@@ -111,7 +112,7 @@ def cohort_flag_cooccurrence(
     if isinstance(cohort, StageSpec):
         rows, member = log.filter(in_window | cohort.coarse()), cohort.matches()
     else:
-        rows, member = log.filter(in_window).unionByName(as_members(cohort)), F.col("source") == "cohort"
+        rows, member = log.filter(in_window).unionByName(as_members(cohort)), F.col("source") == MEMBERS
     masks = entity_masks(
         rows.filter(F.col("entity").isNotNull()),
         mask_of([member, in_window, *[in_window & s.matches() for s in stages]]),

@@ -96,12 +96,18 @@ def has(mask: str, i: int) -> Column:
     return F.expr(f"shiftright({mask}, {i}) & 1 = 1")
 
 
-def as_members(cohort: DataFrame, tag: str = "cohort") -> DataFrame:
-    """Cohort rows in log shape, to be unioned with a log instead of joined to it."""
+MEMBERS = "cohort members"
+
+
+def as_members(cohort: DataFrame, tag: str = MEMBERS) -> DataFrame:
+    """Cohort rows in log shape, to be unioned with a log instead of joined to it.
+
+    Only the source tells them apart; without a name or time they match no stage.
+    """
     return cohort.select(
         F.lit(tag).alias("source"),
         F.col("entity"),
-        F.lit(tag).alias("event_name"),
+        F.lit(None).cast("string").alias("event_name"),
         F.lit(None).cast("timestamp_ntz").alias("event_time"),
         F.lit(None).cast("string").alias("payload"),
     )

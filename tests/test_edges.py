@@ -361,7 +361,8 @@ def test_empty_cohort(log):
     rows = log(("m", "ssid", "10:00"))
     row = reach_funnel(booking_cohort(rows, "book", DAY), rows, stages("ssid"), date(2024, 1, 2)).first()
     assert tuple(row) == (0, date(2024, 1, 2), None)
-    assert tuple(stage_dropoff(reach_funnel(booking_cohort(rows, "book", DAY), rows, stages("ssid")), ["total_customers", "ssid"]).first()) == (1, "ssid", 0, 0, 0.0)
+    drop = stage_dropoff(reach_funnel(booking_cohort(rows, "book", DAY), rows, stages("ssid")), ["total_customers", "ssid"])
+    assert tuple(drop.first()) == (1, "ssid", 0, 0, 0.0)
     covered = interval_event_coverage({"P": intervals_of(rows)}, rows, ("ssid",)).first()
     assert tuple(covered) == ("P", 0, None, None)
     periods = period_stage_distincts({"PRE": booking_cohort(rows, "book", DAY)}, rows, stages("ssid")).first()
@@ -390,6 +391,12 @@ def test_null_entity_is_a_member_but_reaches_nothing(log):
     assert reach_funnel(StageSpec("book", ("book",), DAY), rows, stages("ssid")).first() == row
 
 
+def test_cohort_rows_are_no_events(spark, log):
+    rows = log(("m", "x", "10:00"))
+    cohort = spark.createDataFrame([("m",)], "entity string")
+    assert tuple(reach_funnel(cohort, rows, stages("cohort", "cohort members", "x")).first()) == (1, 0, 0, 1)
+
+
 def test_user_in_both_periods(log):
     rows = log(("u", "install", "2024-01-01 10:00"), ("u", "install", "2024-01-05 10:00"), ("u", "home", "2024-01-06 10:00"))
     cohorts = {

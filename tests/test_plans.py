@@ -13,7 +13,7 @@ from stagetrail.operators import booking_intervals, interval_attribution, reach_
 from stagetrail.operators.pivot import StageSpec
 from stagetrail.operators.timeline import with_next_time
 from stagetrail.plans.sample_queries import QUERIES
-from stagetrail.sources import APP_LOG, BOOKING_LOG, read_log
+from stagetrail.sources import BOOKING_LOG, read_log
 
 SF = f"{DATA}/sf0.001"
 
