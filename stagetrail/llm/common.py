@@ -41,3 +41,84 @@ def kept_whole(df: DataFrame, **columns: Column) -> DataFrame:
     """`df` with `columns`, computed once a row: a later lambda that uses one does not compute it again."""
     made = F.struct(*[c.alias(k) for k, c in columns.items()])
     return df.select("*", F.explode(F.array(made)).alias("_made")).select("*", "_made.*").drop("_made")
+
+
+def hashed_words(text: bytes):
+    """A 64-bit hash of each word, as numpy numbers."""
+    import numpy as np
+    import xxhash
+
+    words = text.split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def mixed(x):
+    """The finalizer of splitmix64: every bit of the result depends on every bit of `x`."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def windows_hashed(hashes, width: int):
+    """A hash of each `width` neighbours; none if there are fewer."""
+    import numpy as np
+
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    made = np.zeros(n, np.uint64)
+    for k in range(width):
+        made = made * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+        made ^= made >> np.uint64(29)
+    return mixed(made)
+
+
+#: log2 of the bits of a filter of hashes. Its size is fixed: with more hashes it only lets more pass, and whoever
+#: uses it joins exactly afterwards.
+FILTER_BITS = 26
+
+
+def hash_filter(hashes: DataFrame, column: str, bits: int = FILTER_BITS):
+    """A Spark broadcast of a bit per hash (long), set if a hash with these top bits is in `hashes`."""
+    import numpy as np
+
+    slot = F.shiftrightunsigned(F.col(column), 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 32).cast("int"))
+    found = hashes.groupBy(F.shiftright(slot, 5).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    made = np.zeros(1 << (bits - 5), np.uint32)
+    made[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+    return hashes.sparkSession.sparkContext.broadcast(made)
+
+
+def passes(bitmap, hashes):
+    """Which of the numpy hashes the filter lets pass."""
+    import numpy as np
+
+    slot = hashes >> np.uint64(64 - (len(bitmap).bit_length() - 1 + 5))
+    return (bitmap[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and root of each node of `edges` (a, b): the smallest node that it is connected with.
+
+    Large star and small star in turn: a node's neighbours are linked with its smallest one. Every round is written,
+    minima combine before their shuffle, and the joins are split if one node has very many links. It ends when the
+    links no longer change."""
+    links = staged(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    state = None
+    while True:
+        both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = staged(large, "links")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        links = staged(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 2**31)).first()
+        if now == state:
+            break
+        state = now
+    nodes = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return nodes.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

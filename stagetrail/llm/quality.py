@@ -29,7 +29,7 @@ SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Least spread that counts, per statistic: none is so constant that a harmless difference is far.
-SPREADS = {"words": 1.0, "word_length": 0.15, "symbols": 0.25, "dup_lines": 0.15, "repeats": 0.15}
+SPREADS = {"words": 1.0, "word_length": 0.15, "symbols": 0.2, "dup_lines": 0.15, "repeats": 0.15}
 UNIT = 1024
 BINS = 32
 STEPS = 6
@@ -89,8 +89,8 @@ def vector(counts: Column) -> list[Column]:
         F.log(n.cast("double")),
         F.log(F.greatest(counts["word_chars"], F.lit(1)) / n),
         F.log1p(counts["n_symbols"] * 10 / n),
-        F.sqrt(counts["n_dup_lines"] / lines),
-        F.sqrt(counts["n_repeat_words"] / n),
+        counts["n_dup_lines"] / lines,
+        counts["n_repeat_words"] / n,
     )
     return [F.round(x * UNIT).cast("long") for x in made]
 

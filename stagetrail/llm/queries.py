@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagetrail.llm import chat, lengths, packing, pii, quality, warc
+from stagetrail.llm import chat, decontam, lengths, nearcopies, packing, pii, quality, warc
 from stagetrail.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -43,11 +43,19 @@ def op6_warc_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return warc.record_digest(warc.archived(table(spark, folder, "pages")))
 
 
+def op7_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.leaks(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+
+
+def op9_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return nearcopies.near_classes(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op10_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return lengths.length_histogram(lengths.encoded_lengths(docs, WORD_BPE))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_robust_outliers, op2_relational_chat, op4_best_fit, op5_pii, op6_warc_chunks, op10_length_histogram)
+    f.__name__: f for f in (op1_robust_outliers, op2_relational_chat, op4_best_fit, op5_pii, op6_warc_chunks, op7_template_leaks, op9_bagminhash, op10_length_histogram)
 }
