@@ -200,14 +200,17 @@ def group_estimates(docs: DataFrame, counts: str, share: float, least: int) -> t
     return groups, robust_estimates(vectors, share)
 
 
-def judged(docs: DataFrame, into: str = "quality", share: float = 0.75, far: float = 6.0, least: int = 200) -> DataFrame:
-    """`docs` with a struct `into`: the base counts, base_failed, distance (null without an estimate), kept."""
-    names = docs.columns
+def judged(
+    docs: DataFrame, into: str = "quality", share: float = 0.75, far: float = 6.0, least: int = 200, keep: list[str] | None = None
+) -> DataFrame:
+    """`docs` (its columns `keep`, or all) with a struct `into`: the base counts, base_failed, distance (null without an
+    estimate), kept."""
+    names = docs.columns if keep is None else keep
     source = counted(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *_own(docs)), "counts")
-    if "text" in names:
-        source = source.drop("text")
+    source = source.drop("text")
     groups, estimates = group_estimates(source, "counts", share, least)
-    known = groups.join(estimates, "gid", "left").withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    # Written once more so that its size is known before the texts move: a small one is then sent to them.
+    known = staged(groups.join(estimates, "gid", "left").withColumnsRenamed({"lang": "_lang", "source": "_source"}), "known")
     same = source["lang"].eqNullSafe(known["_lang"]) & source["source"].eqNullSafe(known["_source"])
     near = source.join(known, same, "left").withColumns({f"x{i}": x for i, x in enumerate(vector(F.col("counts")))})
     distance = F.sqrt(F.greatest(_distance(), F.lit(0.0)) / F.col("scale"))

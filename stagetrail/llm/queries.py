@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagetrail.llm import chat, decontam, lengths, nearcopies, packing, pii, quality, warc
+from stagetrail.llm import chat, decontam, lengths, mixing, nearcopies, packing, pii, quality, repeats, warc
 from stagetrail.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,7 +18,7 @@ def op1_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
     verdict = F.col("quality")
     columns = [*quality.BASE, "base_failed", "kept", "distance"]
-    return quality.judged(docs).select("doc_id", *[verdict[c].alias(c) for c in columns])
+    return quality.judged(docs, keep=["doc_id"]).select("doc_id", *[verdict[c].alias(c) for c in columns])
 
 
 def op2_relational_chat(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op2_relational_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.chat_digest(chat.format_chats(rows.unionByName(own)))
 
 
+def op3_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.scores(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op4_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack_best_fit(table(spark, folder, "documents").select("doc_id", "text"), WORD_BPE)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
@@ -47,6 +51,10 @@ def op7_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.leaks(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
 
 
+def op8_suffix_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.repeats_digest(repeats.without_repeats(table(spark, folder, "documents").select("doc_id", "text")))
+
+
 def op9_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
     return nearcopies.near_classes(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -57,5 +65,5 @@ def op10_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_robust_outliers, op2_relational_chat, op4_best_fit, op5_pii, op6_warc_chunks, op7_template_leaks, op9_bagminhash, op10_length_histogram)
+    f.__name__: f for f in (op1_robust_outliers, op2_relational_chat, op3_context_mixing, op4_best_fit, op5_pii, op6_warc_chunks, op7_template_leaks, op8_suffix_arrays, op9_bagminhash, op10_length_histogram)
 }
