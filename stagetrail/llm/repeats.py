@@ -5,7 +5,8 @@ anchors in equal places. Neighbouring substrings of one anchor are one context,
 that occur once can't repeat. Equal contexts of an anchor are counted before anything else moves: if one occurs twice,
 all its substrings do. Where an anchor has different contexts, the shard of the anchor sorts all their suffixes by
 induction and reads the repeats off the permuted common prefixes. Anchors with more than `GROUP` different contexts
-would not fit a shard; their substrings are counted one by one, spread over all tasks.
+would not fit a shard: they are parted once more, by the bytes that neighbouring substrings have in common, and if
+even then too many agree, their substrings are counted one by one, spread over all tasks.
 
 The result depends on none of these splits: a substring counts if it starts at two places, in the input as given.
 
@@ -28,6 +29,7 @@ from stagetrail.llm.suffixes import repeated
 SIZE, GRAM = 200, 32
 SEGMENT = 1 << 20
 GROUP = 1000
+BLOCK = 16
 #: Bytes of contexts that one suffix array takes; whole groups, so a little more at times.
 SHARD = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -47,12 +49,12 @@ def _tables():
 
 
 def contexts(data, ends):
-    """Runs of substrings with one anchor: first and last start, anchor hash, context hash.
+    """Runs of substrings with one anchor: first and last start, place of the anchor, anchor hash, context hash.
 
     `data`: bytes as numpy numbers; `ends`: where texts end in it. Substrings do not reach over an end."""
     import numpy as np
 
-    none = (np.empty(0, np.int64),) * 4
+    none = (np.empty(0, np.int64),) * 5
     n = len(data)
     if n < SIZE:
         return none
@@ -87,7 +89,7 @@ def contexts(data, ends):
     whole = (sums[last + SIZE] - sums[first]) * down[first]
     size = (last - first + (anchor[first] - first) * (1 << 16)).astype(np.uint64)
     c = mixed(whole ^ mixed(size + np.uint64(_BASE)))
-    return first, last, gram[anchor[first]].view(np.int64), c.view(np.int64)
+    return first, last, anchor[first], gram[anchor[first]].view(np.int64), c.view(np.int64)
 
 
 def _segments(texts: list[bytes]):
@@ -108,17 +110,17 @@ def _segments(texts: list[bytes]):
 
 
 def _runs(texts: list[bytes]):
-    """Row, place of its part, place of the part among the bytes, the bytes, and the part's runs."""
+    """The bytes of a segment, and of its runs: row, shift of the bytes' places to the text's, and the run itself."""
     import numpy as np
 
     for parts in _segments(texts):
         data = b"".join(p for _, _, p in parts)
         ends = np.cumsum([len(p) for _, _, p in parts])
-        first, last, a, c = contexts(np.frombuffer(data, np.uint8), ends)
+        first, last, anchor, a, c = contexts(np.frombuffer(data, np.uint8), ends)
         part = np.searchsorted(ends, first, "right")
         shift = np.array([at for _, at, _ in parts]) - (ends - [len(p) for _, _, p in parts])
         row = np.array([r for r, _, _ in parts])
-        yield data, row[part], shift[part], first, last, a, c
+        yield data, row[part], shift[part], first, last, anchor, a, c
 
 
 def _source(docs: DataFrame) -> Column:
@@ -139,7 +141,7 @@ def anchored(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
-            for _, row, shift, first, last, a, c in _runs(batch.column(2).to_pylist()):
+            for _, row, shift, first, last, _, a, c in _runs(batch.column(2).to_pylist()):
                 columns = [keys[0][row], keys[1][row], first + shift, last + shift, a, c]
                 yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in columns], ["k1", "k2", "first", "last", "a", "c"])
 
@@ -147,23 +149,34 @@ def anchored(docs: DataFrame) -> DataFrame:
     return docs.select(text.alias("text")).select(_text_hash(F.col("text"), 0).alias("k1"), _text_hash(F.col("text"), 1).alias("k2"), "text").mapInArrow(find, _ANCHORS)
 
 
+def _place_hash() -> Column:
+    """Of a context at a place in a text; the same as in `context_bytes`."""
+    place = F.shiftleft("first", 40)
+    return F.col("a").bitwiseXOR(F.col("c")).bitwiseXOR(F.col("k1")).bitwiseXOR(place)
+
+
 def context_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """a, c and bytes of the contexts whose anchor is among the wanted (a), each once."""
-    may = hash_filter(wanted, "a")
+    """a, c, bytes and rel (place of the anchor) of the contexts (a, c, k1, first: a text that has it), each once.
+
+    Every text is read again, as its contexts are not kept; a filter lets few pass but those of the named places."""
+    may = hash_filter(wanted.select(_place_hash().alias("hash")), "hash")
 
     def find(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for data, _, _, first, last, a, c in _runs(batch.column(0).to_pylist()):
-                on = passes(may.value, a.view(np.uint64))
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for data, row, shift, first, last, anchor, a, c in _runs(batch.column(1).to_pylist()):
+                on = passes(may.value, (a ^ c ^ keys[row] ^ ((first + shift) << 40)).view(np.uint64))
                 if on.any():
                     made = [data[f : e + SIZE] for f, e in zip(first[on].tolist(), last[on].tolist(), strict=True)]
-                    yield pa.record_batch([pa.array(a[on]), pa.array(c[on]), pa.array(made, pa.binary())], ["a", "c", "bytes"])
+                    rel = (anchor - first)[on].astype(np.int32)
+                    yield pa.record_batch([pa.array(a[on]), pa.array(c[on]), pa.array(made, pa.binary()), pa.array(rel)], ["a", "c", "bytes", "rel"])
 
-    found = docs.select(_source(docs).alias("text")).mapInArrow(find, "a long, c long, bytes binary")
-    return found.groupBy("a", "c").agg(F.first("bytes").alias("bytes")).join(wanted, "a")
+    text = docs.select(_source(docs).alias("text"))
+    found = text.select(_text_hash(F.col("text"), 0).alias("k1"), "text").mapInArrow(find, "a long, c long, bytes binary, rel int")
+    return found.groupBy("a", "c").agg(F.first("bytes").alias("bytes"), F.first("rel").alias("rel")).join(wanted.select("a", "c"), ["a", "c"])
 
 
 def _sorted_shards(strings: DataFrame) -> DataFrame:
@@ -198,8 +211,39 @@ def _sorted_shards(strings: DataFrame) -> DataFrame:
     return shards.mapInArrow(sort, "a long, c long, runs array<struct<first:bigint,last:bigint>>")
 
 
+def _in_groups(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Strings (a, c, ...) whose group a fits a shard, and the others; those alone in their group are neither."""
+    sizes = staged(strings.groupBy("a").agg(F.count(F.lit(1)).alias("of")).filter("of > 1"), "groups")
+    cut = F.xxhash64("a")
+    strings = strings.withColumn("cut", cut).join(sizes.withColumn("cut", cut), ["a", "cut"]).drop("cut")
+    return strings.filter(F.col("of") <= GROUP).drop("of"), strings.filter(F.col("of") > GROUP).drop("of")
+
+
+def _in_blocks(strings: DataFrame) -> DataFrame:
+    """The same for groups beyond a shard. Starts that lie `BLOCK` by `BLOCK` before the anchor have the bytes between
+    the last start and the first end in common: these part the group anew, so that few strings stay together."""
+    far, near = F.col("rel"), F.col("rel") - (F.octet_length("bytes") - SIZE)
+    blocks = F.sequence((near / BLOCK).cast("int"), (far / BLOCK).cast("int"))
+    each = strings.select("a", "c", "bytes", "rel", F.explode(blocks).alias("block"))
+    low = F.greatest(F.lit(0), F.col("rel") - F.col("block") * BLOCK - (BLOCK - 1))
+    high = F.least(F.octet_length("bytes") - SIZE, F.col("rel") - F.col("block") * BLOCK)
+    core = F.col("bytes").substr(F.col("rel") - F.col("block") * BLOCK + 1, F.lit(SIZE - BLOCK + 1))
+    each = each.select("a", "c", low.cast("long").alias("low"), F.xxhash64("a", "block", core).alias("g"), F.col("bytes").substr(low + 1, high - low + SIZE).alias("bytes"))
+    each = staged(each.withColumn("h", F.md5("bytes")), "blocks")
+    kinds = staged(each.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n"), F.first("bytes").alias("bytes")), "blocks")
+    small, large = _in_groups(kinds.select(F.col("g").alias("a"), F.xxhash64("h").alias("c"), "bytes"))
+    found = _sorted_shards(small).unionByName(_counted_one_by_one(large)).select(F.col("a").alias("g"), F.col("c").alias("hash"), "runs")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.octet_length("bytes") - SIZE).cast("long").alias("last")))
+    known = kinds.withColumn("hash", F.xxhash64("h")).join(found, ["g", "hash"], "left")
+    known = known.select("g", "h", F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs")).filter(F.size("runs") > 0)
+    cut = F.xxhash64("g", "h")
+    met = each.drop("bytes").withColumn("cut", cut).join(known.withColumn("cut", cut), ["g", "h", "cut"])
+    moved = F.transform("runs", lambda r: F.struct((r["first"] + F.col("low")).alias("first"), (r["last"] + F.col("low")).alias("last")))
+    return met.groupBy("a", "c").agg(F.flatten(F.collect_list(moved)).alias("runs"))
+
+
 def _counted_one_by_one(strings: DataFrame) -> DataFrame:
-    """The same for groups beyond a shard: every substring of `SIZE` bytes by its digest."""
+    """The same for strings of which too many agree on all but a block: every substring of `SIZE` bytes by its digest."""
     last = F.octet_length("bytes") - SIZE
     each = strings.select("a", "c", "bytes", F.explode(F.sequence(F.lit(0), last)).alias("at"))
     each = staged(each.select("a", "c", F.col("at").cast("long").alias("at"), F.unhex(F.md5(F.col("bytes").substr(F.col("at") + 1, F.lit(SIZE)))).alias("h")), "substrings")
@@ -217,10 +261,11 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     cut = F.xxhash64("a")
     met = places.withColumn("cut", cut).join(anchors.withColumn("cut", cut), ["a", "cut"]).drop("cut")
     met = staged(met.select("k1", "k2", "first", "last", "a", "c", "mixed"), "repeats")
-    counts = staged(met.filter("mixed").groupBy("a", "c").agg(F.count(F.lit(1)).alias("n")), "contexts")
-    groups = staged(counts.groupBy("a").agg(F.count(F.lit(1)).alias("contexts")), "groups")
-    strings = staged(context_bytes(docs, groups), "context-bytes")
-    single = _sorted_shards(strings.filter(F.col("contexts") <= GROUP)).unionByName(_counted_one_by_one(strings.filter(F.col("contexts") > GROUP)))
+    place = F.min(F.struct("k1", "first")).alias("place")
+    counts = met.filter("mixed").groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), place)
+    counts = staged(counts.select("a", "c", "n", "place.*"), "contexts")
+    small, large = _in_groups(staged(context_bytes(docs, counts), "context-bytes"))
+    single = _sorted_shards(small).unionByName(_in_blocks(large))
     single = counts.filter("n = 1").select("a", "c").join(single, ["a", "c"]).filter(F.size("runs") > 0)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(None).cast("long").alias("last")))
     known = staged(counts.filter("n > 1").select("a", "c", whole.alias("runs")).unionByName(single), "runs")
