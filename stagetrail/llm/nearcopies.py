@@ -8,9 +8,10 @@ probability. Points come in ascending order and a process stops once it is later
 its length and the signature's, not their product.
 
 Equal texts are one class before anything is compared. In a bucket of a band every text is first compared with the
-bucket's smallest, which is linear; components of the links found are formed; then texts of one bucket that are still
-in different components are compared with each other, unless their sizes or signatures exclude the similarity. So no
-pair of a bucket is left out, and a large group of copies costs its size.
+bucket's leader, which is linear; components of the links found are formed; then texts of one bucket that are still in
+different components are compared with each other, unless what is known of them and the leader excludes the similarity
+by an exact bound. So no link of a bucket is left out, and a large group of copies costs its size as far as the bound
+reaches.
 
 Edge cases: null, empty and wordless texts are equal, one class; ids may be null or repeat, each row keeps its own;
 ties go to the smaller id; no rows give no rows; other columns are ignored, or kept by `one_of_each`.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stagetrail.llm.common import components, hash_filter, hashed_words, mixed, passes, staged, text_or_empty, windows_hashed
 
@@ -29,8 +31,9 @@ WIDTH = 5
 SIMILAR = 0.8
 BANDS, ROWS = 24, 4
 COMPONENTS = BANDS * ROWS
-#: A pair of similarity 0.8 agrees on fewer components less than once in a million.
-LEAST_AGREED = 57
+#: Numbers of 64 bits that mark which items a text has and its bucket's leader lacks.
+WORDS = 16
+_COMPARED = StructType([StructField(c, LongType()) for c in ("n_a", "n_b", "both", *[f"m{k}" for k in range(WORDS)])])
 
 
 def text_key(words: bytes) -> bytes:
@@ -147,10 +150,11 @@ def unit_items(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("text_key").agg(F.first("items").alias("items"))
 
 
-def similar(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap enough."""
+def compared(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their sizes, the overlap of their multisets, and marks of the items of b that a lacks: one
+    of 64 bits in each of `WORDS` numbers for every item."""
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(_COMPARED)
     def overlap(a, b):
         import numpy as np
         import pandas as pd
@@ -158,47 +162,70 @@ def similar(pairs: DataFrame, items: DataFrame) -> DataFrame:
         made = []
         for x, y in zip(a, b, strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            made.append(both >= SIMILAR * (len(x) + len(y) - both))
-        return pd.Series(made, dtype=bool)
+            lacks = np.setdiff1d(y, x, assume_unique=True)
+            marks = np.zeros(WORDS, np.uint64)
+            np.bitwise_or.at(marks, (lacks % np.uint64(WORDS)).astype(np.intp), np.uint64(1) << (lacks >> np.uint64(58)))
+            made.append((len(x), len(y), len(y) - len(lacks), *marks.view(np.int64).tolist()))
+        return pd.DataFrame(made, columns=_COMPARED.names)
 
     one, other = (items.select(F.col("text_key").alias(k), F.col("items").alias(f"items_{k}")) for k in "ab")
-    sizes = [F.octet_length(f"items_{k}") for k in "ab"]
-    both = pairs.join(one, "a").join(other, "b").filter(F.least(*sizes) >= SIMILAR * F.greatest(*sizes))
-    return both.filter(overlap("items_a", "items_b")).select("a", "b")
+    both = pairs.join(one, "a").join(other, "b")
+    return both.select("a", "b", overlap("items_a", "items_b").alias("r")).select("a", "b", "r.*")
 
 
-def _agreed(a: Column, b: Column) -> Column:
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+def _enough(both: Column, a: Column, b: Column) -> Column:
+    return both >= F.lit(SIMILAR) * (a + b - both)
 
 
 def linked(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """node and root of the texts (text_key, n, signature) that are similar to another one."""
     rows = _banded(texts)
-    shared = rows.groupBy("band", "bucket").agg(F.min("text_key").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = rows.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = staged(rows.join(shared, ["band", "bucket"]), "buckets")
-    stars = staged(met.filter("text_key != leader").select(F.col("leader").alias("a"), F.col("text_key").alias("b")).distinct(), "pairs")
+    # The text that meets most others leads a bucket: of edited copies that is the one they were made from.
+    known = met.groupBy("text_key").agg(F.sum("size").alias("known"))
+    led = met.join(known, "text_key").groupBy("band", "bucket").agg(F.max(F.struct("known", "text_key")).alias("most"))
+    met = staged(met.join(led.select("band", "bucket", F.col("most.text_key").alias("leader")), ["band", "bucket"]), "buckets")
+    stars = met.filter("text_key != leader").select(F.col("leader").alias("a"), F.col("text_key").alias("b")).distinct()
     items = staged(unit_items(docs, met.select("text_key").distinct()), "items")
-    links = staged(similar(stars, items), "links")
+    stars = staged(compared(stars, items), "stars")
+    links = stars.filter(_enough(F.col("both"), F.col("n_a"), F.col("n_b"))).select("a", "b")
     roots = components(links)
-    placed = met.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left").select(
-        "text_key", "band", "bucket", F.coalesce("root", "text_key").alias("root")
-    )
-    placed = staged(placed, "buckets")
+    more = staged(_between(met, stars, roots, items), "links")
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
+def _between(met: DataFrame, stars: DataFrame, roots: DataFrame, items: DataFrame) -> DataFrame:
+    """Links between texts of one bucket that its leader did not bring together.
+
+    Two texts share at most what both share with the leader, and of the items that the leader lacks no more than their
+    marks allow. Only pairs for which this could suffice are compared; the bound leaves out no link. One of a pair is
+    not linked with the leader, else they would be together."""
+    placed = met.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
+    placed = staged(placed.select("band", "bucket", "text_key", "leader", "root"), "buckets")
     apart = placed.groupBy("band", "bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most")
-    open_ = placed.join(apart.select("band", "bucket"), ["band", "bucket"]).join(texts, "text_key")
-    open_ = staged(open_.select("band", "bucket", "root", "n", "signature", "text_key"), "open")
-    one, other = open_.alias("x"), open_.alias("y")
+    placed = placed.join(apart.select("band", "bucket"), ["band", "bucket"])
+    own = stars.withColumnsRenamed({"a": "leader", "b": "text_key", "n_b": "n"}).withColumn("linked", _enough(F.col("both"), F.col("n_a"), F.col("n")))
+    members = staged(placed.join(own, ["leader", "text_key"]).drop("leader", "n_a"), "members")
+    x, y = members.filter(~F.col("linked")).alias("x"), members.alias("y")
+
+    def lacked(one: str, other: str) -> Column:
+        """At most how many of one's items that the leader lacks the other can share."""
+        alone = sum((F.bit_count(F.col(f"{one}.m{k}").bitwiseAND(F.bitwise_not(F.col(f"{other}.m{k}")))) for k in range(WORDS)), F.lit(0))
+        return F.col(f"{one}.n") - F.col(f"{one}.both") - alone
+
+    most = F.least("x.both", "y.both") + F.least(lacked("x", "y"), lacked("y", "x"))
+    once = ~F.col("y.linked") & (F.col("x.text_key") < F.col("y.text_key")) | F.col("y.linked")
     near = (
         (F.col("x.band") == F.col("y.band"))
         & (F.col("x.bucket") == F.col("y.bucket"))
-        & (F.col("x.root") < F.col("y.root"))
-        & (F.least("x.n", "y.n") >= SIMILAR * F.greatest("x.n", "y.n"))
-        & (_agreed(F.col("x.signature"), F.col("y.signature")) >= LEAST_AGREED)
+        & (F.col("x.root") != F.col("y.root"))
+        & once
+        & (F.least("x.n", "y.n") >= F.lit(SIMILAR) * F.greatest("x.n", "y.n"))
+        & _enough(most, F.col("x.n"), F.col("y.n"))
     )
-    pairs = one.join(other, near).select(F.col("x.text_key").alias("a"), F.col("y.text_key").alias("b")).distinct()
-    more = staged(similar(pairs.join(stars, ["a", "b"], "left_anti"), items), "links")
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    pairs = x.join(y, near).select(F.least("x.text_key", "y.text_key").alias("a"), F.greatest("x.text_key", "y.text_key").alias("b")).distinct()
+    return compared(pairs, items).filter(_enough(F.col("both"), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
 def classed(docs: DataFrame, row: Column | None = None) -> DataFrame:
