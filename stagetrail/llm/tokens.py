@@ -1,16 +1,17 @@
 """Token ids of whole texts by a public tokenizer that drops white space.
 
 Such a tokenizer's ids of a text are the ids of its parts between white space, one after another, so each part
-is encoded once a worker and looked up afterwards. The store is emptied when it is full, which changes no result.
+is encoded once a worker and looked up afterwards, as long as a store of fixed size keeps it.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import cache
 
-STORE = 400_000
+#: Parts that a worker keeps; a new half begins when one is full, and what is met again moves over from the old one.
+STORE = 800_000
 
 
 @cache
@@ -23,25 +24,39 @@ def tokenizer(path: str):
     return made
 
 
+class _Store:
+    """Ids of parts as little-endian unsigned 32-bit numbers."""
+
+    def __init__(self, path: str):
+        self.tokenizer, self.young, self.old = tokenizer(path), {}, {}
+
+    def learn(self, parts: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of parts that the young half lacks."""
+        import numpy as np
+
+        met = {p: ids for p in parts if (ids := self.old.get(p)) is not None}
+        new = [p for p in parts if p not in met]
+        made = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
+        met.update((p, np.array(m.ids, "<u4").tobytes()) for p, m in zip(new, made, strict=True))
+        if len(self.young) + len(met) > STORE // 2:
+            self.old, self.young = self.young, {}
+        if len(met) <= STORE // 2:
+            self.young.update(met)
+        return met
+
+
 @cache
-def _store(path: str) -> dict[bytes, bytes]:
-    return {}
+def _store(path: str) -> _Store:
+    return _Store(path)
 
 
-def encoded(texts: Iterable[bytes], path: str, dtype: str = "<u4") -> Iterable[bytes]:
+def encoded(texts: Iterable[bytes], path: str) -> Iterator[bytes]:
     """The ids of each UTF-8 text as little-endian unsigned 32-bit numbers."""
-    import numpy as np
-
-    store, t = _store(path), tokenizer(path)
+    store = _store(path)
     for text in texts:
         parts = text.split()
-        new = [p for p in set(parts) if p not in store]
-        if new:
-            if len(store) + len(new) > STORE:
-                store.clear()
-                new = list(set(parts))
-            for i in range(0, len(new), 10_000):
-                some = new[i : i + 10_000]
-                made = t.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-                store.update((p, np.array(m.ids, dtype).tobytes()) for p, m in zip(some, made, strict=True))
-        yield b"".join([store[p] for p in parts])
+        ids = list(map(store.young.get, parts))
+        if None in ids:
+            new = store.learn({p for p, known in zip(parts, ids, strict=True) if known is None})
+            ids = [new[p] if known is None else known for p, known in zip(parts, ids, strict=True)]
+        yield b"".join(ids)
