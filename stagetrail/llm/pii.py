@@ -74,7 +74,7 @@ class Kind:
 
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: In the order in which spans with one start are told. The first four count whatever stands near them.
 KINDS = (
     Kind("email", "@", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++", lambda v: F.lit(True), 0.8, 0.0, 0.0, "mail|contact|write"),

@@ -201,7 +201,7 @@ def group_estimates(docs: DataFrame, counts: str, share: float, least: int) -> t
 
 
 def judged(
-    docs: DataFrame, into: str = "quality", share: float = 0.75, far: float = 6.0, least: int = 200, keep: list[str] | None = None
+    docs: DataFrame, into: str = "quality", share: float = 0.75, far: float = 6.0, least: int = 50, keep: list[str] | None = None
 ) -> DataFrame:
     """`docs` (its columns `keep`, or all) with a struct `into`: the base counts, base_failed, distance (null without an
     estimate), kept."""

@@ -137,11 +137,11 @@ class _Members:
         found, self.held = self.held[:at], self.held[at + len(mark) :]
         return found
 
-    def take(self, most: int) -> bytes:
-        while not self.held:
+    def take(self, size: int) -> bytes:
+        while len(self.held) < size:
             if not self.fill():
                 raise ValueError("an archive ends inside a record")
-        found, self.held = self.held[:most], self.held[most:]
+        found, self.held = self.held[:size], self.held[size:]
         return found
 
 
