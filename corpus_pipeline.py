@@ -32,11 +32,14 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spans = "_" + "_".join(["spans", *docs.columns])
     found = pii.find_pii(docs, into=spans)
-    clean = {"text": pii.redacted(F.col("text"), F.col(spans))}
+    # Under a name of its own: inside a lambda, `text` would mean a column of that name made beside it.
+    clean = spans + "_text"
+    found = found.withColumn(clean, pii.redacted(F.col("text"), F.col(spans)))
+    made = {"text": F.col(clean)}
     if "n_chars" in docs.columns:
-        shorter = F.length(clean["text"]).cast(docs.schema["n_chars"].dataType)
-        clean["n_chars"] = F.when(F.size(spans) > 0, shorter).otherwise(F.col("n_chars"))
-    return found.select(*[clean.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        length = F.length(clean).cast(docs.schema["n_chars"].dataType)
+        made["n_chars"] = F.when(F.size(spans) > 0, length).otherwise(F.col("n_chars"))
+    return found.select(*[made.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
