@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,11 +18,12 @@ Moment = str | date | datetime
 
 
 def _moment(value: Moment) -> datetime:
-    if isinstance(value, datetime):
-        return value.replace(tzinfo=None)
-    if isinstance(value, date):
+    """The moment on the log's clock, which is UTC: a time with an offset is moved there, one without is taken as it is."""
+    if isinstance(value, str):
+        value = datetime.fromisoformat(value)
+    if not isinstance(value, datetime):
         return datetime(value.year, value.month, value.day)
-    return datetime.fromisoformat(value)
+    return value if value.tzinfo is None else value.astimezone(timezone.utc).replace(tzinfo=None)
 
 
 def timestamp_literal(value: Moment) -> Column:
@@ -98,4 +99,6 @@ def hours_between(start: Column, end: Column) -> Column:
 
 def slice_index(column: Column, minutes: int) -> Column:
     """Number of the ``minutes``-long slice of the clock that holds the time."""
+    if minutes < 1:
+        raise ValueError(f"a slice has at least one minute, not {minutes}")
     return F.floor(_minute_index(column) / F.lit(minutes)).cast("bigint")

@@ -101,6 +101,8 @@ def stage_overdue_flags(
     The clock stops at the customer's cancellation, else the system's, else ``as_of``.
     """
     end = F.coalesce("t_cust_cancel", "t_sys_cancel", timestamp_literal(as_of))
+    if wrong := [k for k in limits if not 2 <= k <= len(stages)]:
+        raise ValueError(f"only stages 2 to {len(stages)} have one before them, not {wrong}")
     flags = {}
     for k, hours in limits.items():
         before, here = F.col(stages[k - 2]), F.col(stages[k - 1])

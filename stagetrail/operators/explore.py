@@ -14,7 +14,7 @@ def event_search_by_period(log: DataFrame, pattern: str, windows: Mapping[str, T
     """Distinct entities per (period, event) for events whose name contains the text in any case."""
     time = F.col("event_time")
     return (
-        log.filter(F.col("event_name").ilike(f"%{pattern}%") & in_any(time, windows.values()))
+        log.filter(F.lower("event_name").contains(pattern.lower()) & in_any(time, windows.values()))
         .groupBy(period_label(time, windows).alias("period"), "event_name")
         .agg(F.count_distinct("entity").alias("distinct_users"))
         .orderBy("period", F.desc("distinct_users"), "event_name")

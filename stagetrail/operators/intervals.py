@@ -69,7 +69,9 @@ def _on_timeline(
         carried if aggregated else (),
         slice_minutes,
     )
-    inside = placed.filter((F.col("is_event") == 0) | (F.col("event_time") < F.col("end_time")))
+    # An open interval holds its last instant too: a booking at that instant would have taken the event.
+    open_ = F.col("end_time") == timestamp_literal(OPEN_END)
+    inside = placed.filter((F.col("is_event") == 0) | (F.col("event_time") < F.col("end_time")) | open_)
     return inside.withColumn("entity", F.when(~F.col("nobody"), F.col("entity"))).drop("nobody")
 
 
@@ -198,7 +200,7 @@ def assigned_cancel_edges(
     """One row on bookings both assigned and cancelled, in whichever order the two happened."""
     name, payload = F.col("event_name"), F.col("payload")
     is_cancel = name == cancelled
-    delayed = reduce(lambda a, b: a | b, [json_text(payload, k).ilike(f"%{delay_pattern}%") for k in delay_keys])
+    delayed = reduce(lambda a, b: a | b, [F.lower(json_text(payload, k)).contains(delay_pattern.lower()) for k in delay_keys])
     marked = events.filter(name.isin(assigned, reached, cancelled)).select(
         "entity",
         "event_time",

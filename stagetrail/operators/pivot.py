@@ -28,12 +28,18 @@ class StageSpec:
     """
 
     name: str
-    events: Sequence[str]
+    events: Sequence[str] | str
     window: TimeWindow | None = None
     where: Callable[[Column], Column] | None = None
     source: str | None = None
     key_floor: str | None = None
 
+    def __post_init__(self):
+        if isinstance(self.events, str):
+            object.__setattr__(self, "events", (self.events,))
+        if not self.events:
+            raise ValueError(f"stage {self.name} has no events")
+
     def coarse(self) -> Column:
         """The part of the test a Parquet reader can evaluate."""
         return _coarse(self.events, self.source, self.window, self.key_floor)

@@ -111,9 +111,12 @@ def metrics_snapshot(
     release_names: Mapping[str, str],
     variant_names: Mapping[str, str],
     allowed: Sequence[str],
+    stamp_suffix: str = "",
 ) -> DataFrame:
     """One row holding the metrics record; ``*_names`` map record keys to funnel columns.
 
+    ``stamp_suffix`` follows the time of the refresh, such as `` UTC``.
+
     The parts are one-row frames, stacked and folded into one row, so nothing is joined.
     """
     parts = {
@@ -136,7 +139,7 @@ def metrics_snapshot(
             ]
         )
         stacked = row if stacked is None else stacked.unionByName(row)
-    stamp = minute_stamp(timestamp_literal(as_of))
+    stamp = F.concat(minute_stamp(timestamp_literal(as_of)), F.lit(stamp_suffix))
     return stacked.agg(*[F.first(name, ignorenulls=True).alias(name) for name in parts]).select(
         stamp.alias("refreshed_at"), *parts
     )

@@ -37,6 +37,7 @@ from ..operators import (
     variant_times,
 )
 from ..operators.churn import cancel_stages, initiator_is, initiator_starts
+from ..operators.timeline import SLICE_MINUTES
 from ..sources import APP_LOG, BOOKING_LOG, TASK_LOG, read_log, union_logs
 from . import vocabulary as v
 
@@ -51,6 +52,8 @@ class Journeys:
     tasks: DataFrame
     app: DataFrame
     as_of: datetime
+    #: Length of the clock slices in which bookings and events are put in order; shorter ones split a busy entity.
+    slice_minutes: int = SLICE_MINUTES
 
     @staticmethod
     def read(spark, booking_path: str, task_path: str, app_path: str, as_of: datetime) -> Journeys:
@@ -111,7 +114,7 @@ class Journeys:
     # Booking intervals --------------------------------------------------------------------------
 
     def _intervals(self, window: TimeWindow) -> DataFrame:
-        return booking_intervals(self.bookings, v.BOOKED, window, v.TRANSACTION_KEY, v.KEY_FLOOR)
+        return booking_intervals(self.bookings, v.BOOKED, window, v.TRANSACTION_KEY, v.KEY_FLOOR, slice_minutes=self.slice_minutes)
 
     def _events(self, log: DataFrame, start: str, *names: str) -> DataFrame:
         """Events that can follow a booking made from ``start`` on."""
@@ -130,6 +133,7 @@ class Journeys:
             self._events(self.bookings, v.PRE_START, v.SSID_SET, v.SSID_CAPTURED),
             (v.SSID_SET, v.SSID_CAPTURED),
             "any_ssid_cnt",
+            slice_minutes=self.slice_minutes,
         )
 
     def time_to_cancel(self) -> DataFrame:
@@ -139,6 +143,7 @@ class Journeys:
             self._events(self.tasks, v.PRE_START, v.ASSIGNED),
             self._events(self.bookings, v.PRE_START, v.CANCELLED),
             v.INITIATOR_KEY,
+            slice_minutes=self.slice_minutes,
         )
 
     def cancel_edges(self) -> DataFrame:
@@ -153,6 +158,7 @@ class Journeys:
             v.CANCELLED,
             initiator_is(v.CUSTOMER, v.INITIATOR_KEY),
             initiator_is(v.SYSTEM, v.INITIATOR_KEY),
+            slice_minutes=self.slice_minutes,
         )
 
     # App log ------------------------------------------------------------------------------------
@@ -248,7 +254,7 @@ class Journeys:
     def ranked_variants(self) -> DataFrame:
         return variant_ranking(self.variant_funnel(), "get_started", "fee_captured", v.VARIANTS)
 
-    def snapshot(self) -> DataFrame:
+    def snapshot(self, stamp_suffix: str = "") -> DataFrame:
         """The metrics record of one refresh; see ``write_snapshot``."""
         return metrics_snapshot(
             self.reach_post(),
@@ -259,6 +265,7 @@ class Journeys:
             v.RELEASE_METRICS,
             v.VARIANT_METRICS,
             v.VARIANTS,
+            stamp_suffix,
         )
 
     @staticmethod

@@ -7,14 +7,18 @@ from compare import assert_same
 from conftest import DATA
 
 import __spark_entry__ as entry_module
-
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+from stagetrail.plans.sample_queries import QUERIES
+from stagetrail.plans.sample_sql import SQL
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry_module.queries()) and set(SQL) <= set(entry_module.oracle_sql())
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).count() == 1
 
