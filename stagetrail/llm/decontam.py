@@ -38,7 +38,7 @@ UNITS = frozenset(
 _NUMBER = re.compile(r"^[$€£+-]?\d[\d.,:/]*(.*)$")
 _OUTER = re.compile(r"^\W+|\W+$")
 PLAIN, NUMBER, QUANTITY, UNIT, CAPITAL = range(1, 6)
-_STORE = 300_000
+_STORE = 150_000
 
 
 class _Words:

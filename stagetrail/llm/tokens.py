@@ -6,12 +6,16 @@ is encoded once a worker and looked up afterwards, as long as a store of fixed s
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterable, Iterator
 from functools import cache
 
 #: Parts that a worker keeps; a new half begins when one is full, and what is met again moves over from the old one.
-STORE = 800_000
+STORE = 600_000
+#: Bytes of texts whose new parts are encoded in one call.
+GROUP = 1 << 20
 
 
 @cache
@@ -24,6 +28,19 @@ def tokenizer(path: str):
     return made
 
 
+#: A mark after a letter at the end of a part.
+_MARK = re.compile(rb"([.,])(?<=[a-z].)(?=[\x20\t-\r]|\Z)")
+
+
+@cache
+def _parts_marks(path: str) -> bool:
+    """Whether the tokenizer lower-cases and parts words from marks, so that parts can be told apart more finely."""
+    t = tokenizer(path)
+    one, other = "Ab Cdefg, ÉTÉx. end.", "ab cdefg , ÉtÉx . end ."
+    same = t.encode(one, add_special_tokens=False).ids == t.encode(other, add_special_tokens=False).ids
+    return same and "Lowercase" in str(json.loads(t.to_str())["normalizer"])
+
+
 class _Store:
     """Ids of parts as little-endian unsigned 32-bit numbers."""
 
@@ -50,13 +67,26 @@ def _store(path: str) -> _Store:
     return _Store(path)
 
 
+def _groups(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= GROUP:
+            yield held
+            held, size = [], 0
+    yield held
+
+
 def encoded(texts: Iterable[bytes], path: str) -> Iterator[bytes]:
     """The ids of each UTF-8 text as little-endian unsigned 32-bit numbers."""
-    store = _store(path)
-    for text in texts:
-        parts = text.split()
-        ids = list(map(store.young.get, parts))
-        if None in ids:
-            new = store.learn({p for p, known in zip(parts, ids, strict=True) if known is None})
-            ids = [new[p] if known is None else known for p, known in zip(parts, ids, strict=True)]
-        yield b"".join(ids)
+    store, finer = _store(path), _parts_marks(path)
+    for group in _groups(texts):
+        parts = [(_MARK.sub(rb" \1", text.lower()) if finer else text).split() for text in group]
+        ids = [list(map(store.young.get, p)) for p in parts]
+        missing = {p for own, found in zip(parts, ids, strict=True) if None in found for p, known in zip(own, found, strict=True) if known is None}
+        new = store.learn(missing) if missing else {}
+        for own, found in zip(parts, ids, strict=True):
+            if None in found:
+                found = [new[p] if known is None else known for p, known in zip(own, found, strict=True)]
+            yield b"".join(found)
