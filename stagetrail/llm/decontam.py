@@ -44,13 +44,13 @@ _STORE = 150_000
 class _Words:
     """What a word is, found once a worker: kind (0: punctuation only), hash, whether it ends a sentence."""
 
-    def __init__(self):
+    def __init__(self, size: int):
         import numpy as np
 
         self.index: dict[bytes, int] = {}
-        self.kind = np.zeros(_STORE + 1, np.uint8)
-        self.hash = np.zeros(_STORE + 1, np.uint64)
-        self.ends = np.zeros(_STORE + 1, bool)
+        self.kind = np.zeros(size, np.uint8)
+        self.hash = np.zeros(size, np.uint64)
+        self.ends = np.zeros(size, bool)
 
     def add(self, raw: bytes) -> int:
         import xxhash
@@ -83,8 +83,9 @@ def _indexed(texts: list[list[bytes]]):
     import numpy as np
 
     global _words
-    if _words is None or len(_words.index) + len({w for t in texts for w in t if w not in _words.index}) > _STORE:
-        _words = _Words()
+    met = {w for t in texts for w in t}
+    if _words is None or len(_words.index) + sum(w not in _words.index for w in met) > len(_words.kind):
+        _words = _Words(max(_STORE, len(met)))
     get, add = _words.index.get, _words.add
     at = [i if (i := get(w)) is not None else add(w) for t in texts for w in t]
     return np.array(at, np.int64), _words
@@ -132,6 +133,13 @@ def template_windows(texts: list[list[bytes]], may: object = None):
         yield d, i - int(starts[d]), int(hashes[i].astype(np.int64)), slots
 
 
+def _small(batches: Iterator) -> Iterator:
+    """Batches of fewer rows, so that their words fit the store as a rule."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            yield batch.slice(at, 1000)
+
+
 def _windows(rows: DataFrame, key: str, may=None) -> DataFrame:
     """key, place, hash, slots of the windows of `rows` (key, text as bytes)."""
     kind = rows.schema[key].dataType.simpleString()
@@ -139,7 +147,7 @@ def _windows(rows: DataFrame, key: str, may=None) -> DataFrame:
     def find(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _small(batches):
             keys, texts = batch.column(0), [t.split() for t in batch.column(1).to_pylist()]
             found = list(template_windows(texts, None if may is None else may.value))
             if found:

@@ -266,6 +266,18 @@ def test_templates(spark):
     assert decontam.leaks(docs.limit(0), bench).collect() == [] and decontam.leaks(docs, bench.limit(0)).collect() == []
 
 
+def test_more_words_than_the_store(monkeypatch):
+    monkeypatch.setattr(decontam, "_STORE", 10)
+    monkeypatch.setattr(decontam, "_words", None)
+    texts = [prose(i, 200).encode().split() for i in range(5)]
+    small = [w[:3] for w in decontam.template_windows(texts)]
+    monkeypatch.setattr(decontam, "_STORE", 10_000)
+    monkeypatch.setattr(decontam, "_words", None)
+    assert small == [w[:3] for w in decontam.template_windows(texts)] and len(small) == 5 * 196
+    one_by_one = [(i, *w[1:3]) for i, t in enumerate(texts) for w in decontam.template_windows([t])]
+    assert small == one_by_one
+
+
 def test_slots_must_agree(spark):
     item = "first 1 then 1 then 1 then 1 then 1 then 1 goes the long way home again"
     other = "first 1 then 2 then 3 then 4 then 5 then 6 goes the long way home again"
