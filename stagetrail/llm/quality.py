@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from stagetrail.llm.common import CONTINUATION, staged
+from stagetrail.llm.tokens import forget
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -72,6 +73,7 @@ _COUNTS = StructType([StructField(c, LongType()) for c in (*BASE, "n_lines")])
 def _counts(text):
     import pandas as pd
 
+    forget()
     return pd.DataFrame([text_counts(t or b"") for t in text], columns=[*BASE, "n_lines"])
 
 

@@ -67,6 +67,11 @@ def _store(path: str) -> _Store:
     return _Store(path)
 
 
+def forget() -> None:
+    """Empties the worker's store, for operators that come later and need the memory."""
+    _store.cache_clear()
+
+
 def _groups(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     held, size = [], 0
     for text in texts:
