@@ -11,6 +11,8 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import compress, count
+from operator import not_
 
 #: Parts that a worker keeps; a new half begins when one is full, and what is met again moves over from the old one.
 STORE = 600_000
@@ -28,32 +30,79 @@ def tokenizer(path: str):
     return made
 
 
-#: A mark after a letter at the end of a part.
-_MARK = re.compile(rb"([.,])(?<=[a-z].)(?=[\x20\t-\r]|\Z)")
+#: Marks after a letter at the end of a part. Of the letters beyond ASCII only those are known that UTF-8 begins with xC3.
+_MARK = re.compile(rb"([.,:;!?%&$#*])(?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))([.,:;!?%&$#*]*)(?=[\x20\t-\r]|\Z)")
+#: Words that a normalizer of lower case leaves as they are once they are in lower case.
+_LETTERS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def _same_ids(path: str, one: str, other: str) -> bool:
+    t = tokenizer(path)
+    return t.encode(one, add_special_tokens=False).ids == t.encode(other, add_special_tokens=False).ids
 
 
 @cache
 def _parts_marks(path: str) -> bool:
     """Whether the tokenizer lower-cases and parts words from marks, so that parts can be told apart more finely."""
+    same = _same_ids(path, "Ab Cdefg, \u00c9T\u00c9x. end.%%% \u00e9\u00c9&&& go!!:;?$#*", "ab cdefg , \u00e9t\u00e9x . end .%%% \u00e9\u00e9 &&& go !!:;?$#*")
+    return same and "Lowercase" in str(json.loads(tokenizer(path).to_str())["normalizer"])
+
+
+@cache
+def _word_tokenizer(path: str):
+    """The same merges for lower-case words with a space between, and which ids end a word; None if ids don't tell.
+
+    Normalizing and parting by a pattern cost more than the merges, and words of letters don't need them."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
     t = tokenizer(path)
-    one, other = "Ab Cdefg, ÉTÉx. end.", "ab cdefg , ÉtÉx . end ."
-    same = t.encode(one, add_special_tokens=False).ids == t.encode(other, add_special_tokens=False).ids
-    return same and "Lowercase" in str(json.loads(t.to_str())["normalizer"])
+    parts = json.loads(t.to_str())
+    suffix = parts["model"].get("end_of_word_suffix")
+    if not suffix or not _parts_marks(path):
+        return None
+    space = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+    letters = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    parts |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [space, letters]}}
+    vocabulary = t.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
+    made = Tokenizer.from_str(json.dumps(parts))
+    words = "a be the qzxj gr\u00f6\u00dfe \u00e9t\u00e9 anthropomorphisms"
+    ids = made.encode(words, add_special_tokens=False).ids
+    same = ids == t.encode(words, add_special_tokens=False).ids and ends[ids].sum() == len(words.split())
+    return (made, ends) if same else None
+
+
+def _word_ids(words: list[str], path: str) -> Iterator[bytes]:
+    """Ids of each of the lower-case words, many in one call."""
+    import numpy as np
+
+    made, ends = _word_tokenizer(path)
+    for at in range(0, len(words), 4096):
+        line = " ".join(words[at : at + 4096])
+        ids = np.array(made.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+        cuts, held = ((np.flatnonzero(ends[ids]) + 1) * 4).tolist(), ids.tobytes()
+        yield from map(held.__getitem__, map(slice, [0, *cuts], cuts))
 
 
 class _Store:
     """Ids of parts as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.young, self.old = tokenizer(path), {}, {}
+        self.path, self.tokenizer, self.young, self.old = path, tokenizer(path), {}, {}
 
     def learn(self, parts: set[bytes]) -> dict[bytes, bytes]:
         """Ids of parts that the young half lacks."""
         import numpy as np
 
         met = {p: ids for p in parts if (ids := self.old.get(p)) is not None}
-        new = [p for p in parts if p not in met]
-        made = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
+        new = {p: p.decode() for p in parts if p not in met}
+        if _word_tokenizer(self.path):
+            words = {p: w.lower() for p, w in new.items() if _LETTERS.fullmatch(w)}
+            met.update(zip(words, _word_ids([*words.values()], self.path), strict=True))
+            new = {p: w for p, w in new.items() if p not in words}
+        made = self.tokenizer.encode_batch_fast([*new.values()], add_special_tokens=False)
         met.update((p, np.array(m.ids, "<u4").tobytes()) for p, m in zip(new, made, strict=True))
         if len(self.young) + len(met) > STORE // 2:
             self.old, self.young = self.young, {}
@@ -87,11 +136,11 @@ def encoded(texts: Iterable[bytes], path: str) -> Iterator[bytes]:
     """The ids of each UTF-8 text as little-endian unsigned 32-bit numbers."""
     store, finer = _store(path), _parts_marks(path)
     for group in _groups(texts):
-        parts = [(_MARK.sub(rb" \1", text.lower()) if finer else text).split() for text in group]
+        parts = [(_MARK.sub(rb" \1\2", text.lower()) if finer else text).split() for text in group]
         ids = [list(map(store.young.get, p)) for p in parts]
-        missing = {p for own, found in zip(parts, ids, strict=True) if None in found for p, known in zip(own, found, strict=True) if known is None}
-        new = store.learn(missing) if missing else {}
-        for own, found in zip(parts, ids, strict=True):
-            if None in found:
-                found = [new[p] if known is None else known for p, known in zip(own, found, strict=True)]
+        gaps = [list(compress(count(), map(not_, found))) for found in ids]
+        new = store.learn({own[i] for own, at in zip(parts, gaps, strict=True) for i in at})
+        for own, found, at in zip(parts, ids, gaps, strict=True):
+            for i in at:
+                found[i] = new[own[i]]
             yield b"".join(found)
