@@ -117,8 +117,9 @@ def _store(path: str) -> _Store:
 
 
 def forget() -> None:
-    """Empties the worker's store, for operators that come later and need the memory."""
-    _store.cache_clear()
+    """Empties the worker's store and drops its tokenizers, for operators that come later and need the memory."""
+    for held in (_store, _word_tokenizer, tokenizer):
+        held.cache_clear()
 
 
 def _groups(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
