@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,13 @@ def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string")
 
 
+def small_batches(batches: Iterator, rows: int = 1000) -> Iterator:
+    """Arrow batches of fewer rows, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def kept_whole(df: DataFrame, **columns: Column) -> DataFrame:
     """`df` with `columns`, computed once a row: a later lambda that uses one does not compute it again."""
     made = F.struct(*[c.alias(k) for k, c in columns.items()])

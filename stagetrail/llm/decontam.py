@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagetrail.llm.common import FILTER_BITS, hash_filter, passes, staged, text_or_empty, windows_hashed
+from stagetrail.llm.common import FILTER_BITS, hash_filter, passes, small_batches, staged, text_or_empty, windows_hashed
 
 WIDTH = 5
 SHARE = 0.8
@@ -133,13 +133,6 @@ def template_windows(texts: list[list[bytes]], may: object = None):
         yield d, i - int(starts[d]), int(hashes[i].astype(np.int64)), slots
 
 
-def _small(batches: Iterator) -> Iterator:
-    """Batches of fewer rows, so that their words fit the store as a rule."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            yield batch.slice(at, 1000)
-
-
 def _windows(rows: DataFrame, key: str, may=None) -> DataFrame:
     """key, place, hash, slots of the windows of `rows` (key, text as bytes)."""
     kind = rows.schema[key].dataType.simpleString()
@@ -147,7 +140,7 @@ def _windows(rows: DataFrame, key: str, may=None) -> DataFrame:
     def find(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in _small(batches):
+        for batch in small_batches(batches):
             keys, texts = batch.column(0), [t.split() for t in batch.column(1).to_pylist()]
             found = list(template_windows(texts, None if may is None else may.value))
             if found:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagetrail.llm.common import text_or_empty
+from stagetrail.llm.common import small_batches, text_or_empty
 from stagetrail.llm.tokens import encoded
 
 #: Lengths that share a block when sums run on: whole blocks are summed first, so no task sees all lengths.
@@ -24,7 +24,7 @@ def encoded_lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small_batches(batches):
             n = [len(ids) // 4 + 1 for ids in encoded(batch.column(1).to_pylist(), tokenizer_path)]
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagetrail.llm.common import staged, text_or_empty
+from stagetrail.llm.common import small_batches, staged, text_or_empty
 from stagetrail.llm.tokens import encoded
 
 SEQUENCE = 2048
@@ -35,7 +35,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, end_i
 
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in small_batches(batches):
             rows: list[list] = [[] for _ in range(6)]
             for doc, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist(), tokenizer_path), strict=True):
                 ids += end

@@ -69,12 +69,14 @@ def text_counts(text: bytes) -> tuple[int, int, int, int, int, int]:
 _COUNTS = StructType([StructField(c, LongType()) for c in (*BASE, "n_lines")])
 
 
-@F.pandas_udf(_COUNTS)
+@F.arrow_udf(_COUNTS)
 def _counts(text):
-    import pandas as pd
+    import pyarrow as pa
 
     forget()
-    return pd.DataFrame([text_counts(t or b"") for t in text], columns=[*BASE, "n_lines"])
+    # One text at a time is a Python object; the rest of the batch stays as it came.
+    columns = zip(*[text_counts(t.as_py() or b"") for t in text], strict=True) if len(text) else [()] * len(_COUNTS)
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_COUNTS.names)
 
 
 def counted(docs: DataFrame, into: str, text: str = "text") -> DataFrame:
