@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +45,21 @@ def small_batches(batches: Iterator, rows: int = 1000) -> Iterator:
             yield batch.slice(at, rows)
 
 
+#: By name, what empties a store that a worker keeps from task to task.
+STORES: dict[str, Callable[[], None]] = {}
+
+
+def forget(but: str = "") -> None:
+    """Empties the worker's stores but one, left by operators before, and gives freed memory back to the system."""
+    import ctypes
+
+    for name, empty in STORES.items():
+        if name != but:
+            empty()
+    # Only some C libraries have it.
+    getattr(ctypes.CDLL(None), "malloc_trim", id)(0)
+
+
 def kept_whole(df: DataFrame, **columns: Column) -> DataFrame:
     """`df` with `columns`, computed once a row: a later lambda that uses one does not compute it again."""
     made = F.struct(*[c.alias(k) for k, c in columns.items()])

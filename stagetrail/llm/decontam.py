@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagetrail.llm.common import FILTER_BITS, hash_filter, passes, small_batches, staged, text_or_empty, windows_hashed
+from stagetrail.llm.common import FILTER_BITS, STORES, forget, hash_filter, passes, small_batches, staged, text_or_empty, windows_hashed
 
 WIDTH = 5
 SHARE = 0.8
@@ -78,6 +78,14 @@ def bare(raw: bytes) -> str:
 _words: _Words | None = None
 
 
+def _empty() -> None:
+    global _words
+    _words = None
+
+
+STORES["words"] = _empty
+
+
 def _indexed(texts: list[list[bytes]]):
     """Numbers of all words, text after text, in the worker's store."""
     import numpy as np
@@ -140,6 +148,7 @@ def _windows(rows: DataFrame, key: str, may=None) -> DataFrame:
     def find(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        forget(but="words")
         for batch in small_batches(batches):
             keys, texts = batch.column(0), [t.split() for t in batch.column(1).to_pylist()]
             found = list(template_windows(texts, None if may is None else may.value))

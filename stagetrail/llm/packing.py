@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagetrail.llm.common import small_batches, staged, text_or_empty
+from stagetrail.llm.common import forget, small_batches, staged, text_or_empty
 from stagetrail.llm.tokens import encoded
 
 SEQUENCE = 2048
@@ -33,6 +33,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, end_i
         import numpy as np
         import pyarrow as pa
 
+        forget(but="tokens")
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
         end = np.array([end_id], "<u4").tobytes()
         for batch in small_batches(batches):

@@ -23,8 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from stagetrail.llm.common import CONTINUATION, staged
-from stagetrail.llm.tokens import forget
+from stagetrail.llm.common import CONTINUATION, forget, staged
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"

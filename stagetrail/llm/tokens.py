@@ -6,7 +6,6 @@ is encoded once a worker and looked up afterwards, as long as a store of fixed s
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -14,6 +13,8 @@ from functools import cache
 from itertools import compress, count
 from operator import not_
 
+from stagetrail.llm.common import STORES
+
 #: Parts that a worker keeps; a new half begins when one is full, and what is met again moves over from the old one.
 STORE = 600_000
 #: Bytes of texts whose new parts are encoded in one call.
@@ -45,7 +46,7 @@ def _same_ids(path: str, one: str, other: str) -> bool:
 def _parts_marks(path: str) -> bool:
     """Whether the tokenizer lower-cases and parts words from marks, so that parts can be told apart more finely."""
     same = _same_ids(path, "Ab Cdefg, \u00c9T\u00c9x. end.%%% \u00e9\u00c9&&& go!!:;?$#*", "ab cdefg , \u00e9t\u00e9x . end .%%% \u00e9\u00e9 &&& go !!:;?$#*")
-    return same and "Lowercase" in str(json.loads(tokenizer(path).to_str())["normalizer"])
+    return same and "Lowercase" in str(tokenizer(path).normalizer)
 
 
 @cache
@@ -54,20 +55,19 @@ def _word_tokenizer(path: str):
 
     Normalizing and parting by a pattern cost more than the merges, and words of letters don't need them."""
     import numpy as np
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     t = tokenizer(path)
-    parts = json.loads(t.to_str())
-    suffix = parts["model"].get("end_of_word_suffix")
+    suffix = getattr(t.model, "end_of_word_suffix", None)
     if not suffix or not _parts_marks(path):
         return None
-    space = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
-    letters = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-    parts |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [space, letters]}}
     vocabulary = t.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     ends[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
-    made = Tokenizer.from_str(json.dumps(parts))
+    # The model is shared, not copied.
+    made = Tokenizer(t.model)
+    letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), letters])
     words = "a be the qzxj gr\u00f6\u00dfe \u00e9t\u00e9 anthropomorphisms"
     ids = made.encode(words, add_special_tokens=False).ids
     same = ids == t.encode(words, add_special_tokens=False).ids and ends[ids].sum() == len(words.split())
@@ -116,16 +116,12 @@ def _store(path: str) -> _Store:
     return _Store(path)
 
 
-def forget() -> None:
-    """Empties the worker's store and drops its tokenizers, for operators that come later and need the memory."""
-    if not tokenizer.cache_info().currsize:
-        return
+def _empty() -> None:
     for held in (_store, _word_tokenizer, tokenizer):
         held.cache_clear()
-    import ctypes
 
-    # Where the C library can, what it holds of freed memory goes back to the system.
-    getattr(ctypes.CDLL(None), "malloc_trim", id)(0)
+
+STORES["tokens"] = _empty
 
 
 def _groups(texts: Iterable[bytes]) -> Iterator[list[bytes]]:

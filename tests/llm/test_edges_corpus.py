@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stagetrail.llm import chat, common, decontam, lengths, mixing, nearcopies, packing, pii, quality, queries, repeats, suffixes, warc
+from stagetrail.llm import chat, common, decontam, lengths, mixing, nearcopies, packing, pii, quality, queries, repeats, suffixes, tokens, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -278,6 +278,16 @@ def test_more_words_than_the_store(monkeypatch):
     assert small == one_by_one
 
 
+def test_ids_of_parts_are_the_ids_of_the_text():
+    whole = tokens.tokenizer(queries.WORD_BPE)
+    r = random.Random(1)
+    texts = ["".join(r.choices("abcz\u00e9\u00c9\u00f7\u00d7\u00df\u00f1.,%&!?'s\u2019 \t\n\u2026\u00b71\u00b5\u4e2d\u00aa\u0301\u0130", k=40)) for _ in range(20_000)]
+    texts += ["<|endoftext|>. a<|endoftext|>.", "", " ", prose(3, 500), "\u00c5. \ufb01. \u0133. \u212b."]
+    want = [np.array(m.ids, "<u4").tobytes() for m in whole.encode_batch(texts, add_special_tokens=False)]
+    assert tokens._word_tokenizer(queries.WORD_BPE)
+    assert list(tokens.encoded([t.encode() for t in texts], queries.WORD_BPE)) == want
+
+
 def test_slots_must_agree(spark):
     item = "first 1 then 1 then 1 then 1 then 1 then 1 goes the long way home again"
     other = "first 1 then 2 then 3 then 4 then 5 then 6 goes the long way home again"
