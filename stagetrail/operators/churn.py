@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hour_index, json_text
 from ..functions.time import Moment, timestamp_literal
-from .pivot import StageSpec, any_stage, has, mask_of
+from .pivot import StageSpec, any_stage, has, masks_of
 
 DONE = 99
 
@@ -32,23 +33,24 @@ def stage_first_times(cohort: DataFrame | StageSpec, events: DataFrame, stages:
     else:
         anchors = cohort
     bookings = anchors.groupBy("entity").agg(F.min("booking_time").alias("booking_time"))
+    masks = masks_of([s.matches() for s in stages])
     marked = (
         events.filter(any_stage(stages) & F.col("entity").isNotNull())
-        .select("entity", "event_time", mask_of([s.matches() for s in stages]).alias("mask"))
-        .filter("mask <> 0")
+        .select("entity", "event_time", *[m.alias(n) for n, m in masks.items()])
+        .filter(reduce(lambda a, b: a | b, [F.col(n) != 0 for n in masks]))
     )
     hashed = F.xxhash64("entity").alias("entity_hash")
     hits = (
         marked.select("*", hashed)
         .join(bookings.select("*", hashed), ["entity_hash", "entity"])
         .filter(F.col("event_time") >= F.col("booking_time"))
-        .select("entity", "booking_time", "event_time", "mask")
+        .select("entity", "booking_time", "event_time", *masks)
     )
     members = bookings.select(
         "entity",
         "booking_time",
         F.lit(None).cast("timestamp_ntz").alias("event_time"),
-        F.lit(0).cast("bigint").alias("mask"),
+        *[F.lit(0).cast("bigint").alias(n) for n in masks],
     )
     return (
         hits.unionByName(members)

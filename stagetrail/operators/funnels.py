@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,9 @@ from .pivot import (
     bit,
     entity_masks,
     has,
-    mask_of,
-    member_mask,
+    masks_of,
+    member_masks,
+    merged,
 )
 
 
@@ -43,7 +45,7 @@ def reach_funnel(
     ``cutoff`` adds the maturity date as ``post_end_date``. Sums over an empty cohort are NULL.
     """
     rows, member = _with_cohort(cohort, events, stages)
-    masks = entity_masks(rows, member_mask(member, [s.matches() for s in stages]))
+    masks = entity_masks(rows, member_masks(member, [s.matches() for s in stages]))
     extra = [] if cutoff is None else [F.lit(cutoff).alias("post_end_date")]
     totals = (
         masks.filter(has("mask", 0))
@@ -76,7 +78,7 @@ def period_stage_distincts(
             rows = rows.unionByName(as_members(cohort, f"{MEMBERS} {i}"))
             members.append(F.col("source") == f"{MEMBERS} {i}")
     masks = entity_masks(
-        rows.filter(F.col("entity").isNotNull()), mask_of([*members, *[s.matches() for s in stages]])
+        rows.filter(F.col("entity").isNotNull()), masks_of([*members, *[s.matches() for s in stages]])
     )
     counts = masks.agg(
         *[
@@ -113,12 +115,12 @@ def cohort_flag_cooccurrence(
         rows, member = log.filter(in_window | cohort.coarse()), cohort.matches()
     else:
         rows, member = log.filter(in_window).unionByName(as_members(cohort)), F.col("source") == MEMBERS
-    masks = entity_masks(
-        rows.filter(F.col("entity").isNotNull()),
-        mask_of([member, in_window, *[in_window & s.matches() for s in stages]]),
-    ).filter(has("mask", 0) & has("mask", 1))
+    marks = masks_of([member, in_window, *[in_window & s.matches() for s in stages]])
+    masks = entity_masks(rows.filter(F.col("entity").isNotNull()), marks).filter(has("mask", 0) & has("mask", 1))
     flags = {s.name: bit("mask", i + 2) for i, s in enumerate(stages)}
-    flagged = F.when(F.col("mask") >= 4, 1).otherwise(0)  # any bit above the first two
+    # Any bit above the first two.
+    some = reduce(lambda a, b: a | b, [F.col(n) >= (4 if n == "mask" else 1) for n in marks])
+    flagged = F.when(some, 1).otherwise(0)
     total, any_name, others_name = names
     return masks.agg(
         F.count("*").alias(total),
@@ -137,17 +139,18 @@ def variant_times(
     stages: Sequence[StageSpec],
     unordered: Sequence[StageSpec] = (),
 ) -> DataFrame:
-    """Variant, its time, every ``<stage>_time`` and a mask of unordered stages, in one pass.
+    """Variant, its time, every ``<stage>_time`` and the masks of unordered stages, in one pass.
 
-    Entities without a variant have NULL ``variant`` and ``gs_time``; a NULL entity keeps its mask.
+    Entities without a variant have NULL ``variant`` and ``gs_time``; a NULL entity keeps its masks.
     """
     touch = StageSpec("touch", (event,), window)
+    masks = masks_of([s.matches() for s in unordered])
     rows = log.filter(any_stage([touch, *stages, *unordered])).select(
         "entity",
         "event_time",
         F.when(touch.matches(), json_upper(F.col("payload"), variant_key)).alias("variant"),
         *[F.when(s.matches(), F.col("event_time")).alias(f"{s.name}_time") for s in stages],
-        (mask_of([s.matches() for s in unordered]) if unordered else F.lit(0).cast("bigint")).alias("mask"),
+        *[m.alias(n) for n, m in masks.items()],
     )
     names = variant_touch_columns(allowed)
     pivoted = rows.groupBy("entity").agg(
@@ -156,7 +159,7 @@ def variant_times(
             for n, v in zip(names, allowed, strict=True)
         ],
         *[F.min(f"{s.name}_time").alias(f"{s.name}_time") for s in stages],
-        F.bit_or("mask").alias("mask"),
+        *merged(masks),
     )
     return pick_first_touch(pivoted, allowed)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import hours_between, json_text
 from ..functions.time import timestamp_literal
 from .churn import Rule
-from .pivot import bit, has, mask_of
+from .pivot import bit, has, mask_of, masks_of
 from .timeline import SLICE_MINUTES, carry_forward
 
 # Stands for "no next booking" while ends are compared.
@@ -115,18 +115,20 @@ def interval_event_coverage(
     tagged = reduce(
         lambda a, b: a.unionByName(b), [df.withColumn("period", F.lit(label)) for label, df in intervals.items()]
     )
+    masks = masks_of([F.col("event_name") == n for n in names])
     wanted = events.filter(F.col("event_name").isin(*names)).select(
         "entity",
         "event_time",
-        mask_of([F.col("event_name") == n for n in names]).alias("mask"),
+        *[m.alias(n) for n, m in masks.items()],
         F.explode(F.array(*[F.lit(label) for label in intervals])).alias("period"),
     )
     bookings = (
-        _on_timeline(tagged, wanted, ["period", "entity"], ["mask"], slice_minutes)
+        _on_timeline(tagged, wanted, ["period", "entity"], [*masks], slice_minutes)
         .groupBy("period", "entity", "booking_time")
-        .agg(F.coalesce(F.bit_or("mask"), F.lit(0).cast("bigint")).alias("mask"))
+        .agg(*[F.coalesce(F.bit_or(n), F.lit(0).cast("bigint")).alias(n) for n in masks])
     )
-    measures = [bit("mask", i) for i in range(len(names))] + [F.when(F.col("mask") != 0, 1).otherwise(0)]
+    some = reduce(lambda a, b: a | b, [F.col(n) != 0 for n in masks])
+    measures = [bit("mask", i) for i in range(len(names))] + [F.when(some, 1).otherwise(0)]
     outputs = [f"{n}_cnt" for n in names] + [any_name]
     # One global aggregate with a column per period keeps a period that has no bookings.
     totals = bookings.agg(

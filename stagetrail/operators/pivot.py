@@ -1,13 +1,13 @@
 """One pass over a log, one row per entity.
 
-Reach flags travel as one BIGINT bit mask and are merged with ``bit_or``; first times are plain
+Reach flags travel as BIGINT bit masks and are merged with ``bit_or``; first times are plain
 ``min``. Both combine on the map side, so an entity that owns a third of the log sends one row per
 map task into the shuffle, and both fit the hash aggregate's fixed-width buffer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import TimeWindow
 
-MAX_STAGES = 62
+#: Bits of one mask column; further conditions take further columns.
+MASK_BITS = 62
 
 
 @dataclass(frozen=True)
@@ -76,30 +77,50 @@ def any_stage(stages: Sequence[StageSpec]) -> Column:
     return some if None in floors else some & (F.col("entity") >= min(floors))
 
 
-def mask_of(conditions: Sequence[Column], first_bit: int = 0) -> Column:
-    """Bit i is set where condition i holds; a NULL condition counts as false."""
-    if first_bit + len(conditions) > MAX_STAGES:
-        raise ValueError(f"at most {MAX_STAGES} stages fit one mask")
-    bits = [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(conditions, first_bit)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits).cast("bigint")
+def _mask_name(mask: str, i: int) -> str:
+    """The column that holds bit i, counted through all masks of this name."""
+    return mask if i < MASK_BITS else f"{mask}_{i // MASK_BITS}"
 
 
-def member_mask(member: Column, conditions: Sequence[Column]) -> Column:
+def masks_of(conditions: Sequence[Column], first_bit: int = 0) -> dict[str, Column]:
+    """Columns ``mask``, ``mask_1`` and so on, as many as the conditions need.
+
+    Bit i is set where condition i holds; a NULL condition counts as false.
+    """
+    bits: dict[str, list[Column]] = {"mask": []}
+    for i, c in enumerate(conditions, first_bit):
+        bits.setdefault(_mask_name("mask", i), []).append(F.when(c, 1 << i % MASK_BITS).otherwise(0))
+    return {n: reduce(lambda a, b: a.bitwiseOR(b), some or [F.lit(0)]).cast("bigint") for n, some in bits.items()}
+
+
+def mask_of(conditions: Sequence[Column]) -> Column:
+    """The mask of conditions that fit one."""
+    (mask,) = masks_of(conditions).values()
+    return mask
+
+
+def member_masks(member: Column, conditions: Sequence[Column]) -> dict[str, Column]:
     """Bit 0 is membership, the rest are the conditions.
 
     A NULL entity can be a member, but as it never matches in a join it reaches no stage.
     """
-    reached = F.when(F.col("entity").isNotNull(), mask_of(conditions, 1)).otherwise(0)
-    return mask_of([member]).bitwiseOR(reached)
+    known = F.col("entity").isNotNull()
+    masks = {n: F.when(known, m).otherwise(0) for n, m in masks_of(conditions, 1).items()}
+    return masks | {"mask": mask_of([member]).bitwiseOR(masks["mask"])}
+
+
+def merged(masks: Mapping[str, Column] | Sequence[str]) -> list[Column]:
+    """Aggregates that merge the masks of rows."""
+    return [F.bit_or(n).alias(n) for n in masks]
 
 
 def bit(mask: str, i: int) -> Column:
-    """Bit i of the mask column as 0 or 1."""
-    return F.expr(f"shiftright({mask}, {i}) & 1")
+    """Bit i, counted through all masks of this name, as 0 or 1."""
+    return F.expr(f"shiftright({_mask_name(mask, i)}, {i % MASK_BITS}) & 1")
 
 
 def has(mask: str, i: int) -> Column:
-    return F.expr(f"shiftright({mask}, {i}) & 1 = 1")
+    return F.expr(f"shiftright({_mask_name(mask, i)}, {i % MASK_BITS}) & 1 = 1")
 
 
 MEMBERS = "cohort members"
@@ -119,8 +140,9 @@ def as_members(cohort: DataFrame, tag: str = MEMBERS) -> DataFrame:
     )
 
 
-def entity_masks(rows: DataFrame, mask: Column) -> DataFrame:
-    return rows.select("entity", mask.alias("mask")).groupBy("entity").agg(F.bit_or("mask").alias("mask"))
+def entity_masks(rows: DataFrame, masks: Mapping[str, Column]) -> DataFrame:
+    marked = rows.select("entity", *[m.alias(n) for n, m in masks.items()])
+    return marked.groupBy("entity").agg(*merged(masks))
 
 
 def first_event_times(log: DataFrame, stages: Sequence[StageSpec], window: TimeWindow | None = None) -> DataFrame:
