@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import brute_corpus as brute
 import numpy as np
@@ -199,6 +200,17 @@ def test_scores_do_not_need_the_tree_for_every_word(spark, monkeypatch):
     assert all(small[i].n_known == r.n_known and small[i].base_score == pytest.approx(r.base_score) for i, r in whole.items())
 
 
+def test_contexts_of_all_training_texts_count(spark):
+    """What only texts of remainder 9 have in a row is cheaper in that order than in another."""
+    by = {k: [i for i in range(2000) if zlib.crc32(str(i).encode()) % 10 == k] for k in range(10)}
+    phrase = prose(70, 60).split()
+    other = random.Random(1).sample(phrase, len(phrase))
+    rows = [(i, " ".join(random.Random(i).sample(phrase, len(phrase)))) for i in [*by[1], *by[5]]]
+    rows += [(i, " ".join(phrase)) for i in by[9]] + [(by[0][0], " ".join(phrase)), (by[0][1], " ".join(other))]
+    score = {r.doc_id: r.score for r in mixing.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert score[by[0][0]] > 0.6 * score[by[0][1]]
+
+
 @pytest.mark.parametrize("pairs", [1 << 10, 1 << 17])
 def test_context_slots_grow(pairs):
     """What a context is told is its own counts, no less so among many contexts."""
