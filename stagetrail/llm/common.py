@@ -84,16 +84,16 @@ def mixed(x):
     return x ^ (x >> np.uint64(31))
 
 
-def windows_hashed(hashes, width: int):
-    """A hash of each `width` neighbours; none if there are fewer."""
+def windows_hashed(hashes, width: int, at=None):
+    """A hash of each `width` neighbours; none if there are fewer. `at`: of those only that begin there."""
     import numpy as np
 
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    made = np.zeros(n, np.uint64)
+    made = np.zeros(n if at is None else len(at), np.uint64)
     for k in range(width):
-        made = made * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+        made = made * np.uint64(0x9E3779B97F4A7C15) + (hashes[k : k + n] if at is None else hashes[at + k])
         made ^= made >> np.uint64(29)
     return mixed(made)
 

@@ -1,15 +1,20 @@
 """Benchmark questions in documents, also with other numbers, names and units.
 
 Words become a template: numbers, quantities (a number and its unit) and names turn into typed placeholders, the rest
-is lower-cased without outer punctuation. Windows of five template words are hashed and joined with those of the
-benchmark; a window needs two plain words, so placeholders alone prove nothing. Along one alignment (a document place
-less an item place) each value of the item must stand for one value in the document, or its windows don't count. A
-document holds an item if it has at least `share` of the item's windows.
+is lower-cased without outer punctuation. A capitalised word that begins a sentence, an acronym or a word with an inner
+capital is a plain word or a name: windows with one have a second form with placeholders, and either may meet. Windows
+of five template words are hashed and joined with those of the benchmark. Along one alignment (a document place less an
+item place) each value of the item must stand for one value in the document, or its windows don't count. A document
+holds an item if it has at least `share` of the item's windows, each counted once whatever its forms.
+
+Placeholders alone prove nothing: a window of fewer than two plain words (operators are words, but not plain) is joined
+by its values too. Where another window has aligned an item, such windows also count with other values, if those agree.
+An item whose words make fewer than five template words, such as a list of names, is joined by its words as they are.
 
 Only windows that may be the benchmark's leave the tasks that read texts: a filter of fixed size stops the others, the
 join is exact. Equal texts are joined once, by their digest, and equal templates of items too.
 
-Edge cases: a null or empty text, or an item of under five template words, has no windows and matches nothing; null
+Edge cases: a null or empty text, or an item of under five words, has no windows and matches nothing; null
 ids stay null; repeated rows each get the result of their text; without documents or items there are no rows; other
 columns are ignored, or kept by `without_leaks`.
 """
@@ -37,7 +42,12 @@ UNITS = frozenset(
 )
 _NUMBER = re.compile(r"^[$€£+-]?\d[\d.,:/]*(.*)$")
 _OUTER = re.compile(r"^\W+|\W+$")
-PLAIN, NUMBER, QUANTITY, UNIT, CAPITAL = range(1, 6)
+_OPERATOR = re.compile(r"^[-+*/=<>^\u00d7\u00f7\u00b1\u2013\u2014\u2212\u2260\u2264\u2265]+$")
+_DASHES = str.maketrans("\u2013\u2014\u2212", "---")
+#: CAPITAL is a name inside a sentence; OTHER (other capitalised words) only in the second form.
+PLAIN, NUMBER, QUANTITY, UNIT, CAPITAL, OPERATOR, OTHER = range(1, 8)
+#: Of a window: counts only where its item is aligned, aligns, is of words as they are.
+SUPPORT, FIRM, EXACT = range(3)
 _STORE = 150_000
 
 
@@ -59,13 +69,16 @@ class _Words:
         word = bare(raw)
         kind, m = PLAIN, _NUMBER.match(word)
         if not word:
-            kind = 0
+            word = raw.decode("utf-8", "replace").translate(_DASHES)
+            kind = OPERATOR if _OPERATOR.match(word) else 0
         elif m:
             kind = NUMBER if not m[1] else QUANTITY if m[1].lower() in UNITS else PLAIN
         elif word.lower() in UNITS:
             kind = UNIT
         elif word[0].isupper() and word[1:].islower():
             kind = CAPITAL
+        elif word[0].isupper() and word != "I" and not word.startswith(("I'", "I\u2019")):
+            kind = OTHER
         self.kind[at], self.hash[at], self.ends[at] = kind, xxhash.xxh3_64_intdigest(word.lower().encode()), raw[-1:] in b".!?:;"
         return at
 
@@ -99,8 +112,49 @@ def _indexed(texts: list[list[bytes]]):
     return np.array(at, np.int64), _words
 
 
-def template_windows(texts: list[list[bytes]], may: object = None):
-    """Windows of the texts' templates: text number, place, hash, slot values. `may`: a filter of the hashes wanted."""
+class _Form:
+    """Template words of a batch, given which of its words are names: where each begins among the words, text, kind,
+    hash, and a hash of the words themselves."""
+
+    def __init__(self, doc, kind, value, unit, name, joined):
+        import numpy as np
+
+        self.head = np.flatnonzero(~(unit | joined))
+        made = np.where(unit | name, kind, np.where((kind == NUMBER) | (kind == QUANTITY) | (kind == OPERATOR), kind, PLAIN)).astype(np.uint8)
+        made[:-1][unit[1:]] = QUANTITY
+        made[name] = CAPITAL
+        self.tails = np.append(self.head, len(kind))
+        self.doc, self.kind = doc[self.head], made[self.head]
+        self.slot = (self.kind != PLAIN) & (self.kind != OPERATOR)
+        own = value[self.head]
+        self.value = np.where(self.slot, self.kind.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019), own)
+        nth = np.arange(len(kind)) - np.repeat(self.head, np.diff(self.tails))
+        self.said = np.add.reduceat(value * (2 * nth + 1).astype(np.uint64), self.head) if len(self.head) else own
+        self.plain = np.concatenate([[0], np.cumsum(self.kind == PLAIN)])
+
+    def whole(self):
+        """Which windows lie in one text."""
+        n = max(0, len(self.head) - WIDTH + 1)
+        return self.doc[:n] == self.doc[WIDTH - 1 : WIDTH - 1 + n]
+
+    def hashed(self, at):
+        """Of the windows that begin at `at`: the template's hash, whether it has two plain words, and the hash by which
+        it aligns, which is of its values too if it hasn't."""
+        import numpy as np
+
+        made = windows_hashed(self.value, WIDTH, at)
+        light = self.plain[at + WIDTH] - self.plain[at] >= 2
+        firm = made.copy()
+        heavy = at[~light]
+        if len(heavy):
+            firm[~light] = windows_hashed(np.where(self.slot, self.value + self.said, self.value), WIDTH, heavy)
+        return made, light, firm
+
+
+def template_windows(texts: list[list[bytes]], may: object = None, exact: bool = False):
+    """Windows of the texts' templates: text number, place, hash, slot values, hash of the place's first form, and what
+    it counts for. `may`: a filter of the hashes wanted; `exact`: also windows of the words as they are, which without
+    a filter are those of texts that have no others."""
     import numpy as np
 
     sizes = np.array([len(t) for t in texts])
@@ -110,39 +164,74 @@ def template_windows(texts: list[list[bytes]], may: object = None):
     fresh = np.empty(len(at), bool)
     fresh[:1] = True
     fresh[1:] = ends[:-1] | (doc[1:] != doc[:-1])
+    operator = np.flatnonzero(kind == OPERATOR)
+    if len(operator):
+        # Elsewhere they are punctuation: dashes, bullets.
+        count = np.zeros(len(kind) + 2, bool)
+        count[1:-1] = (kind == NUMBER) | (kind == QUANTITY)
+        before, after = operator > 0, operator + 1 < len(kind)
+        before &= doc[operator - 1] == doc[operator]
+        after &= doc[np.minimum(operator + 1, len(doc) - 1)] == doc[operator]
+        kind[operator[~(before & count[operator] | after & count[operator + 2])]] = 0
     raw = np.flatnonzero(kind)
     doc, kind, value, fresh = doc[raw], kind[raw], words.hash[at[raw]], fresh[raw]
     beside = np.zeros(len(raw), bool)
     beside[1:] = doc[1:] == doc[:-1]
     before = np.concatenate([kind[:1] * 0, kind[:-1]]) * beside
     unit = (kind == UNIT) & (before == NUMBER)
-    name = (kind == CAPITAL) & ~fresh
-    kind = np.where(unit | name, kind, np.where((kind == NUMBER) | (kind == QUANTITY), kind, PLAIN)).astype(np.uint8)
-    kind[:-1][unit[1:]] = QUANTITY
-    inner = unit | (name & np.concatenate([name[:1] & False, name[:-1]]) & beside)
-    head = np.flatnonzero(~inner)
-    doc, kind, value = doc[head], kind[head], value[head]
-    value = np.where(kind == PLAIN, value, kind.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
-    hashes = windows_hashed(value, WIDTH)
-    n = len(hashes)
-    plain = np.concatenate([[0], np.cumsum(kind == PLAIN)])
-    good = (doc[:n] == doc[WIDTH - 1 : WIDTH - 1 + n]) & (plain[WIDTH : WIDTH + n] - plain[:n] >= 2)
-    if may is not None:
-        good &= passes(may, hashes)
-    starts = np.searchsorted(doc, np.arange(len(texts)))
     first = np.concatenate([[0], np.cumsum(sizes)])
-    tails = np.append(head, len(raw))
-    for i in np.flatnonzero(good).tolist():
-        d, slots = int(doc[i]), []
-        for k in range(i, i + WIDTH):
-            if kind[k] != PLAIN:
-                own = range(tails[k], tails[k + 1]) if inner[tails[k] + 1 : tails[k + 1]].all() else (tails[k],)
-                slots.append(" ".join(bare(texts[d][raw[j] - first[d]]).lower() for j in own))
-        yield d, i - int(starts[d]), int(hashes[i].astype(np.int64)), slots
-
-
-def _windows(rows: DataFrame, key: str, may=None) -> DataFrame:
-    """key, place, hash, slots of the windows of `rows` (key, text as bytes)."""
+
+    def form(name):
+        return _Form(doc, kind, value, unit, name, name & np.concatenate([name[:1] & False, name[:-1]]) & beside & ~fresh)
+
+    capital = kind == CAPITAL
+    main = form(capital & ~fresh)
+    starts = np.searchsorted(main.doc, np.arange(len(texts)))
+    place = np.zeros(len(raw) + 1, np.int64)
+    place[main.head] = np.arange(len(main.head))
+    begin = np.flatnonzero(main.whole())
+    made, light, unit_of = main.hashed(begin)
+    own = np.zeros(len(main.head), np.uint64)
+    own[begin] = unit_of
+    forms = [(main, begin, made, light, unit_of)]
+    doubtful = capital & fresh | (kind == OTHER)
+    if doubtful.any():
+        second = form(capital | (kind == OTHER))
+        # A word more of a name is not a template word, but makes another form of its name.
+        any_ = np.add.reduceat(doubtful.astype(np.int64), second.head) > 0
+        some = np.concatenate([[0], np.cumsum(any_)])
+        whole = second.whole()
+        begin = np.flatnonzero(whole & (some[WIDTH:] > some[:-WIDTH] if len(whole) else whole))
+        forms.append((second, begin, *second.hashed(begin)))
+    found, aligns = [], np.zeros(len(texts), bool)
+    for f, begin, made, light, firm in forms:
+        good = np.ones(len(begin), bool) if may is None else passes(may, firm)
+        aligns[f.doc[begin[good]]] = True
+        found += [(f, b, h, FIRM) for b, h in zip(begin[good].tolist(), firm[good].astype(np.int64).tolist(), strict=True)]
+    for f, begin, made, light, _ in forms:
+        good = ~light & aligns[f.doc[begin]]
+        if may is not None and good.any():
+            good &= passes(may, made)
+        found += [(f, b, h, SUPPORT) for b, h in zip(begin[good].tolist(), made[good].astype(np.int64).tolist(), strict=True)]
+    for f, b, h, counts in found:
+        d, slots = int(f.doc[b]), []
+        for k in np.flatnonzero(f.slot[b : b + WIDTH]).tolist():
+            slots.append(" ".join(bare(texts[d][raw[j] - first[d]]).lower() for j in range(f.tails[b + k], f.tails[b + k + 1])))
+        at = int(place[f.head[b]])
+        yield d, at - int(starts[d]), h, slots, int(own[at].astype(np.int64)), counts
+    if exact:
+        hashes = windows_hashed(value ^ np.uint64(0xA0761D6478BD642F), WIDTH)
+        n = len(hashes)
+        good = doc[:n] == doc[WIDTH - 1 : WIDTH - 1 + n]
+        good &= ~aligns[doc[:n]] if may is None else passes(may, hashes)
+        starts = np.searchsorted(doc, np.arange(len(texts)))
+        for i in np.flatnonzero(good).tolist():
+            h = int(hashes[i].astype(np.int64))
+            yield int(doc[i]), i - int(starts[doc[i]]), h, [], h, EXACT
+
+
+def _windows(rows: DataFrame, key: str, may=None, exact: bool = True) -> DataFrame:
+    """key, place, hash, slots, unit, counts of the windows of `rows` (key, text as bytes)."""
     kind = rows.schema[key].dataType.simpleString()
 
     def find(batches: Iterator) -> Iterator:
@@ -151,13 +240,13 @@ def _windows(rows: DataFrame, key: str, may=None) -> DataFrame:
         forget(but="words")
         for batch in small_batches(batches):
             keys, texts = batch.column(0), [t.split() for t in batch.column(1).to_pylist()]
-            found = list(template_windows(texts, None if may is None else may.value))
+            found = list(template_windows(texts, None if may is None else may.value, exact))
             if found:
-                doc, place, hashes, slots = zip(*found, strict=True)
-                columns = [keys.take(pa.array(doc)), pa.array(place, pa.int64()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.string()))]
-                yield pa.record_batch(columns, [key, "place", "hash", "slots"])
+                doc, place, hashes, slots, unit, counts = zip(*found, strict=True)
+                columns = [keys.take(pa.array(doc)), pa.array(place, pa.int64()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(unit, pa.int64()), pa.array(counts, pa.int32())]
+                yield pa.record_batch(columns, [key, "place", "hash", "slots", "unit", "counts"])
 
-    return rows.select(key, "text").mapInArrow(find, f"{key} {kind}, place long, hash long, slots array<string>")
+    return rows.select(key, "text").mapInArrow(find, f"{key} {kind}, place long, hash long, slots array<string>, unit long, counts int")
 
 
 def _keyed(docs: DataFrame):
@@ -173,22 +262,30 @@ def leaked_texts(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, bi
     # What stands before an item decides whether its first word is a name: that window counts only if it is alone.
     last = windows.groupBy("item").agg(F.max("place").alias("last"))
     windows = windows.join(last, "item").filter("place > 0 or last = 0").drop("last")
-    sizes = windows.groupBy("item").agg(F.countDistinct("hash").alias("n_windows"))
+    sizes = windows.groupBy("item").agg(F.countDistinct("unit").alias("n_windows"))
     may = hash_filter(windows, "hash", bits)
     source = docs.select(_keyed(docs).alias("text_key"), F.encode(text_or_empty(docs["text"]), "utf-8").alias("text"))
-    found = staged(_windows(source, "text_key", may).distinct(), "windows")
-    item = windows.select("item", F.col("place").alias("item_place"), "hash", F.col("slots").alias("item_slots"))
-    met = found.join(item, "hash").withColumn("shift", F.col("place") - F.col("item_place"))
+    exact = not windows.filter(F.col("counts") == EXACT).isEmpty()
+    found = staged(_windows(source, "text_key", may, exact).drop("unit").distinct(), "windows")
+    item = windows.select("item", F.col("place").alias("item_place"), "hash", F.col("slots").alias("item_slots"), "unit", "counts")
+    shift = (F.col("place") - F.col("item_place")).alias("shift")
     pairs = F.arrays_zip(F.col("item_slots").alias("said"), F.col("slots").alias("says"))
-    # An alignment has a window per place of the item at most, whatever the text.
+    met = found.filter(F.col("counts") != SUPPORT).join(item.filter(F.col("counts") != SUPPORT).drop("counts"), "hash")
+    met = staged(met.select("text_key", "item", shift, "unit", pairs.alias("pairs")), "met")
+    # Windows of placeholders follow an alignment, so how common they are does not matter.
+    likely = met.select("text_key", "item", "shift").distinct().join(item.filter(F.col("counts") == SUPPORT).drop("counts"), "item")
+    likely = likely.withColumn("place", F.col("item_place") + F.col("shift"))
+    more = found.filter(F.col("counts") == SUPPORT).drop("counts").join(likely, ["text_key", "place", "hash"])
+    met = met.unionByName(more.select("text_key", "item", "shift", "unit", pairs.alias("pairs")))
+    # An alignment has the forms of a window per place of the item at most, whatever the text.
     aligned = met.groupBy("text_key", "item", "shift").agg(
-        F.collect_set("hash").alias("hashes"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs")
+        F.collect_set("unit").alias("units"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
     )
     said = F.size(F.array_distinct(F.col("pairs.said")))
     steady = (F.size("pairs") - said) <= F.lit(SLACK) * F.size("pairs")
     changed = F.size(F.filter("pairs", lambda p: p["said"] != p["says"]))
-    spread = aligned.filter(steady).select("text_key", "item", changed.alias("changed"), F.explode("hashes").alias("hash"))
-    shared = spread.groupBy("text_key", "item").agg(F.countDistinct("hash").alias("n_shared"), F.max("changed").alias("changed"))
+    spread = aligned.filter(steady).select("text_key", "item", changed.alias("changed"), F.explode("units").alias("unit"))
+    shared = spread.groupBy("text_key", "item").agg(F.countDistinct("unit").alias("n_shared"), F.max("changed").alias("changed"))
     held = shared.join(sizes, "item").filter(F.col("n_shared") >= F.lit(share) * F.col("n_windows"))
     named = texts.select("item", F.explode(F.concat("items", F.when(F.col("unnamed"), F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<long>")))).alias("item_id"))
     return held.join(named, "item").select("text_key", "item_id", "n_windows", "n_shared", F.col("changed").cast("long").alias("changed"))

@@ -324,6 +324,34 @@ def test_templates(spark):
     assert decontam.leaks(docs.limit(0), bench).collect() == [] and decontam.leaks(docs, bench.limit(0)).collect() == []
 
 
+def _leaked(spark, item, *texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in decontam.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+
+
+def test_names_that_begin_sentences(spark):
+    item = "The school sold clips to 48 friends in April. Natalia sold half as many clips in May. How many clips did Natalia sell altogether in both of these months"
+    changed = "so " + item.replace("Natalia", "Maria")
+    pair = "so " + item.replace("Natalia", "Anna Maria")
+    other = "so " + item.replace("Natalia", "Maria").replace("half as many", "twice the red").replace("both of these", "all the other")
+    assert _leaked(spark, item, changed, other, prose(3, 60)) == {0}
+    assert _leaked(spark, pair.removeprefix("so "), "so " + pair.replace("Anna Maria", "Eva Lina"), changed) == {0, 1}
+    item = "all the people who work at McDonald and at NASA went for a long walk near the old river before lunch"
+    changed = item.replace("McDonald", "O'Brien").replace("NASA", "ESA")
+    assert _leaked(spark, item, "so " + changed, "so " + item.lower()) == {0, 1}
+
+
+def test_items_of_numbers_and_names(spark):
+    item = "Compute 17 * 23 + 4 * 99 = ?"
+    assert _leaked(spark, item, f"now {item} yes", "now Compute 18 * 24 + 5 * 98 = ? yes", "now Compute 17 + 23 * 4 + 99 = ? yes") == {0}
+    item = "we met Bill Gates Steve Jobs Tim Cook Larry Page"
+    assert _leaked(spark, item, f"so {item} there", "so we met Al Capone there") == {0}
+    # One plain stretch does not stand for the rest; with it, the numbers may be others if they agree.
+    item = "then add up all of these 1 2 3 4 5 6 7 8 9 10 11 12"
+    changed = "so then add up all of these 21 22 23 24 25 26 27 28 29 30 31 32 now"
+    assert _leaked(spark, item, f"so {item} now", "so then add up all of these things now", changed) == {0, 2}
+
+
 def test_more_words_than_the_store(monkeypatch):
     monkeypatch.setattr(decontam, "_STORE", 10)
     monkeypatch.setattr(decontam, "_words", None)
