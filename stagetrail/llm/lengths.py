@@ -64,20 +64,34 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
         (tokens - at_least * F.col("length")).alias("tokens_cut"),
         "all_docs",
         "all_tokens",
+        # The quantile of a share is the first length of which at least that share of documents is no longer.
+        (F.col("all_docs") - at_least + F.col("n_docs")).alias("docs_upto"),
+        ((F.col("all_docs") - at_least + F.col("n_docs")) / F.col("all_docs")).alias("share_upto"),
     )
 
 
 def totals_at(histogram: DataFrame, limits: DataFrame) -> DataFrame:
     """For each row of `limits` (limit): documents over it, tokens kept when all are cut to it, tokens cut.
 
-    The histogram's first length over the limit has the suffix sums; a limit beyond all lengths cuts nothing. Limits
-    are few; each is met once a block and once a length of its own block."""
+    The histogram's first length over the limit has the suffix sums; a limit beyond all lengths cuts nothing. Limits and
+    lengths are put on one line, which is ordered within blocks; the first length of the next block answers what is
+    beyond a block's last one."""
     whole = histogram.agg(F.coalesce(F.max("all_docs"), F.lit(0)).alias("d"), F.coalesce(F.max("all_tokens"), F.lit(0)).alias("t"))
-    over = histogram.join(F.broadcast(limits.select("limit").distinct()), F.col("length") > F.col("limit"))
-    sums = over.groupBy("limit").agg(F.sum("n_docs").alias("docs_over"), F.sum("n_tokens").alias("tokens_over"))
-    docs, tokens = F.coalesce("docs_over", F.lit(0)), F.coalesce("tokens_over", F.lit(0))
+    sums = F.struct(F.col("docs_at_least").alias("docs"), F.col("tokens_at_least").alias("tokens"))
+    lengths = histogram.select(F.col("length").cast("long").alias("at"), sums.alias("sums"))
+    asked = limits.select(F.col("limit").cast("long").alias("at")).filter("at is not null").distinct()
+    line = lengths.unionByName(asked.withColumn("sums", F.lit(None).cast(lengths.schema["sums"].dataType)))
+    line = line.withColumn("block", F.floor(F.col("at") / BLOCK))
+    # From the longest down; a limit comes before the length that equals it.
+    down = Window.partitionBy("block").orderBy(F.desc("at"), F.col("sums").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = line.withColumn("next", F.last("sums", ignorenulls=True).over(down)).filter("sums is null")
+    over = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = line.groupBy("block").agg(F.min_by("sums", F.when(F.col("sums").isNotNull(), F.col("at"))).alias("least"))
+    blocks = blocks.select("block", F.last("least", ignorenulls=True).over(over).alias("beyond"))
+    found = inside.join(blocks, "block").select("at", F.coalesce("next", "beyond").alias("sums"))
+    docs, tokens = F.coalesce("sums.docs", F.lit(0)), F.coalesce("sums.tokens", F.lit(0))
     return (
-        limits.join(sums, "limit", "left")
+        limits.join(found, F.col("limit") == F.col("at"), "left")
         .join(F.broadcast(whole))
         .select("limit", docs.alias("docs_over"), (F.col("t") - tokens + docs * F.col("limit")).alias("tokens_kept"), (tokens - docs * F.col("limit")).alias("tokens_cut"))
     )
@@ -85,5 +99,5 @@ def totals_at(histogram: DataFrame, limits: DataFrame) -> DataFrame:
 
 def quantile(histogram: DataFrame, share: float) -> DataFrame:
     """The smallest length that at least `share` of the documents do not exceed; one row, null without documents."""
-    reached = F.col("docs_below") + F.col("n_docs") >= F.ceil(F.col("all_docs") * F.lit(share))
+    reached = F.col("docs_upto") >= F.ceil(F.col("all_docs") * F.lit(share))
     return histogram.agg(F.min(F.when(reached, F.col("length"))).alias("length"))

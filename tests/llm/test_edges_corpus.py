@@ -396,6 +396,20 @@ def test_lengths(spark, odd, none):
     assert lengths.encoded_lengths(odd, queries.WORD_BPE).count() == len(ROWS)
 
 
+def test_lengths_answer_quantiles_and_limits(spark):
+    r = random.Random(4)
+    n = np.array([r.choice([3, 900, 1023, 1024, 1025, 5000, r.randrange(1, 9000)]) for _ in range(500)])
+    h = lengths.length_histogram(spark.createDataFrame([(int(x),) for x in n], "n_tokens long"))
+    for x in h.collect():
+        assert x.docs_upto == (n <= x.length).sum() and x.share_upto == (n <= x.length).mean()
+    asked = [-5, 0, 3, 1022, 1023, 1024, 1024, 2047, 2048, 8999, 9000, 10**9, *r.choices(range(9000), k=50)]
+    found = lengths.totals_at(h, spark.createDataFrame([(x,) for x in [*asked, None]], "limit long"))
+    told = [(x, (n > x).sum(), np.minimum(n, x).sum(), (n - np.minimum(n, x)).sum()) for x in asked]
+    assert sorted(tuple(x) for x in found.collect() if x.limit is not None) == sorted(told)
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert joins and not any(">" in x for x in joins)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(50)] + [(7, 7)]
     found = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
