@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagetrail.llm import chat, decontam, lengths, mixing, nearcopies, packing, pii, quality, repeats, warc
+from stagetrail.llm import chat, decontam, lengths, lexical, mixing, nearcopies, negatives, packing, pii, quality, repeats, toxicity, warc
 from stagetrail.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -64,6 +64,21 @@ def op10_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return lengths.length_histogram(lengths.encoded_lengths(docs, WORD_BPE))
 
 
+def op11_anchor_lists(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_ngram_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, table(spark, folder, "labels").select("doc_id", "toxic"))
+
+
+def op13_automaton_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_robust_outliers, op2_relational_chat, op3_context_mixing, op4_best_fit, op5_pii, op6_warc_chunks, op7_template_leaks, op8_suffix_arrays, op9_bagminhash, op10_length_histogram)
+    f.__name__: f for f in (op1_robust_outliers, op2_relational_chat, op3_context_mixing, op4_best_fit, op5_pii, op6_warc_chunks, op7_template_leaks, op8_suffix_arrays, op9_bagminhash, op10_length_histogram, op11_anchor_lists, op12_ngram_toxicity, op13_automaton_scan)
 }
