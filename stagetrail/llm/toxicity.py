@@ -2,14 +2,15 @@
 
 A text is the set of its n-grams of 3 to 5 characters (lower-cased, runs of white space as one space, none across
 words but with the spaces around a word), hashed to `SLOTS` numbers. Over all labelled training rows, ratio =
-log((p / |p|) / (q / |q|)), p and q being one more than the number of rows of label 1 and 0 that have the n-gram. A
-logistic classifier of the n-grams present, each as large as its ratio, is then fitted on at most about `SAMPLE` rows of
+log((p / |p|) / (q / |q|)), p and q being the numbers of rows of label 1 and 0 that have the n-gram, plus `SMOOTH` dealt to
+the labels by their shares, so that rare n-grams of either label stay near 0. A logistic classifier of the n-grams present, each as large as its ratio, is then fitted on at most about `SAMPLE` rows of
 either label and `SAMPLE_SLOTS` n-grams of them (all rows, if fewer), chosen by a hash of the id; its intercept is
 moved back to the labels' shares among all training rows. Every text is scored whole.
 
 Edge cases: a null text counts as empty and gets the score of no n-grams; a null id has no label and is not held out;
 null labels count as none, of several labels of one id the largest holds, every row with that id is a training row;
-without rows of both labels the score is the share of label 1 (0 without any label); no rows give no rows; other columns
+unless both labels have rows with n-grams, the score is the share of
+label 1 (0 without any label); no rows give no rows; other columns
 are ignored.
 """
 
@@ -30,6 +31,7 @@ GRAMS = (3, 4, 5)
 SAMPLE = 6000
 SAMPLE_SLOTS = 12_000_000
 EPOCHS = 12
+SMOOTH = 10.0
 LIMIT = 0.3
 #: Characters that are hashed at once.
 PIECE = 1 << 19
@@ -162,7 +164,8 @@ def log_ratios(counts: DataFrame):
     found = counts.toArrow()
     seen = np.zeros((2, SLOTS))
     seen[found["toxic"].to_numpy(), found["slot"].to_numpy()] = found["rows"].to_numpy()
-    share = np.log(seen + 1) - np.log((seen + 1).sum(axis=1, keepdims=True))
+    mass = seen.sum(axis=1, keepdims=True)
+    share = np.log(seen + SMOOTH * mass / mass.sum()) - np.log(mass)
     return np.where(seen.sum(axis=0) > 0, share[1] - share[0], 0.0)
 
 
@@ -194,8 +197,10 @@ def classifier(docs: DataFrame, labels: DataFrame):
 
     rows = staged(training_rows(docs, labels), "labelled")
     sizes = {r.one: (r.rows, r.slots) for r in rows.groupBy((F.col("toxic") >= 1).alias("one")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("slots")).collect()}
-    if len(sizes) < 2:
-        return np.zeros(SLOTS, np.float32), float("inf") if True in sizes else float("-inf")
+    if len(sizes) < 2 or not all(slots for _, slots in sizes.values()):
+        rows = {one: n for one, (n, _) in sizes.items()}
+        odds = rows.get(True, 0) / max(1, rows.get(False, 0))
+        return np.zeros(SLOTS, np.float32), float(np.log(odds)) if odds and False in rows else float("inf") if odds else float("-inf")
     ratios = log_ratios(slot_counts(rows))
     shares = {one: min(1.0, SAMPLE / n, SAMPLE_SLOTS / max(1, slots)) for one, (n, slots) in sizes.items()}
     chosen = rows.filter(F.col("place") < F.when(F.col("toxic") >= 1, shares[True]).otherwise(shares[False]))
