@@ -1,16 +1,16 @@
 """Toxicity by a linear classifier of character n-grams, scaled by naive Bayes log-count ratios.
 
 A text is the set of its n-grams of 3 to 5 characters (lower-cased, runs of white space as one space, none across
-words but with the spaces around a word), hashed to `SLOTS` numbers. Over all labelled training rows, ratio =
-log((p / |p|) / (q / |q|)), p and q being the numbers of rows of label 1 and 0 that have the n-gram, plus `SMOOTH` dealt to
-the labels by their shares, so that rare n-grams of either label stay near 0. A logistic classifier of the n-grams present, each as large as its ratio, is then fitted on at most about `SAMPLE` rows of
-either label and `SAMPLE_SLOTS` n-grams of them (all rows, if fewer), chosen by a hash of the id; its intercept is
-moved back to the labels' shares among all training rows. Every text is scored whole.
+words but with the spaces around a word), hashed to `SLOTS` numbers. The classifier is learned from a sample of the
+labelled rows that are not held out: of either label at most about `SAMPLE` ids (all, if fewer) and `SAMPLE_SLOTS` n-grams,
+chosen by hashes. There ratio = log((p / |p|) / (q / |q|)), p and q being the numbers of rows of label 1 and 0 that have the
+n-gram, plus `SMOOTH` dealt to the labels by their shares, so that rare n-grams of either label stay near 0. A logistic
+classifier of the n-grams present, each as large as its ratio, is fitted to these rows, and its intercept moved back to the
+labels' shares among all labelled rows. Every text is scored whole.
 
 Edge cases: a null text counts as empty and gets the score of no n-grams; a null id has no label and is not held out;
-null labels count as none, of several labels of one id the largest holds, every row with that id is a training row;
-unless both labels have rows with n-grams, the score is the share of
-label 1 (0 without any label); no rows give no rows; other columns
+null labels count as none, of several labels of one id the largest holds, every different text with that id is a training
+row; unless both labels have rows with n-grams, the score is the share of label 1 (0 without any label); no rows give no rows; other columns
 are ignored.
 """
 
@@ -21,13 +21,13 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stagetrail.llm.common import hash_filter, mixed, passes, small_batches, staged, text_or_empty
+from stagetrail.llm.common import mixed, small_batches, staged, text_or_empty
 
-#: log2 of the slots: what the ratios and weights hold, and all that is collected or broadcast.
+#: log2 of the slots, as many weights are broadcast.
 BITS = 18
 SLOTS = 1 << BITS
 GRAMS = (3, 4, 5)
-#: Bounds of the fit: rows of either label, and n-grams of either label's rows.
+#: Bounds of the sample: ids of either label, and n-grams of either label's rows.
 SAMPLE = 6000
 SAMPLE_SLOTS = 12_000_000
 EPOCHS = 12
@@ -98,19 +98,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(_remainder(doc_id) == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """A row per labelled row that is not held out: toxic (0 or 1), place (a hash of the id, from 0 to below 1), n and
-    slots (increasing, as differences of 32 bits)."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
-    known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = hash_filter(known.select(F.xxhash64("doc_id").alias("hash")), "hash")
+def _place(*columns) -> Column:
+    """A number from 0 to below 1, by a hash."""
+    return F.pmod(F.xxhash64(F.lit("place"), *columns), F.lit(1 << 52)) / float(1 << 52)
 
-    def with_label(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        for batch in batches:
-            on = passes(labelled.value, batch.column(1).to_numpy().view("uint64"))
-            yield pa.record_batch([batch.column(0), batch.column(2)], ["doc_id", "text"]).filter(pa.array(on))
+def training_ids(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic (0 or 1) of the ids that are labelled and not held out."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") >= 1).cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
+    return known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def sampled_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """toxic, place, n and slots (increasing, as differences of 32 bits) of the documents with one of the few `ids`."""
 
     def cut(batches: Iterator) -> Iterator:
         import numpy as np
@@ -120,14 +120,12 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
             sets = [np.diff(np.sort(s), prepend=0).astype("<i4") for s in slot_sets(batch.column(2).to_pylist())]
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["toxic", "place", "n", "slots"],
+                ["doc_id", "toxic", "n", "slots"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs["text"]).alias("text")).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = rows.select("doc_id", F.xxhash64("doc_id").alias("hash"), "text").mapInArrow(with_label, "doc_id long, text string")
-    place = F.pmod(F.xxhash64(F.lit("place"), "doc_id"), F.lit(1 << 52)) / float(1 << 52)
-    rows = rows.join(known, "doc_id").select("toxic", place.alias("place"), "text")
-    return rows.mapInArrow(cut, "toxic int, place double, n long, slots binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs["text"]).alias("text"))
+    made = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text").mapInArrow(cut, "doc_id long, toxic int, n long, slots binary")
+    return made.distinct().select("toxic", _place("doc_id", "slots").alias("place"), "n", "slots")
 
 
 def _unpacked(batch, column: int) -> list:
@@ -136,34 +134,13 @@ def _unpacked(batch, column: int) -> list:
     return [np.cumsum(np.frombuffer(b, "<i4"), dtype=np.int32) for b in batch.column(column).to_pylist()]
 
 
-def slot_counts(rows: DataFrame) -> DataFrame:
-    """slot, toxic and the rows that have it; counted in each task before anything is sent."""
-
-    def counted(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        made = np.zeros((2, SLOTS), np.int64)
-        for batch in batches:
-            for toxic, slots in zip(batch.column(0).to_pylist(), _unpacked(batch, 1), strict=True):
-                made[min(1, max(0, toxic)), slots] += 1
-        for toxic in (0, 1):
-            at = np.flatnonzero(made[toxic])
-            yield pa.record_batch([pa.array(at), pa.array(np.full(len(at), toxic, np.int32)), pa.array(made[toxic][at])], ["slot", "toxic", "rows"])
-
-    # A worker counts many batches: as many partitions as the shuffle has, whatever the number of files.
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = rows.select("toxic", "slots").coalesce(parts).mapInArrow(counted, "slot long, toxic int, rows long")
-    return sent.groupBy("slot", "toxic").agg(F.sum("rows").alias("rows"))
-
-
-def log_ratios(counts: DataFrame):
-    """The ratio of every slot, 0 where no labelled row has it. At most two rows a slot are collected."""
+def log_ratios(sets: list, toxic: list[int]):
+    """The ratio of every slot, 0 where no row has it."""
     import numpy as np
 
-    found = counts.toArrow()
     seen = np.zeros((2, SLOTS))
-    seen[found["toxic"].to_numpy(), found["slot"].to_numpy()] = found["rows"].to_numpy()
+    for slots, y in zip(sets, toxic, strict=True):
+        seen[y, slots] += 1
     mass = seen.sum(axis=1, keepdims=True)
     share = np.log(seen + SMOOTH * mass / mass.sum()) - np.log(mass)
     return np.where(seen.sum(axis=0) > 0, share[1] - share[0], 0.0)
@@ -191,25 +168,31 @@ def fitted(ratios, sets: list, toxic: list[int]):
     return (weights * ratios).astype(np.float32), float(intercept)
 
 
+def _shares(totals: dict, bound: int) -> dict:
+    return {toxic: min(1.0, bound / max(1, total)) for toxic, total in totals.items()}
+
+
+def _below(shares: dict) -> Column:
+    return F.col("place") < F.when(F.col("toxic") == 1, shares.get(1, 0.0)).otherwise(shares.get(0, 0.0))
+
+
 def classifier(docs: DataFrame, labels: DataFrame):
-    """Weight of each slot and the intercept, learned from the labelled rows that are not held out."""
+    """Weight of each slot and the intercept, learned from a sample of the labelled rows that are not held out."""
     import numpy as np
 
-    rows = staged(training_rows(docs, labels), "labelled")
-    sizes = {r.one: (r.rows, r.slots) for r in rows.groupBy((F.col("toxic") >= 1).alias("one")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("slots")).collect()}
+    known = training_ids(labels).withColumn("place", _place("doc_id"))
+    ids = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    of_ids = _shares(ids, SAMPLE)
+    rows = staged(sampled_rows(docs, known.filter(_below(of_ids)).drop("place")), "labelled")
+    sizes = {r.toxic: (r.rows, r.slots) for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("slots")).collect()}
     if len(sizes) < 2 or not all(slots for _, slots in sizes.values()):
-        rows = {one: n for one, (n, _) in sizes.items()}
-        odds = rows.get(True, 0) / max(1, rows.get(False, 0))
-        return np.zeros(SLOTS, np.float32), float(np.log(odds)) if odds and False in rows else float("inf") if odds else float("-inf")
-    ratios = log_ratios(slot_counts(rows))
-    shares = {one: min(1.0, SAMPLE / n, SAMPLE_SLOTS / max(1, slots)) for one, (n, slots) in sizes.items()}
-    chosen = rows.filter(F.col("place") < F.when(F.col("toxic") >= 1, shares[True]).otherwise(shares[False]))
-    sample = chosen.select("toxic", "slots", "place").toArrow()
-    order = np.lexsort((sample["toxic"].to_numpy(), sample["place"].to_numpy()))
-    sample = sample.take(order)
-    sets = [s for b in sample.to_batches() for s in _unpacked(b, 1)]
-    weights, intercept = fitted(ratios, sets, [int(y >= 1) for y in sample["toxic"].to_pylist()])
-    return weights, intercept - float(np.log(shares[True] / shares[False]))
+        some = [sizes.get(toxic, (0, 0))[0] for toxic in (0, 1)]
+        return np.zeros(SLOTS, np.float32), float(np.log(some[1] / some[0])) if all(some) else float("inf") if some[1] else float("-inf")
+    of_rows = _shares({toxic: slots for toxic, (_, slots) in sizes.items()}, SAMPLE_SLOTS)
+    sample = rows.filter(_below(of_rows)).orderBy("place", "toxic", "slots").select("toxic", "slots").toArrow()
+    sets, toxic = [s for b in sample.to_batches() for s in _unpacked(b, 1)], sample["toxic"].to_pylist()
+    weights, intercept = fitted(log_ratios(sets, toxic), sets, toxic)
+    return weights, intercept - float(np.log(of_ids[1] * of_rows[1] / of_ids[0] / of_rows[0]))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
