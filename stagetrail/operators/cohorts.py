@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import TimeWindow, json_int, json_text, json_upper
-from .timeline import SLICE_MINUTES, with_next_time
+from .timeline import SLICE_MINUTES, with_next_instant, with_next_time
 
 
 def anchor_events(log: DataFrame, anchor: str, window: TimeWindow, key_floor: str | None = None) -> DataFrame:
@@ -112,19 +112,26 @@ def booking_intervals(
     ends the interval before it. Of equal rows the one with the later end survives.
     """
     bookings = anchor_events(log, anchor, window, key_floor).select("entity", "event_time", "payload")
-    followed = with_next_time(
-        bookings, "entity", "event_time", "next_booking_time", tie=("payload",), slice_minutes=slice_minutes
-    ).withColumnRenamed("event_time", "booking_time")
-    if dedupe_key is not None:
-        latest = Window.partitionBy("transaction_id").orderBy(
-            F.desc("booking_time"),
-            F.asc_nulls_first("entity"),
-            F.asc_nulls_first("payload"),
-            F.desc_nulls_first("next_booking_time"),
-        )
-        followed = (
-            followed.withColumn("transaction_id", json_text(F.col("payload"), dedupe_key))
-            .withColumn("rank", F.row_number().over(latest))
-            .filter(F.col("rank") == 1)
-        )
-    return followed.select("entity", "booking_time", "next_booking_time")
+    if dedupe_key is None:
+        times = with_next_time(bookings.select("entity", "event_time"), "entity", "event_time", "next_booking_time", slice_minutes=slice_minutes)
+        return times.withColumnRenamed("event_time", "booking_time")
+    # Of the rows of one instant only the last by payload, one row, looks for the next time; that of all others is their
+    # own. It is among the others too, but there with the earlier end, and one row of a transaction survives.
+    # Both read the count of equal rows, so Spark shuffles them once for both.
+    rows = bookings.groupBy(*bookings.columns).agg(F.count("*").alias("copies"))
+    marked = rows.withColumn("last", F.struct("payload", "copies"))
+    last = with_next_instant(marked, "entity", "event_time", "next_booking_time", "last", slice_minutes)
+    others = rows.filter("copies > 0").select("entity", "event_time", "payload", F.col("event_time").alias("next_booking_time"))
+    followed = last.select("entity", "event_time", "last.payload", "next_booking_time").unionByName(others).withColumnRenamed("event_time", "booking_time")
+    latest = Window.partitionBy("transaction_id").orderBy(
+        F.desc("booking_time"),
+        F.asc_nulls_first("entity"),
+        F.asc_nulls_first("payload"),
+        F.desc_nulls_first("next_booking_time"),
+    )
+    return (
+        followed.withColumn("transaction_id", json_text(F.col("payload"), dedupe_key))
+        .withColumn("rank", F.row_number().over(latest))
+        .filter(F.col("rank") == 1)
+        .select("entity", "booking_time", "next_booking_time")
+    )

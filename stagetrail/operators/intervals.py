@@ -3,11 +3,16 @@
 An interval starts at a booking and ends before the entity's next one. Bookings and events are put on
 one timeline and each event takes the latest booking at or before it; nothing is joined on the entity
 alone, so cost stays linear in the rows however many bookings and events one entity has.
+
+All that happens to an entity at one instant falls into the same interval. Operators that aggregate merge
+it to one row first, in each task before the shuffle, so that no more rows than distinct instants enter
+the timeline. The one that returns events keeps instants with very many events out of it: such an instant
+enters as one row, and its events, which stay in the tasks that read them, look its booking up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,45 +22,40 @@ from ..functions import hours_between, json_text
 from ..functions.time import timestamp_literal
 from .churn import Rule
 from .pivot import bit, has, mask_of, masks_of
-from .timeline import SLICE_MINUTES, carry_forward
+from .timeline import CROWD, SLICE_MINUTES, carry_forward, crowded_instants
 
 # Stands for "no next booking" while ends are compared.
 OPEN_END = "9999-12-31 23:59:59.999999"
 
 
-def _on_timeline(
-    intervals: DataFrame,
-    events: DataFrame,
-    keys: Sequence[str],
-    carried: Sequence[str],
-    slice_minutes: int,
-    aggregated: bool = True,
-) -> DataFrame:
-    """Bookings, and events that fall into an interval, with ``booking_time`` and ``end_time``.
+def _who() -> list[Column]:
+    """A booking of nobody is kept but gets no events. Its key is made non-NULL, because a nullable join
+    key would add a NULL filter to one of the two branches that are to share a shuffle."""
+    return [F.coalesce("entity", F.lit("")).alias("entity"), F.col("entity").isNull().alias("nobody")]
 
-    Booking rows have ``is_event`` 0 and NULL in the ``carried`` event columns. An operator that
-    aggregates the result itself reads all of them; one that returns rows cannot know.
+
+def _on_timeline(intervals: DataFrame, events: DataFrame, carried: Sequence[str], slice_minutes: int) -> DataFrame:
+    """Bookings, and events that fall into an interval, with ``booking_time``, ``end_time`` and ``copies``.
+
+    Booking rows have ``is_event`` 0, how many equal bookings there are, and NULL in the ``carried`` event columns.
     """
     types = {f.name: f.dataType for f in events.schema.fields}
     no_time = F.lit(None).cast("timestamp_ntz")
-    others = [k for k in keys if k != "entity"]
-    # A booking of nobody is kept but gets no events. Its key is made non-NULL, because a nullable join
-    # key would add a NULL filter to one of the two branches that are to share a shuffle.
-    who = [F.coalesce("entity", F.lit("")).alias("entity"), F.col("entity").isNull().alias("nobody")]
-    starts = intervals.select(
-        *others,
-        *who,
+    bookings = intervals.groupBy("entity", "booking_time", "next_booking_time").agg(F.count("*").alias("copies"))
+    starts = bookings.select(
+        *_who(),
         F.col("booking_time").alias("event_time"),
         F.lit(0).alias("is_event"),
+        "copies",
         F.col("booking_time"),
         F.coalesce("next_booking_time", timestamp_literal(OPEN_END)).alias("end_time"),
         *[F.lit(None).cast(types[c]).alias(c) for c in carried],
     )
     happened = events.filter(F.col("entity").isNotNull()).select(
-        *others,
-        *who,
+        *_who(),
         "event_time",
         F.lit(1).alias("is_event"),
+        F.lit(0).cast("bigint").alias("copies"),
         no_time.alias("booking_time"),
         no_time.alias("end_time"),
         *carried,
@@ -63,42 +63,95 @@ def _on_timeline(
     # At one instant bookings come before events, and of equal bookings the one that lasts comes last.
     placed = carry_forward(
         starts.unionByName(happened),
-        [*keys, "nobody"],
+        ["entity", "nobody"],
         ["event_time", "is_event", "end_time"],
         ["booking_time", "end_time"],
-        carried if aggregated else (),
+        (),
         slice_minutes,
     )
-    # An open interval holds its last instant too: a booking at that instant would have taken the event.
-    open_ = F.col("end_time") == timestamp_literal(OPEN_END)
-    inside = placed.filter((F.col("is_event") == 0) | (F.col("event_time") < F.col("end_time")) | open_)
+    inside = placed.filter((F.col("is_event") == 0) | _before(F.col("end_time")))
     return inside.withColumn("entity", F.when(~F.col("nobody"), F.col("entity"))).drop("nobody")
 
 
+def _before(end: Column) -> Column:
+    """An open interval holds its last instant too: a booking at that instant would have taken the event."""
+    return (F.col("event_time") < end) | (end == timestamp_literal(OPEN_END))
+
+
+def _instants(
+    intervals: Sequence[DataFrame], events: DataFrame, states: Mapping[str, Callable[[Column], Column]], slice_minutes: int
+) -> DataFrame:
+    """A row per entity and instant at which it booked or something happened: the merged ``states`` of the instant's
+    events, NULL if none, and for each of the ``intervals`` (by place) ``start_n``, the latest booking at or before the
+    instant, ``end_n``, and ``booked_n``, whether it is at the instant."""
+    types = {f.name: f.dataType for f in events.schema.fields}
+    no_time = F.lit(None).cast("timestamp_ntz")
+    values = [f"{end}_{n}" for n in range(len(intervals)) for end in ("start", "end")]
+
+    def row(rows: DataFrame, time: str, own: Mapping[str, Column]) -> DataFrame:
+        return rows.select(
+            *_who(),
+            F.col(time).alias("event_time"),
+            *[own.get(v, no_time).alias(v) for v in values],
+            *[(F.col(c) if c in rows.columns else F.lit(None).cast(types[c])).alias(c) for c in states],
+        )
+
+    parts = [row(events.filter(F.col("entity").isNotNull()), "event_time", {})]
+    for n, bookings in enumerate(intervals):
+        end = F.coalesce("next_booking_time", timestamp_literal(OPEN_END))
+        parts.append(row(bookings.select("entity", "booking_time", "next_booking_time"), "booking_time", {f"start_{n}": F.col("booking_time"), f"end_{n}": end}))
+    # Of equal bookings the one that lasts holds the events, and a booking comes before the events of its instant.
+    merged = (
+        reduce(DataFrame.unionByName, parts)
+        .groupBy("entity", "nobody", "event_time")
+        .agg(*[F.max(v).alias(v) for v in values], *[merge(F.col(c)).alias(c) for c, merge in states.items()])
+    )
+    placed = carry_forward(merged, ["entity", "nobody"], ["event_time"], values, [*states], slice_minutes)
+    entity = F.when(~F.col("nobody"), F.col("entity")).alias("entity")
+    booked = [(F.col(f"start_{n}") == F.col("event_time")).alias(f"booked_{n}") for n in range(len(intervals))]
+    return placed.select(entity, "event_time", *states, *values, *booked)
+
+
+def _held(n: int, states: Sequence[str]) -> list[Column]:
+    """``booking_time`` of the n-th intervals, and the states of an instant that falls into it, else NULL."""
+    inside = _before(F.col(f"end_{n}"))
+    return [F.col(f"start_{n}").alias("booking_time"), *[F.when(inside, F.col(c)).alias(c) for c in states]]
+
+
 def interval_attribution(
-    intervals: DataFrame, events: DataFrame, how: str = "left", slice_minutes: int = SLICE_MINUTES
+    intervals: DataFrame, events: DataFrame, how: str = "left", slice_minutes: int = SLICE_MINUTES, crowd: int = CROWD
 ) -> DataFrame:
-    """Each event with the booking whose interval holds it; ``left`` keeps bookings without events."""
+    """Each event with the booking whose interval holds it; ``left`` keeps bookings without events.
+
+    ``crowd``: events of one entity at one instant beyond which they stay out of the timeline.
+    """
     if how not in ("left", "inner"):
         raise ValueError(f"how must be 'left' or 'inner', not {how!r}")
-    placed = _on_timeline(intervals, events, ["entity"], ["event_name", "payload"], slice_minutes, aggregated=False)
-    found = placed.filter(F.col("is_event") == 1).select(
-        "entity", "booking_time", "event_name", "event_time", "payload"
-    )
+    output = ["entity", "booking_time", "event_name", "event_time", "payload"]
+    crowds = crowded_instants(events, rows=crowd)
+    instant = ["entity", "event_time"]
+    quiet = events.select(*instant, "event_name", "payload", F.lit(False).alias("crowd")).join(F.broadcast(crowds), instant, "left_anti")
+    nothing = F.lit(None).cast("string")
+    marks = crowds.select(*instant, nothing.alias("event_name"), nothing.alias("payload"), F.lit(True).alias("crowd"))
+    placed = _on_timeline(intervals, quiet.unionByName(marks), ["event_name", "payload", "crowd"], slice_minutes)
+    found = placed.filter((F.col("is_event") == 1) & ~F.col("crowd")).select(*output)
+    # The crowds' own small timeline; as few rows as there are crowds take the events to their bookings.
+    theirs = intervals.join(F.broadcast(crowds.select("entity").distinct()), "entity", "left_semi")
+    held = _on_timeline(theirs, crowds, [], slice_minutes).filter(F.col("is_event") == 1).select(*instant, "booking_time")
+    found = found.unionByName(events.join(F.broadcast(held), instant).select(*output))
     if how == "inner":
         return found
-    no_time = F.lit(None).cast("timestamp_ntz")
     idle = (
         placed.groupBy("entity", "booking_time", "end_time")
-        .agg(F.max("is_event").alias("used"), F.count_if(F.col("is_event") == 0).alias("copies"))
+        .agg(F.max("is_event").alias("used"), F.sum("copies").alias("copies"))
         .filter(F.col("used") == 0)
-        .select("entity", "booking_time", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        .select("entity", "booking_time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
         .select(
             "entity",
             "booking_time",
-            F.lit(None).cast("string").alias("event_name"),
-            no_time.alias("event_time"),
-            F.lit(None).cast("string").alias("payload"),
+            nothing.alias("event_name"),
+            F.lit(None).cast("timestamp_ntz").alias("event_time"),
+            nothing.alias("payload"),
         )
     )
     return found.unionByName(idle)
@@ -111,19 +164,23 @@ def interval_event_coverage(
     any_name: str = "any_cnt",
     slice_minutes: int = SLICE_MINUTES,
 ) -> DataFrame:
-    """One row per period: bookings, those with each named event in their interval, those with any."""
-    tagged = reduce(
-        lambda a, b: a.unionByName(b), [df.withColumn("period", F.lit(label)) for label, df in intervals.items()]
-    )
+    """One row per period: bookings, those with each named event in their interval, those with any.
+
+    One timeline carries the latest booking of every period, so events are shuffled once however many there are.
+    """
     masks = masks_of([F.col("event_name") == n for n in names])
-    wanted = events.filter(F.col("event_name").isin(*names)).select(
-        "entity",
-        "event_time",
-        *[m.alias(n) for n, m in masks.items()],
-        F.explode(F.array(*[F.lit(label) for label in intervals])).alias("period"),
-    )
+    wanted = events.filter(F.col("event_name").isin(*names)).select("entity", "event_time", *[m.alias(n) for n, m in masks.items()])
+    placed = _instants([*intervals.values()], wanted, {n: F.bit_or for n in masks}, slice_minutes)
+    each = [
+        F.struct(F.lit(label).alias("period"), *_held(p, [*masks]), F.col(f"booked_{p}").alias("booked"))
+        for p, label in enumerate(intervals)
+    ]
+    # A booking is its own instant; an instant that holds nothing for it adds nothing.
+    some = reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in masks])
     bookings = (
-        _on_timeline(tagged, wanted, ["period", "entity"], [*masks], slice_minutes)
+        placed.select("entity", F.explode(F.array(*each)).alias("each"))
+        .select("entity", "each.*")
+        .filter(F.col("booking_time").isNotNull() & (F.col("booked") | some))
         .groupBy("period", "entity", "booking_time")
         .agg(*[F.coalesce(F.bit_or(n), F.lit(0).cast("bigint")).alias(n) for n in masks])
     )
@@ -166,19 +223,17 @@ def time_to_cancel_by_initiator(
 
     The initiator is the one that sorts first among the booking's cancellations, not the earliest one's.
     """
-    events = assigned.select("entity", "event_time", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("by"))
-    events = events.unionByName(
-        cancels.select("entity", "event_time", F.lit(2).alias("kind"), json_text(F.col("payload"), initiator_key).alias("by"))
-    )
-
-    def first(kind: int) -> Column:
-        return F.min(F.when(F.col("kind") == kind, F.col("event_time")))
-
+    no_time, nobody = F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("string")
+    events = assigned.select("entity", "event_time", F.col("event_time").alias("assigned_time"), no_time.alias("cancelled_time"), nobody.alias("initiated_by"))
+    by = json_text(F.col("payload"), initiator_key).alias("initiated_by")
+    events = events.unionByName(cancels.select("entity", "event_time", no_time.alias("assigned_time"), F.col("event_time").alias("cancelled_time"), by))
+    states = ("assigned_time", "cancelled_time", "initiated_by")
     bookings = (
-        _on_timeline(intervals, events, ["entity"], ["kind", "by"], slice_minutes)
-        .filter(F.col("entity").isNotNull())
+        _instants([intervals.filter(F.col("entity").isNotNull())], events, {c: F.min for c in states}, slice_minutes)
+        .filter(F.col("start_0").isNotNull())
+        .select("entity", *_held(0, states))
         .groupBy("entity", "booking_time")
-        .agg(first(1).alias("assigned_time"), first(2).alias("cancelled_time"), F.min("by").alias("initiated_by"))
+        .agg(*[F.min(c).alias(c) for c in states])
         .filter(F.col("assigned_time").isNotNull() & F.col("cancelled_time").isNotNull())
     )
     hours = hours_between(F.col("assigned_time"), F.col("cancelled_time"))
@@ -222,7 +277,9 @@ def assigned_cancel_edges(
         return F.min(F.when(has("mask", i), F.col("event_time")))
 
     bookings = (
-        _on_timeline(intervals, marked, ["entity"], ["mask"], slice_minutes)
+        _instants([intervals], marked, {"mask": F.bit_or}, slice_minutes)
+        .filter(F.col("start_0").isNotNull())
+        .select("entity", "event_time", *_held(0, ["mask"]))
         .groupBy("entity", "booking_time")
         .agg(F.bit_or("mask").alias("flags"), first(0).alias("assigned_time"), first(2).alias("cancelled_time"))
     )

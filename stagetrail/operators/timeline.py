@@ -3,7 +3,9 @@
 A window over ``partitionBy(entity)`` sorts everything an entity ever did in one task. Here the
 timeline is cut into slices of the clock. Rows are ordered inside (entity, slice), and what one slice
 hands to the next is worked out on a summary of one row per slice, whose size per entity is bounded by
-the length of the log and not by its traffic.
+the length of the log and not by its traffic. Rows of one entity at one instant are alike to the
+timeline, so callers merge them first (in each task, before the shuffle) or keep instants with very
+many rows out of it, see ``crowded_instants``.
 """
 
 from __future__ import annotations
@@ -17,12 +19,34 @@ from ..functions import slice_index
 
 SLICE = "time_slice"
 SLICE_MINUTES = 10
+# Events of one entity at one instant that a task may sort, and the numbers by which they are counted first.
+CROWD = 100_000
+BUCKETS = 1 << 16
 
 
 def with_next_time(
     rows: DataFrame, key: str, time: str, out: str, tie: Sequence[str] = (), slice_minutes: int = SLICE_MINUTES
 ) -> DataFrame:
-    """Add the time of the key's next row, NULL for its last; a NULL key is a key of its own."""
+    """Add the time of the key's next row, NULL for its last; a NULL key is a key of its own.
+
+    Rows of nothing but key and time are counted per instant before anything is ordered, so any number of equal
+    ones is one row; with other columns every row is ordered.
+    """
+    if set(rows.columns) != {key, time}:
+        return _led(rows, key, time, out, tie, slice_minutes)
+    led = _led(rows.groupBy(key, time).agg(F.count("*").alias("copies")), key, time, out, (), slice_minutes)
+    # All but one of equal rows are followed by another at their own time.
+    copies = led.select(*rows.columns, out, F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return copies.select(*rows.columns, F.when(F.col("copy") == 1, F.col(out)).otherwise(F.col(time)).alias(out))
+
+
+def with_next_instant(rows: DataFrame, key: str, time: str, out: str, last: str, slice_minutes: int = SLICE_MINUTES) -> DataFrame:
+    """One row per key and instant, with the largest of the column ``last`` there and the time of the next instant."""
+    instants = rows.groupBy(key, time).agg(F.max(last).alias(last))
+    return _led(instants, key, time, out, (), slice_minutes)
+
+
+def _led(rows: DataFrame, key: str, time: str, out: str, tie: Sequence[str], slice_minutes: int) -> DataFrame:
     in_slice = Window.partitionBy(key, SLICE)
     ordered = in_slice.orderBy(time, *[F.asc_nulls_first(c) for c in tie])
     sliced = rows.withColumn(SLICE, slice_index(F.col(time), slice_minutes))
@@ -72,3 +96,19 @@ def carry_forward(
         *[c for c in rows.columns if c not in values],
         *[F.coalesce(f"running_{v}", f"carried_{v}").alias(v) for v in values],
     )
+
+
+def crowded_instants(events: DataFrame, key: str = "entity", time: str = "event_time", rows: int = CROWD) -> DataFrame:
+    """The instants of a key with more than ``rows`` events, and more than an 8192nd of all: at most 8192.
+
+    Counts by a hash of the instant, ``BUCKETS`` numbers a task at most, leave few buckets that can hold such an
+    instant; only their events are counted by instant. A NULL key or time has none.
+    """
+    told = events.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, time)
+    told = told.withColumn("bucket", F.pmod(F.xxhash64(key, time), F.lit(BUCKETS)))
+    counted = told.groupBy("bucket").agg(F.count("*").alias("events"))
+    limit = F.greatest(F.lit(rows), F.sum("events").over(Window.partitionBy()) / 8192).alias("limit")
+    full = counted.select("bucket", "events", limit).filter(F.col("events") > F.col("limit")).select("bucket", "limit")
+    # At most 8192 buckets are above an 8192nd.
+    some = told.join(F.broadcast(full), "bucket")
+    return some.groupBy(key, time).agg(F.count("*").alias("events"), F.max("limit").alias("limit")).filter(F.col("events") > F.col("limit")).select(key, time)
