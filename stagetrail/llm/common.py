@@ -45,6 +45,22 @@ def small_batches(batches: Iterator, rows: int = 1000) -> Iterator:
             yield batch.slice(at, rows)
 
 
+def batches_of_bytes(batches: Iterator, column: int, size: int = 4 << 20, rows: int = 1000) -> Iterator:
+    """Arrow batches cut so that the texts of each hold about `size` bytes at most, or are one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        at = 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(ends, ends[at] + size, "right")) - 1
+            to = min(max(to, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 #: By name, what empties a store that a worker keeps from task to task.
 STORES: dict[str, Callable[[], None]] = {}
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from stagetrail.llm.common import components, hash_filter, hashed_words, mixed, passes, staged, text_or_empty, windows_hashed
+from stagetrail.llm.common import batches_of_bytes, components, forget, hash_filter, hashed_words, mixed, passes, staged, text_or_empty, windows_hashed
 
 WIDTH = 5
 SIMILAR = 0.8
@@ -98,18 +98,18 @@ def signed(docs: DataFrame, row: Column) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                texts = [_words(t) for t in some.column(2).to_pylist()]
-                bags = [bag(t) for t in texts]
-                bits = signatures(bags).astype("<f4").view("<i4")
-                made = [
-                    pa.array([text_key(t) for t in texts], pa.binary()),
-                    pa.array([int(c.sum()) for _, c in bags], pa.int64()),
-                    pa.ListArray.from_arrays(np.arange(0, bits.size + 1, COMPONENTS, dtype=np.int32), pa.array(bits.reshape(-1))),
-                ]
-                yield pa.record_batch([some.column(0), some.column(1), *made], ["doc_id", "row", "text_key", "n", "signature"])
+        forget()
+        for some in batches_of_bytes(batches, 2):
+            texts = [_words(t) for t in some.column(2).to_pylist()]
+            bags = [bag(t) for t in texts]
+            bits = signatures(bags).astype("<f4").view("<i4")
+            made = [
+                pa.array([text_key(t) for t in texts], pa.binary()),
+                pa.array([int(c.sum()) for _, c in bags], pa.int64()),
+                pa.ListArray.from_arrays(np.arange(0, bits.size + 1, COMPONENTS, dtype=np.int32), pa.array(bits.reshape(-1))),
+            ]
+            yield pa.record_batch([some.column(0), some.column(1), *made], ["doc_id", "row", "text_key", "n", "signature"])
+        forget()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), _source(docs).alias("text"))
     return source.mapInArrow(sign, "doc_id long, row long, text_key binary, n long, signature array<int>")
@@ -134,7 +134,8 @@ def unit_items(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        forget()
+        for batch in batches_of_bytes(batches, 0):
             texts = [_words(t) for t in batch.column(0).to_pylist()]
             keys = [text_key(t) for t in texts]
             on = passes(may.value, np.array([int.from_bytes(k[:8], "big") for k in keys], np.uint64))
@@ -250,12 +251,13 @@ def _split_join(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """`docs` with one row of each class, that of the smallest id; columns as they are."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = classed(docs, row)
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_key")
-    stay = staged(rows.groupBy("class").agg(F.min(first).alias("first")).select("first.doc_id", "first.row", "first.text_key"), "first")
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col("doc_id").cast("long").alias("id"), row.alias("hash"))
-    same = source["id"].eqNullSafe(stay["doc_id"]) & (source["hash"] == stay["row"])
-    kept = source.join(stay, same, "left_semi").dropDuplicates(["id", "hash"])
-    return kept.select("whole.*")
+    """`docs` with one row of each class, that of the smallest id; columns, of whatever type, as they are.
+
+    Rows are numbered and written once, so a number stays with its row whatever `docs` is made from."""
+    number = "_" + "_".join(["row", *docs.columns])
+    numbered = staged(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = classed(numbered, F.col(number))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    stay = rows.groupBy("class").agg(F.min(first).alias("first")).select(F.col("first.row").alias(number))
+    kept = numbered.join(stay, number, "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

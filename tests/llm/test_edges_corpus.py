@@ -66,6 +66,24 @@ def test_near_copies_keep_one_row(spark, odd):
     assert {(None, 1, 3), (1, 1, 3), (2, 2, 3), (3, 2, 3), (6, 2, 3), (5, 4, 2)} <= classes
 
 
+def test_columns_of_any_type(spark):
+    docs = spark.createDataFrame([(1, prose(3, 90), "en", "a"), (2, prose(3, 90), "en", "a"), (3, None, None, None)], "doc_id long, text string, lang string, source string")
+    docs = docs.withColumn("facts", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("more", F.array(F.create_map(F.lit(1), F.lit(2))))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.schema == docs.schema, name
+        assert {r.doc_id for r in out.collect()} == ({1, 3} if name == "near_copies" else {1, 2} if name == "quality_rules" else {1, 2, 3}), name
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    texts = [b"a" * n for n in (5, 5, 30, 1, 1, 1, 0, 0, 9)]
+    whole = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.binary())], ["id", "text"])
+    parts = list(common.batches_of_bytes([whole.slice(1)], 1, 10, 3))
+    assert [b.column(0).to_pylist() for b in parts] == [[1], [2], [3, 4, 5], [6, 7, 8]]
+
+
 def test_near_copies_of_a_large_group(spark):
     """Edited copies of one text: the leader brings most together, the rest is found by the bound."""
     base = prose(5, 120).split()
