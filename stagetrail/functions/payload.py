@@ -6,11 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def parsed(payload: Column) -> Column:
+    """The payload as VARIANT, in an array of its own; parsed once for all keys that a row is asked for.
+
+    Spark's parser stops after the first value. What parses both inside an array and inside an object is one value: after
+    it, the one could only go on with a value and the other only with a key.
+    """
+    alone = F.try_parse_json(F.concat(F.lit('{"":'), payload, F.lit("}"))).isNotNull()
+    return F.when(alone, F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]"))))
+
+
 def json_text(payload: Column, key: str) -> Column:
-    """Value of one top-level key, as text. Dots and spaces belong to the key."""
-    if "'" in key or "?" in key:
-        raise ValueError(f"JSON key cannot hold a quote or question mark: {key!r}")
-    return F.get_json_object(payload, f"$['{key}']")
+    """Value of one top-level key, as text. Dots, spaces, quotes and question marks belong to the key.
+
+    Text that is more than one JSON value, or names a key twice, has no values.
+    """
+    for quote in "'\"":
+        if quote not in key:
+            return F.try_variant_get(parsed(payload), f"$[0][{quote}{key}{quote}]", "string")
+    raise ValueError(f"JSON key cannot hold both kinds of quotes: {key!r}")
 
 
 def json_upper(payload: Column, key: str) -> Column:

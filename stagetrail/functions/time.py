@@ -55,6 +55,12 @@ class TimeWindow:
             tests.append(column <= timestamp_literal(self.not_after))
         return reduce(lambda a, b: a & b, tests) if tests else column.isNotNull()
 
+    def bounds(self) -> tuple[datetime | None, datetime | None]:
+        """First and last instant of the window on the log's clock, both in it; None where it is open."""
+        shift, tick = timedelta(minutes=self.shift_minutes), timedelta(microseconds=1)
+        ends = [] if self.hi is None else [_moment(self.hi) - shift - tick]
+        ends += [] if self.not_after is None else [_moment(self.not_after)]
+        return None if self.lo is None else _moment(self.lo) - shift, min(ends, default=None)
 
     def from_start(self) -> TimeWindow:
         """The window without its end: everything a booking inside it can be followed by."""

@@ -18,6 +18,8 @@ from .cohorts import (
     latest_per_transaction,
     variant_first_touch,
 )
+from .daily import DailyMasks
+from .distinct import distinct_entities, entity_numbers, period_stage_distincts_by_bitmap, with_numbers
 from .explore import cohort_top_events, event_search_by_period
 from .funnels import (
     cohort_flag_cooccurrence,
@@ -45,6 +47,7 @@ from .report import (
 )
 
 __all__ = [
+    "DailyMasks",
     "StageSpec",
     "anchor_events",
     "assigned_cancel_edges",
@@ -57,6 +60,8 @@ __all__ = [
     "cohort_delta",
     "cohort_flag_cooccurrence",
     "cohort_top_events",
+    "distinct_entities",
+    "entity_numbers",
     "event_search_by_period",
     "first_booking_cohort",
     "first_event_times",
@@ -69,6 +74,7 @@ __all__ = [
     "metrics_snapshot",
     "overall_mixed_funnel",
     "period_stage_distincts",
+    "period_stage_distincts_by_bitmap",
     "reach_funnel",
     "report_lines",
     "stage_dropoff",
@@ -80,4 +86,5 @@ __all__ = [
     "variant_first_touch",
     "variant_ranking",
     "variant_times",
+    "with_numbers",
 ]

@@ -4,21 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import TimeWindow, in_any, period_label
+from .distinct import distinct_entities
 
 
-def event_search_by_period(log: DataFrame, pattern: str, windows: Mapping[str, TimeWindow]) -> DataFrame:
-    """Distinct entities per (period, event) for events whose name contains the text in any case."""
+def event_search_by_period(
+    log: DataFrame, pattern: str, windows: Mapping[str, TimeWindow], number: Column | str | None = None
+) -> DataFrame:
+    """Distinct entities per (period, event) for events whose name contains the text in any case.
+
+    ``number``: the entities' dense numbers, if the log has them; they are then counted by bitmaps.
+    """
     time = F.col("event_time")
-    return (
-        log.filter(F.lower("event_name").contains(pattern.lower()) & in_any(time, windows.values()))
-        .groupBy(period_label(time, windows).alias("period"), "event_name")
-        .agg(F.count_distinct("entity").alias("distinct_users"))
-        .orderBy("period", F.desc("distinct_users"), "event_name")
-    )
+    found = log.filter(F.lower("event_name").contains(pattern.lower()) & in_any(time, windows.values()))
+    found = found.withColumn("period", period_label(time, windows))
+    keys = ["period", "event_name"]
+    if number is None:
+        counted = found.groupBy(*keys).agg(F.count_distinct("entity").alias("distinct_users"))
+    else:
+        counted = distinct_entities(found, keys, number)
+    return counted.orderBy("period", F.desc("distinct_users"), "event_name")
 
 
 def cohort_top_events(cohort: DataFrame, log: DataFrame, window: TimeWindow, k: int = 30) -> DataFrame:

@@ -7,6 +7,7 @@ user into business days, so that reaching a stage is no matter of course.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ from ..functions import (
 )
 from ..functions.time import cutoff_date, timestamp_literal
 from ..operators import (
+    DailyMasks,
     StageSpec,
     assigned_cancel_edges,
     booking_cohort,
@@ -39,6 +41,7 @@ from ..operators import (
     cohort_delta,
     cohort_flag_cooccurrence,
     cohort_top_events,
+    entity_numbers,
     event_search_by_period,
     first_booking_cohort,
     first_event_times,
@@ -51,6 +54,7 @@ from ..operators import (
     metrics_snapshot,
     overall_mixed_funnel,
     period_stage_distincts,
+    period_stage_distincts_by_bitmap,
     reach_funnel,
     report_lines,
     stage_dropoff,
@@ -62,10 +66,11 @@ from ..operators import (
     variant_first_touch,
     variant_ranking,
     variant_times,
+    with_numbers,
 )
 from ..operators.churn import cancel_stages, initiator_is, initiator_starts
 from ..operators.timeline import with_next_time
-from ..sources import event_log, rename_metrics, union_logs
+from ..sources import event_log, read_days, rename_metrics, union_logs, write_days, write_snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -116,6 +121,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder where all executors see it; the session names the place."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 # Logs ---------------------------------------------------------------------------------------------
 
 
@@ -150,6 +163,19 @@ def app_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_log(table(spark, sf_dir, "events"), "app", "user_id", "event_type", "ts", F.to_json(payload))
 
 
+def dirty_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The app's log with a share of broken payloads, by event id."""
+    k = json_text(F.col("props"), "k")
+    whole = F.to_json(
+        F.struct(k.alias("k"), F.translate(F.substring(k, 1, 1), "1234", "abcd").alias(FLOW_KEY), F.concat_ws("-", F.col("user_id"), k).alias("transaction_id"), k.alias("it's?"))
+    )
+    kind = F.col("event_id") % 10
+    payload = (
+        F.when(kind == 3, F.substring(whole, F.lit(1), F.length(whole) - 1)).when(kind == 4, F.lit(None)).when(kind == 5, F.concat(whole, F.lit(" x"))).when(kind == 6, F.lit("[1]")).otherwise(whole)
+    )
+    return event_log(table(spark, sf_dir, "events"), "app", "user_id", "event_type", "ts", payload)
+
+
 def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_log(table(spark, sf_dir, "events"), "app", "user_id", "event_type", "ts", "props")
 
@@ -284,6 +310,31 @@ def q_event_search_by_period(spark, sf_dir):
     return event_search_by_period(visit_log(spark, sf_dir), "I", {"PRE": PRE_EVENTS, "POST": POST_EVENTS})
 
 
+def q_event_search_by_bitmap(spark, sf_dir):
+    log = visit_log(spark, sf_dir)
+    return event_search_by_period(with_numbers(log, entity_numbers(log)), "I", {"PRE": PRE_EVENTS, "POST": POST_EVENTS}, "entity_no")
+
+
+def q_period_stages_by_bitmap(spark, sf_dir):
+    window = TimeWindow("2024-01-01", "2024-02-01")
+    cohorts = {"PRE": booked_visits(PRE_EVENTS), "POST": booked_visits(POST_EVENTS)}
+    log = visit_log(spark, sf_dir)
+    stages = [StageSpec(n, e, window) for n, e in VISIT_STAGES.items()]
+    return period_stage_distincts_by_bitmap(cohorts, with_numbers(log, entity_numbers(log)), stages)
+
+
+def q_daily_mask_funnel(spark, sf_dir):
+    """Daily masks of a stored log, refreshed twice, and the funnel that they give with parts of days from the log."""
+    folder = new_folder(spark, "daily")
+    write_days(app_log(spark, sf_dir), f"{folder}/log", SHIFT)
+    stages = [StageSpec("viewed", "view"), StageSpec("tried", ("click", "error")), StageSpec("paid", "purchase")]
+    masks = DailyMasks(spark, f"{folder}/masks", StageSpec("joined", "signup", key_floor=KEY_FLOOR), stages, 8, SHIFT)
+    for as_of in ("2024-01-11 00:00:00", "2024-01-25 04:00:00"):
+        masks.refresh(read_days(spark, f"{folder}/log"), as_of)
+    windows = {"joined": PRE_BOOKINGS, "viewed": TimeWindow("2024-01-03 07:30:00", "2024-01-03 21:00:00", SHIFT), "tried": RELEASE, "paid": None}
+    return masks.reach(read_days(spark, f"{folder}/log"), windows)
+
+
 def q_cohort_top_events(spark, sf_dir):
     log = visit_log(spark, sf_dir)
     return cohort_top_events(booking_cohort(log, "signup", POST_EVENTS), log, POST_EVENTS, 3)
@@ -407,6 +458,16 @@ def q_assigned_cancel_edges(spark, sf_dir):
     )
 
 
+def q_three_log_edges(spark, sf_dir):
+    """Edges over three logs: orders book and reach, lines assign (their log has no payload), app errors cancel."""
+    orders, lines, app = order_log(spark, sf_dir), line_log(spark, sf_dir), app_log(spark, sf_dir)
+    intervals = booking_intervals(orders.filter(F.col("event_name") == BOOKED), BOOKED, TimeWindow("1995-01-01", "2001-09-01", SHIFT))
+    events = union_logs(orders.filter(F.col("event_name") == "2-HIGH"), lines, app)
+    return assigned_cancel_edges(
+        intervals, events, "NO", "2-HIGH", "error", initiator_is("a", FLOW_KEY), initiator_is("b", FLOW_KEY), "9", ("k", "reason")
+    )
+
+
 def q_next_event_times(spark, sf_dir):
     events = app_log(spark, sf_dir).select("entity", "event_time")
     return with_next_time(events, "entity", "event_time", "next_time")
@@ -457,6 +518,14 @@ def q_metrics_snapshot(spark, sf_dir):
     return snapshot(spark, sf_dir).select(F.to_json(F.struct("*")).alias("snapshot"))
 
 
+def q_snapshot_sink(spark, sf_dir):
+    """The snapshot written twice, and what a reader of the folder sees."""
+    folder = new_folder(spark, "snapshot")
+    for _ in range(2):
+        write_snapshot(snapshot(spark, sf_dir), folder)
+    return spark.read.text(folder).withColumnRenamed("value", "snapshot")
+
+
 def q_maturity_label(spark, sf_dir):
     return maturity_label(q_reach_funnel_rolling(spark, sf_dir))
 
@@ -477,6 +546,30 @@ def q_payload_fields(spark, sf_dir):
     )
 
 
+def q_dirty_payload_fields(spark, sf_dir):
+    """Payloads that are cut off, missing, followed by more text, or JSON but no object."""
+    payload = F.col("payload")
+    return dirty_log(spark, sf_dir).select(
+        "event_time",
+        "entity",
+        json_text(payload, "k").alias("k_text"),
+        json_int(payload, "k").alias("k_int"),
+        json_upper(payload, FLOW_KEY).alias("flow"),
+        json_text(payload, "it's?").alias("odd_key"),
+    )
+
+
+def q_latest_of_dirty(spark, sf_dir):
+    """Rows without a transaction id, whatever the reason, are one transaction."""
+    log = dirty_log(spark, sf_dir).filter(F.col("event_name") == "purchase")
+    return latest_per_transaction(log, "transaction_id").select("transaction_id", "entity", "event_time")
+
+
+def q_floored_cohort(spark, sf_dir):
+    """Keys are compared as text, so the floor keeps 5 and 50 and drops 4 and 40."""
+    return booking_cohort(order_log(spark, sf_dir), BOOKED, PRE_ORDERS, "5")
+
+
 def q_clock_fields(spark, sf_dir):
     time = F.col("event_time")
     windows = {"PRE": PRE_EVENTS, "POST": POST_EVENTS}

@@ -20,6 +20,14 @@ APP = """
     CAST(user_id AS VARCHAR) || '-' || json_extract_string(props, '$.k') AS txn
   FROM events
 """
+# Payloads of every tenth event are cut off, missing, followed by text, or no object; nothing can be read from them.
+DIRTY = """
+  SELECT CAST(user_id AS VARCHAR) AS entity, event_type AS name, ts AS t,
+    CASE WHEN event_id % 10 NOT IN (3, 4, 5, 6) THEN json_extract_string(props, '$.k') END AS k,
+    translate(left(CASE WHEN event_id % 10 NOT IN (3, 4, 5, 6) THEN json_extract_string(props, '$.k') END, 1), '1234', 'abcd') AS flow,
+    CASE WHEN event_id % 10 NOT IN (3, 4, 5, 6) THEN CAST(user_id AS VARCHAR) || '-' || json_extract_string(props, '$.k') END AS txn
+  FROM events
+"""
 VISIT = """
   SELECT CAST(user_id AS VARCHAR) || '@' || CAST(CAST(ts + INTERVAL 330 MINUTE AS DATE) AS VARCHAR) AS entity,
     event_type AS name, ts AS t
@@ -302,6 +310,15 @@ FROM events""",
     "event_search_by_period": f"""
 SELECT CASE WHEN {PRE_EVENTS} THEN 'PRE' ELSE 'POST' END AS period, name AS event_name, count(DISTINCT entity) AS distinct_users
 FROM ({VISIT}) WHERE name ILIKE '%I%' AND (({PRE_EVENTS}) OR ({POST_EVENTS})) GROUP BY 1, 2""",
+    "daily_mask_funnel": f"""
+WITH app AS ({APP}),
+seen AS (
+  SELECT entity, bool_or(name = 'signup' AND entity >= '0' AND {PRE_BOOKINGS}) AS member,
+    bool_or(name = 'view' AND {_local("2024-01-03 07:30:00", "2024-01-03 21:00:00")}) AS v,
+    bool_or(name IN ('click', 'error') AND {RELEASE}) AS c, bool_or(name = 'purchase') AS p
+  FROM app GROUP BY entity)
+SELECT count(*) AS total_customers, count(*) FILTER (WHERE v) AS viewed, count(*) FILTER (WHERE c) AS tried,
+  count(*) FILTER (WHERE p) AS paid FROM seen WHERE member""",
     "cohort_top_events": f"""
 WITH visit AS ({VISIT})
 SELECT name AS event_name, count(DISTINCT entity) AS distinct_users FROM visit
@@ -336,6 +353,27 @@ WITH app AS ({APP}), {_intervals("pre_intervals", PRE_BOOKINGS)}, {_intervals("p
 {_coverage("PRE")} UNION ALL {_coverage("POST")}""",
     "time_to_cancel_by_initiator": TIME_TO_CANCEL,
     "assigned_cancel_edges": EDGES,
+    "three_log_edges": f"""
+WITH {LOGS}, app AS ({APP}),
+intervals AS (
+  SELECT entity, t AS booking_time, lead(t) OVER (PARTITION BY entity ORDER BY t) AS next_booking_time
+  FROM booking WHERE name = '1-URGENT' AND {_local("1995-01-01", "2001-09-01")}),
+e AS (
+  SELECT 'booking' AS source, entity, name, t, NULL AS flow, NULL AS k FROM booking WHERE name = '2-HIGH'
+  UNION ALL SELECT 'task', entity, name, t, NULL, NULL FROM task
+  UNION ALL SELECT 'app', entity, name, t, flow, k FROM app),
+per_booking AS (
+  SELECT b.entity, b.booking_time, min(e.t) FILTER (WHERE name = 'NO') AS assigned, min(e.t) FILTER (WHERE name = 'error') AS cancelled,
+    count(*) FILTER (WHERE name = '2-HIGH') AS reached, count(*) FILTER (WHERE name = 'error' AND flow = 'a') AS by_customer,
+    count(*) FILTER (WHERE name = 'error' AND flow = 'b') AS by_system, count(*) FILTER (WHERE name = 'error' AND k LIKE '%9%') AS delayed
+  FROM intervals b JOIN e ON {_IN} GROUP BY ALL),
+edge AS (SELECT *, date_diff('hour', assigned, cancelled) AS hours, assigned IS NOT NULL AND cancelled IS NOT NULL AS hit FROM per_booking)
+SELECT count(*) FILTER (WHERE hit) AS cancelled_at_assigned_stage,
+  count(*) FILTER (WHERE hit AND reached > 0) AS reached_and_cancelled,
+  round(avg(hours) FILTER (WHERE hit AND by_customer > 0), 0) AS avg_hours_cust_cancel,
+  round(avg(hours) FILTER (WHERE hit AND by_system > 0), 0) AS avg_hours_sys_cancel,
+  count(*) FILTER (WHERE hit AND delayed > 0) AS delay_reason_count
+FROM edge""",
     "next_event_times": f"""
 SELECT entity, t AS event_time, lead(t) OVER (PARTITION BY entity ORDER BY t) AS next_time FROM ({APP})""",
     "stage_dropoff": _dropoff(REACH_POST),
@@ -354,12 +392,19 @@ SELECT CAST(row_number() OVER (ORDER BY purchase / greatest(get_started, 1) DESC
   round(purchase / get_started * 100, 1) AS conv_pct FROM ({SEQUENCE})""",
     "renamed_metrics": f"SELECT signups AS installs, views, get_started AS started, purchase AS paid, CAST(0 AS BIGINT) AS absent FROM ({MIXED})",
     "metrics_snapshot": SNAPSHOT,
+    "snapshot_sink": SNAPSHOT,
     "maturity_label": f"""
 SELECT format('{{:,}}', total_customers) AS customers_text, strftime(post_end_date, '%b %-d') AS post_end_label
 FROM ({REACH_POST})""",
     "payload_fields": f"""
 SELECT entity, t AS event_time, k AS k_text, TRY_CAST(k AS INTEGER) AS k_int, TRY_CAST(txn AS INTEGER) AS not_a_number,
   upper(flow) AS flow, CAST(NULL AS VARCHAR) AS missing FROM ({APP})""",
+    "dirty_payload_fields": f"""
+SELECT t AS event_time, entity, k AS k_text, TRY_CAST(k AS INTEGER) AS k_int, upper(flow) AS flow, k AS odd_key FROM ({DIRTY})""",
+    "latest_of_dirty": f"""
+SELECT txn AS transaction_id, entity, t AS event_time FROM ({DIRTY}) WHERE name = 'purchase'
+QUALIFY row_number() OVER (PARTITION BY txn ORDER BY t DESC, entity) = 1""",
+    "floored_cohort": f"SELECT DISTINCT entity FROM ({BOOKING}) WHERE name = '1-URGENT' AND entity >= '5' AND {PRE_ORDERS}",
     "clock_fields": f"""
 SELECT entity, t AS event_time, CAST(t + INTERVAL 330 MINUTE AS DATE) AS local_day,
   date_diff('hour', t, TIMESTAMP '2024-01-15 10:30:00') AS hours_left,
@@ -368,3 +413,5 @@ SELECT entity, t AS event_time, CAST(t + INTERVAL 330 MINUTE AS DATE) AS local_d
   strftime(t, '%Y-%m-%d') AS day_text, strftime(t, '%b %-d') AS day_label, strftime(t, '%Y-%m-%d %H:%M') AS minute_text
 FROM ({APP})""",
 }
+SQL["event_search_by_bitmap"] = SQL["event_search_by_period"]
+SQL["period_stages_by_bitmap"] = SQL["period_stage_distincts"]
