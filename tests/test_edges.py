@@ -444,7 +444,24 @@ def test_json(spark):
     assert [r[0] for r in got] == [None, None, None, "v", None, None, None, None]
     assert [r[1] for r in got] == [None, None, None, 1, 1, None, 2, None]
     with pytest.raises(ValueError):
-        json_text(F.col("p"), "it's")
+        json_text(F.col("p"), "it's \"both\"")
+
+
+def test_json_is_one_value(spark):
+    whole = '{"it\'s?": 1, "say \\"x\\"": [true], "a": "}] x", "b": 1.50, "c": {"d": null}}'
+    more = [" x", ", 2", ', "e": 3', "] x", "} x", '}] {"b": 1}', "] [1]", " {}", "]", "}", ","]
+    df = spark.createDataFrame([(whole,), (f" {whole}\n",), *[(whole + m,) for m in more], ("{'a': 1}",), ('{"a": 1, "a": 2}',), ("",)], "p string")
+    keys = ["it's?", 'say "x"', "a", "b", "c", "missing"]
+    got = [tuple(r) for r in df.select(*[json_text(F.col("p"), k).alias(str(i)) for i, k in enumerate(keys)]).collect()]
+    assert got[:2] == [("1", "[true]", "}] x", "1.5", '{"d":null}', None)] * 2
+    assert got[2:] == [(None,) * 6] * (len(got) - 2)
+
+
+def test_json_is_parsed_once(spark):
+    keys = [json_text(F.col("p"), k).alias(k) for k in "abcdef"]
+    plan = spark.createDataFrame([('{"a": 1}',)], "p string").filter("p is not null").select(*keys)
+    code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan._jdf.queryExecution().sparkPlan())
+    assert 0 < code.count("VariantExpressionEvalUtils.parseJson(") <= 4 or code.count("parseJson") <= 8
 
 
 def test_first_time_counter(log):
