@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagetrail.llm.common import small_batches, text_or_empty
+from stagetrail.llm.common import small_batches, staged, text_or_empty
 from stagetrail.llm.tokens import encoded
 
 #: Lengths that share a block when sums run on: whole blocks are summed first, so no task sees all lengths.
@@ -34,7 +34,8 @@ def encoded_lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
     """A row per length that occurs: documents of it, and sums over the documents of at least and of under it."""
-    counts = lengths.groupBy(F.col(column).alias("length")).agg(F.count(F.lit(1)).alias("n_docs"))
+    # Written, as both blocks and rows are made from it: texts are not tokenised for each.
+    counts = staged(lengths.groupBy(F.col(column).alias("length")).agg(F.count(F.lit(1)).alias("n_docs")), "length-counts")
     counts = counts.withColumns({"n_tokens": F.col("length") * F.col("n_docs"), "block": F.floor(F.col("length") / BLOCK)})
     down = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens"))
