@@ -7,8 +7,9 @@ stays. A document goes if its Mahalanobis distance is over `far`.
 
 All rows take part in every step. Vectors are whole 1/1024ths, so sums are exact and the same in any order; a step is
 one aggregate of moments by distance bin, whose rows are bounded by groups and bins, so a source with a third of all
-rows costs no task more than another. Groups of under `least` rows are pooled by language, then together; a pool that
-is still too small rejects nothing.
+rows costs no task more than another. A group of under `least` rows is judged by the estimate of all rows of its
+language, or of the whole table if these are too few; only a table of under `least` rows rejects nothing more.
+A statistic that hardly varies in a group counts with a least spread instead of its own.
 
 Edge cases: a null text has no words and fails the base rules; null language or source is a group of its own; ties in
 distance stay together; repeated rows count each; no rows give no rows; other columns are ignored, or kept by
@@ -34,6 +35,8 @@ UNIT = 1024
 BINS = 32
 STEPS = 6
 MEDIAN_CHI2_5 = 4.351460191095527
+#: Distance that one of a thousand points of five normal statistics exceeds: the root of the chi-square quantile.
+FAR = 20.515005652432873**0.5
 D = len(SPREADS)
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 
@@ -98,18 +101,26 @@ def vector(counts: Column) -> list[Column]:
     return [F.round(x * UNIT).cast("long") for x in made]
 
 
+def _pool(by: str, *columns: str) -> Column:
+    return F.to_json(F.struct(F.lit(by).alias("by"), *columns))
+
+
 def _groups(rows: DataFrame, least: int) -> DataFrame:
-    """lang, source, gid: the pool that a (language, source) belongs to; null if it is too small."""
+    """lang, source, gid: the pool that judges a (language, source); null if even the table is too small. gids: the pools
+    that its rows are part of, which are those that judge anything."""
     n = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    by_lang, alone = Window.partitionBy("lang"), F.col("n") >= least
-    n = n.withColumn("n_lang", F.sum(F.when(~alone, F.col("n")).otherwise(0)).over(by_lang))
-    pooled = n.groupBy().agg(F.sum(F.when(~alone & (F.col("n_lang") < least), F.col("n"))).alias("n_rest"))
+    everywhere = n.agg(F.sum("n").alias("n_all"))
+    n = n.withColumn("n_lang", F.sum("n").over(Window.partitionBy("lang"))).join(F.broadcast(everywhere))
     gid = (
-        F.when(alone, F.to_json(F.struct(F.lit("source").alias("by"), "lang", "source")))
-        .when(F.col("n_lang") >= least, F.to_json(F.struct(F.lit("language").alias("by"), "lang")))
-        .when(F.col("n_rest") >= least, F.lit("all"))
+        F.when(F.col("n") >= least, _pool("source", "lang", "source"))
+        .when(F.col("n_lang") >= least, _pool("language", "lang"))
+        .when(F.col("n_all") >= least, F.lit("all"))
     )
-    return n.join(F.broadcast(pooled)).select("lang", "source", gid.alias("gid"))
+    n = n.withColumn("gid", gid)
+    pools = F.array(_pool("source", "lang", "source"), _pool("language", "lang"), F.lit("all"))
+    # A (language, source) has one row here, so these are few.
+    judges = n.agg(F.collect_set("gid").alias("judges"))
+    return n.join(F.broadcast(judges)).select("lang", "source", "gid", F.array_intersect(pools, "judges").alias("gids"))
 
 
 def _moments() -> list[Column]:
@@ -132,14 +143,15 @@ def _estimates(moments: DataFrame) -> DataFrame:
         import numpy as np
         import pandas as pd
 
-        floor = np.diag(np.square(list(SPREADS.values())))
+        floor = np.square(list(SPREADS.values()))
         for b in batches:
             n = b["n"].to_numpy(float)
             mean = b[[f"s{i}" for i in range(D)]].to_numpy(float) / n[:, None] / UNIT
             scatter = np.empty((len(b), D, D))
             for i, j in PAIRS:
                 scatter[:, i, j] = scatter[:, j, i] = b[f"s{i}{j}"].to_numpy(float) / n / UNIT**2 - mean[:, i] * mean[:, j]
-            scatter = scatter + floor
+            own = np.diagonal(scatter, axis1=1, axis2=2)
+            scatter = scatter + np.maximum(floor - own, 0)[:, :, None] * np.eye(D)
             inverse = np.linalg.inv(scatter)
             made = {"gid": b["gid"], "start": b["start"], "det": np.linalg.det(scatter), "scale": 1.0}
             made |= {f"m{i}": mean[:, i] for i in range(D)} | {f"p{i}{j}": inverse[:, i, j] for i, j in PAIRS}
@@ -199,12 +211,12 @@ def group_estimates(docs: DataFrame, counts: str, share: float, least: int) -> t
     rows = staged(rows, "vectors")
     groups = staged(_groups(rows, least), "groups")
     same = (rows["lang"].eqNullSafe(groups["lang"])) & (rows["source"].eqNullSafe(groups["source"]))
-    vectors = staged(rows.join(groups, same).filter("gid is not null").select("gid", *[f"x{i}" for i in range(D)]), "vectors")
+    vectors = staged(rows.join(groups, same).select(F.explode("gids").alias("gid"), *[f"x{i}" for i in range(D)]), "vectors")
     return groups, robust_estimates(vectors, share)
 
 
 def judged(
-    docs: DataFrame, into: str = "quality", share: float = 0.75, far: float = 6.0, least: int = 50, keep: list[str] | None = None
+    docs: DataFrame, into: str = "quality", share: float = 0.75, far: float = FAR, least: int = 50, keep: list[str] | None = None
 ) -> DataFrame:
     """`docs` (its columns `keep`, or all) with a struct `into`: the base counts, base_failed, distance (null without an
     estimate), kept."""
@@ -213,7 +225,7 @@ def judged(
     source = source.drop("text")
     groups, estimates = group_estimates(source, "counts", share, least)
     # Written once more so that its size is known before the texts move: a small one is then sent to them.
-    known = staged(groups.join(estimates, "gid", "left").withColumnsRenamed({"lang": "_lang", "source": "_source"}), "known")
+    known = staged(groups.drop("gids").join(estimates, "gid", "left").withColumnsRenamed({"lang": "_lang", "source": "_source"}), "known")
     same = source["lang"].eqNullSafe(known["_lang"]) & source["source"].eqNullSafe(known["_source"])
     near = source.join(known, same, "left").withColumns({f"x{i}": x for i, x in enumerate(vector(F.col("counts")))})
     distance = F.sqrt(F.greatest(_distance(), F.lit(0.0)) / F.col("scale"))

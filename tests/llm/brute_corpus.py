@@ -128,3 +128,34 @@ def by_id(df, *columns):
     for r in df.collect():
         made[r[0]].append(tuple(r[c] for c in columns))
     return made
+
+
+def robust_distances(x, share=0.75, steps=6):
+    """Distances of the rows of `x` (whole 1/1024ths) from their minimum covariance determinant, by dense numpy."""
+    from stagetrail.llm.quality import BINS, MEDIAN_CHI2_5, SPREADS, UNIT
+
+    x = np.asarray(x, float) / UNIT
+    floor = np.square(list(SPREADS.values()))
+
+    def estimate(mean, scatter):
+        scatter = scatter + np.diag(np.maximum(floor - np.diag(scatter), 0))
+        return mean, np.linalg.inv(scatter), np.linalg.det(scatter)
+
+    def squared(e):
+        return np.einsum("ni,ij,nj->n", x - e[0], e[1], x - e[0])
+
+    def nearest(e, part):
+        bins = np.floor(np.log(np.maximum(squared(e), 0) + 1e-9) * BINS)
+        # Whole bins, until the part is reached.
+        return bins, bins <= np.sort(bins)[math.ceil(len(x) * part) - 1]
+
+    q = np.percentile(x, [25, 50, 75], axis=0)
+    found = []
+    for e in (estimate(x.mean(axis=0), np.cov(x.T, bias=True)), estimate(q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2))):
+        for _ in range(steps):
+            some = x[nearest(e, share)[1]]
+            e = estimate(some.mean(axis=0), np.cov(some.T, bias=True))
+        found.append(e)
+    best = min(found, key=lambda e: e[2])
+    bins, half = nearest(best, 0.5)
+    return np.sqrt(squared(best) / max(1.0, math.exp((bins[half].max() + 1) / BINS) / MEDIAN_CHI2_5))

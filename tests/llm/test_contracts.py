@@ -50,8 +50,36 @@ def test_quality(spark, docs):
         r = rows[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.base_counts(text)
         assert not (r.base_failed and r.kept)
-        # Symbol junk is the planted outlier; text without symbols stays if the base rules let it.
-        assert r.base_failed or r.kept == (r.n_symbols < 0.2 * r.n_words)
+
+
+def test_quality_verdicts(spark):
+    """Distances and verdicts of every row against a dense estimate of the pool that judges it."""
+    from collections import Counter
+
+    from stagetrail.llm import quality
+
+    rows = [r.asDict() for r in quality.judged(table(spark, SF, "documents")).select("doc_id", "lang", "source", "quality.*").collect()]
+    passed = [r for r in rows if not r["base_failed"]]
+
+    def vector(r):
+        n, lines = max(1, r["n_words"]), max(1, r["n_lines"])
+        made = (np.log(n), np.log(max(1, r["word_chars"]) / n), np.log1p(r["n_symbols"] * 10 / n), r["n_dup_lines"] / lines, r["n_repeat_words"] / n)
+        return [int(np.floor(v * 1024 + 0.5)) for v in made]
+
+    sizes = Counter((r["lang"], r["source"]) for r in passed), Counter(r["lang"] for r in passed)
+
+    def pool(r):
+        if sizes[0][r["lang"], r["source"]] >= 50:
+            return r["lang"], r["source"]
+        return (r["lang"],) if sizes[1][r["lang"]] >= 50 else ()
+
+    assert len({pool(r) for r in passed}) > 1
+    for key in {pool(r) for r in passed}:
+        members = [r for r in passed if (r["lang"], r["source"])[: len(key)] == key]
+        distances = brute.robust_distances([vector(r) for r in members])
+        for r, d in zip(members, distances, strict=True):
+            if pool(r) == key:
+                assert r["distance"] == pytest.approx(d, rel=1e-6) and r["kept"] == (d <= quality.FAR)
 
 
 def test_scores(spark, docs):

@@ -166,6 +166,32 @@ def test_quality_outliers(spark):
     assert kept == {i for i in range(600) if i % 5}
 
 
+def test_quality_of_small_groups(spark):
+    """Rows of a rare language and source are judged by their language or by the table."""
+    rows = [(i, prose(i, 60 + i % 90), "en", "large") for i in range(400)]
+    rows += [(1000 + i, " ".join(w + "#|<" for w in prose(i, 80).split()), "xx", "rare") for i in range(30)]
+    rows += [(2000 + i, prose(5000 + i, 100), "en", "small") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality.kept_documents(docs).collect()}
+    assert kept == {*range(400), *range(2000, 2010)}
+    few = quality.judged(docs.filter("lang = 'xx'")).select("quality.*").collect()
+    assert len(few) == 30 and all(r.kept and r.distance is None for r in few)
+
+
+def test_every_statistic_can_reject(spark):
+    plain = [(i, "\n".join(prose(100 * i + k, 12) for k in range(8 + i % 5)), "en", "a") for i in range(300)]
+    lines = "\n".join([prose(9, 6)] * 1 + [prose(7 + k % 2, 30) + "" for k in range(2)])
+    # Short lines of two kinds over and over, between whole ones: few repeated windows, most lines seen before.
+    dup = "\n".join([prose(1, 150), *["ab cd"] * 30])
+    long_words = "\n".join(" ".join(w * 4 for w in prose(50 + k, 12).split()) for k in range(8))
+    long_text = prose(77, 25_000)
+    docs = spark.createDataFrame([*plain, (1000, dup, "en", "a"), (1001, long_words, "en", "a"), (1002, long_text, "en", "a"), (1003, lines, "en", "a")], "doc_id long, text string, lang string, source string")
+    rows = {r.doc_id: r for r in quality.judged(docs).select("doc_id", "quality.*").collect()}
+    assert all(rows[i].kept for i in range(300))
+    for i in (1000, 1001, 1002):
+        assert not rows[i].base_failed and not rows[i].kept and rows[i].n_symbols == 0, (i, rows[i])
+
+
 def test_scores(spark, odd, none):
     rows = mixing.scores(odd).collect()
     assert len(rows) == len(ROWS) and all(np.isfinite(r.score) and r.score < 0 for r in rows)

@@ -17,7 +17,11 @@ from stagetrail.llm import lexical, negatives, queries, toxicity
 from stagetrail.llm.oracle import SQL
 
 VECTORS = "vec_id long, embedding array<float>, label int"
-CLASH = {c: F.lit("x") for c in ("entry", "vector", "ids", "cluster", "g", "rows", "score", "anchor", "anchor_id", "place", "term", "n", "counts", "rank", "hash", "slots")}
+CLASH = ("entry", "vector", "ids", "cluster", "g", "rows", "score", "anchor", "anchor_id", "place", "term", "n", "counts", "rank", "hash", "slots")
+
+
+def clashing():
+    return {c: F.lit("x") for c in CLASH}
 
 
 @pytest.mark.parametrize("name", ["op11_anchor_lists", "op13_automaton_scan"])
@@ -45,7 +49,7 @@ def brute_negatives(rows, every=2):
 
 
 def mined(spark, rows, **how):
-    got = negatives.hard_negatives(spark.createDataFrame(rows, VECTORS).withColumns(CLASH), F.col("vec_id") % 2 == 0, **how)
+    got = negatives.hard_negatives(spark.createDataFrame(rows, VECTORS).withColumns(clashing()), F.col("vec_id") % 2 == 0, **how)
     return sorted(tuple(r) for r in got.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect())
 
 
@@ -107,7 +111,7 @@ def test_search(spark, monkeypatch, term_bytes):
     docs = [(i, "".join(r.choice(words) + r.choice([" ", ", ", "\x00", "-", "\n", "_"]) for _ in range(r.randrange(30)))) for i in range(200)]
     docs += [(900 + i, "the aba ab ab") for i in range(120)] + [(None, "the aba ab ab"), (900, "the aba ab ab"), (901, None), (902, ""), (903, " ..\x7f"), (904, "ab " * 50_000)]
     items = [(1, "AB aba, aba"), (2, "the"), (2, "x1 日本"), (3, None), (4, ""), (5, "missing words"), (None, "äb İ"), (6, "ab-b_1")]
-    got = lexical.ranked(spark.createDataFrame(docs, "doc_id long, text string").repartition(7).withColumns(CLASH), spark.createDataFrame(items, "item_id long, text string").withColumns(CLASH))
+    got = lexical.ranked(spark.createDataFrame(docs, "doc_id long, text string").repartition(7).withColumns(clashing()), spark.createDataFrame(items, "item_id long, text string").withColumns(clashing()))
     assert sorted((tuple(x) for x in got.select("item_id", "rank", "doc_id", "score").collect()), key=str) == brute_search(docs, items)
 
 
@@ -148,8 +152,8 @@ def test_toxicity_learns(spark):
         labels.append((i, int(bad)))
     docs += [(None, "vileword"), (5000, None), (5001, ""), (5002, "q" * 1_200_000 + " vileword"), (0, "vileword vileword")]
     labels += [(None, 1), (5001, None), (7000, 1), (3, 0), (3, 0)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5).withColumns(CLASH)
-    got = toxicity.scored(frame, spark.createDataFrame(labels, "doc_id long, toxic int").withColumns(CLASH)).collect()
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5).withColumns(clashing())
+    got = toxicity.scored(frame, spark.createDataFrame(labels, "doc_id long, toxic int").withColumns(clashing())).collect()
     assert len(got) == len(docs) and all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.3) for x in got)
     import zlib
 
