@@ -1,6 +1,6 @@
 """Benchmark questions in documents, also with other numbers, names and units.
 
-Words become a template: numbers, quantities (a number and its unit) and names turn into typed placeholders, the rest
+Words become a template: numbers, quantities (a number and its unit, or a sum of money) and names turn into typed placeholders, the rest
 is lower-cased without outer punctuation. A capitalised word that begins a sentence, an acronym or a word with an inner
 capital is a plain word or a name: windows with one have a second form with placeholders, and either may meet. Windows
 of five template words are hashed and joined with those of the benchmark. Along one alignment (a document place less an
@@ -14,8 +14,12 @@ An item whose words make fewer than five template words, such as a list of names
 Only windows that may be the benchmark's leave the tasks that read texts: a filter of fixed size stops the others, the
 join is exact. Equal texts are joined once, by their digest, and equal templates of items too.
 
-Edge cases: a null or empty text, or an item of under five words, has no windows and matches nothing; null
-ids stay null; repeated rows each get the result of their text; without documents or items there are no rows; other
+An item of two to four words is found where a document has just these words one after another, one of a single word
+only where it is the document.
+
+Items that many documents may hold a part of meet only documents that have one of the item's rarest windows.
+
+Edge cases: a text without words has no windows and matches nothing; null ids stay null; repeated rows each get the result of their text; without documents or items there are no rows; other
 columns are ignored, or kept by `without_leaks`.
 """
 
@@ -24,7 +28,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagetrail.llm.common import FILTER_BITS, STORES, forget, hash_filter, passes, small_batches, staged, text_or_empty, windows_hashed
@@ -40,6 +44,13 @@ UNITS = frozenset(
     "minutes h hr hour hours day days week weeks month months year years percent % dollar dollars cent cents euro euros "
     "mph kmh degree degrees °c °f hz khz mhz ghz w kw v a j kj n pa kpa bar mol".split()
 )
+#: Numbers written as words.
+NUMBERS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
+    "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+)
+#: A sum of money: its sign is the unit.
+_MONEY = re.compile(r"^[^\w$\u20ac\u00a3]*(?:[-+]?[$\u20ac\u00a3][-+]?\d[\d.,]*|\d[\d.,]*[$\u20ac\u00a3])\W*$")
 _NUMBER = re.compile(r"^[$€£+-]?\d[\d.,:/]*(.*)$")
 _OUTER = re.compile(r"^\W+|\W+$")
 _OPERATOR = re.compile(r"^[-+*/=<>^\u00d7\u00f7\u00b1\u2013\u2014\u2212\u2260\u2264\u2265]+$")
@@ -71,6 +82,10 @@ class _Words:
         if not word:
             word = raw.decode("utf-8", "replace").translate(_DASHES)
             kind = OPERATOR if _OPERATOR.match(word) else 0
+        elif _MONEY.match(raw.decode("utf-8", "replace")):
+            kind = QUANTITY
+        elif word.lower() in NUMBERS:
+            kind = NUMBER
         elif m:
             kind = NUMBER if not m[1] else QUANTITY if m[1].lower() in UNITS else PLAIN
         elif word.lower() in UNITS:
@@ -151,10 +166,11 @@ class _Form:
         return made, light, firm
 
 
-def template_windows(texts: list[list[bytes]], may: object = None, exact: bool = False):
+def template_windows(texts: list[list[bytes]], may: object = None, exact: bool = False, short: tuple[int, ...] = tuple(range(1, WIDTH))):
     """Windows of the texts' templates: text number, place, hash, slot values, hash of the place's first form, and what
     it counts for. `may`: a filter of the hashes wanted; `exact`: also windows of the words as they are, which without
-    a filter are those of texts that have no others."""
+    a filter are those of texts that have no others. `short`: widths under `WIDTH`; without a filter the texts of so many
+    words are one such window each, with one any such words of a text are, but a single word only if it is the text."""
     import numpy as np
 
     sizes = np.array([len(t) for t in texts])
@@ -228,9 +244,21 @@ def template_windows(texts: list[list[bytes]], may: object = None, exact: bool =
         for i in np.flatnonzero(good).tolist():
             h = int(hashes[i].astype(np.int64))
             yield int(doc[i]), i - int(starts[doc[i]]), h, [], h, EXACT
+    if not short:
+        return
+    length = np.bincount(doc, minlength=len(texts))
+    starts = np.searchsorted(doc, np.arange(len(texts)))
+    for width in short:
+        hashes = windows_hashed(value ^ np.uint64(0x8EBC6AF09C88C6E3 + width), width)
+        n = len(hashes)
+        good = doc[:n] == doc[width - 1 : width - 1 + n]
+        good &= length[doc[:n]] == width if may is None or width == 1 else passes(may, hashes)
+        for i in np.flatnonzero(good).tolist():
+            h = int(hashes[i].astype(np.int64))
+            yield int(doc[i]), i - int(starts[doc[i]]), h, [], h, EXACT
 
 
-def _windows(rows: DataFrame, key: str, may=None, exact: bool = True) -> DataFrame:
+def _windows(rows: DataFrame, key: str, may=None, exact: bool = True, short: tuple[int, ...] = tuple(range(1, WIDTH))) -> DataFrame:
     """key, place, hash, slots, unit, counts of the windows of `rows` (key, text as bytes)."""
     kind = rows.schema[key].dataType.simpleString()
 
@@ -240,7 +268,7 @@ def _windows(rows: DataFrame, key: str, may=None, exact: bool = True) -> DataFra
         forget(but="words")
         for batch in small_batches(batches):
             keys, texts = batch.column(0), [t.split() for t in batch.column(1).to_pylist()]
-            found = list(template_windows(texts, None if may is None else may.value, exact))
+            found = list(template_windows(texts, None if may is None else may.value, exact, short))
             if found:
                 doc, place, hashes, slots, unit, counts = zip(*found, strict=True)
                 columns = [keys.take(pa.array(doc)), pa.array(place, pa.int64()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(unit, pa.int64()), pa.array(counts, pa.int32())]
@@ -253,6 +281,28 @@ def _keyed(docs: DataFrame):
     return F.unhex(F.md5(F.encode(text_or_empty(docs["text"]), "utf-8")))
 
 
+def _word_counts(texts: DataFrame) -> DataFrame:
+    """words: how many a text has at most, for texts that may have few (every word has a letter or digit, or is one sign)."""
+    return texts.select(F.size(F.split(F.trim(F.regexp_replace(F.decode("text", "utf-8"), r"\s+", " ")), " ")).alias("n")).select(
+        F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(WIDTH)))).alias("words")
+    )
+
+
+def _candidates(found: DataFrame, item: DataFrame, sizes: DataFrame, share: float) -> DataFrame:
+    """text_key and item that may share enough: they have one of the item's rarest windows in common.
+
+    An item may lack n - ceil(share * n) of its n windows, so a text that holds it has at least one of any that many and
+    one more. Taking those that fewest texts have keeps what many items and texts share, like a common opening, from
+    making a pair of each."""
+    often = found.groupBy("hash").agg(F.count(F.lit(1)).alias("often"))
+    units = item.select("item", "unit", "hash").distinct().join(often, "hash", "left")
+    units = units.groupBy("item", "unit").agg(F.coalesce(F.sum("often"), F.lit(0)).alias("often"))
+    nth = F.row_number().over(Window.partitionBy("item").orderBy("often", "unit"))
+    rare = units.withColumn("nth", nth).join(sizes, "item").filter(F.col("nth") <= F.col("n_windows") - F.ceil(F.lit(share) * F.col("n_windows")) + 1)
+    probes = item.select("item", "unit", "hash").distinct().join(rare.select("item", "unit"), ["item", "unit"]).select("item", "hash").distinct()
+    return found.select("text_key", "hash").distinct().join(probes, "hash").select("text_key", "item").distinct()
+
+
 def leaked_texts(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, bits: int = FILTER_BITS) -> DataFrame:
     """text_key (md5 of the text), item_id, n_windows (of the item), n_shared, changed (values that differ)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.encode(text_or_empty(benchmark["text"]), "utf-8").alias("text"))
@@ -266,11 +316,14 @@ def leaked_texts(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, bi
     may = hash_filter(windows, "hash", bits)
     source = docs.select(_keyed(docs).alias("text_key"), F.encode(text_or_empty(docs["text"]), "utf-8").alias("text"))
     exact = not windows.filter(F.col("counts") == EXACT).isEmpty()
-    found = staged(_windows(source, "text_key", may, exact).drop("unit").distinct(), "windows")
+    few = tuple(r.words for r in _word_counts(texts).filter(F.col("words") < WIDTH).select("words").distinct().collect())
+    found = staged(_windows(source, "text_key", may, exact, few).drop("unit").distinct(), "windows")
     item = windows.select("item", F.col("place").alias("item_place"), "hash", F.col("slots").alias("item_slots"), "unit", "counts")
+    candidates = staged(_candidates(found, item, sizes, share), "candidates")
     shift = (F.col("place") - F.col("item_place")).alias("shift")
     pairs = F.arrays_zip(F.col("item_slots").alias("said"), F.col("slots").alias("says"))
-    met = found.filter(F.col("counts") != SUPPORT).join(item.filter(F.col("counts") != SUPPORT).drop("counts"), "hash")
+    wanted = candidates.join(item.filter(F.col("counts") != SUPPORT).drop("counts"), "item")
+    met = found.filter(F.col("counts") != SUPPORT).join(wanted, ["text_key", "hash"])
     met = staged(met.select("text_key", "item", shift, "unit", pairs.alias("pairs")), "met")
     # Windows of placeholders follow an alignment, so how common they are does not matter.
     likely = met.select("text_key", "item", "shift").distinct().join(item.filter(F.col("counts") == SUPPORT).drop("counts"), "item")
@@ -300,4 +353,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
 def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """`docs` without those that hold an item; columns as they are."""
     held = staged(leaked_texts(docs, benchmark, share).select("text_key").distinct(), "leaks")
-    return docs.join(held, _keyed(docs) == held["text_key"], "left_anti")
+    return docs.join(held, _keyed(docs) == held["text_key"], "left_anti")
\ No newline at end of file

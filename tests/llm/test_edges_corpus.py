@@ -418,6 +418,36 @@ def test_ids_of_parts_are_the_ids_of_the_text():
     assert list(tokens.encoded([t.encode() for t in texts], queries.WORD_BPE)) == want
 
 
+def found_items(spark, docs, items):
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    return {(r.doc_id, r.item_id) for r in got.collect()}
+
+
+def test_short_items(spark):
+    items = [(1, "Who wrote Hamlet?"), (2, "Paris"), (3, "two plus two is four"), (4, "Yes, no."), (5, "?!"), (6, "")]
+    docs = [(1, "They asked: who wrote Hamlet? Nobody knew."), (2, "Paris"), (3, "Paris is large"), (4, "well yes no maybe"), (5, "who then wrote Hamlet"), (6, "no yes"), (7, None), (8, "who wrote"), (9, prose(3, 50) + " Who wrote hamlet")]
+    assert found_items(spark, docs, items) == {(1, 1), (2, 2), (4, 4), (9, 1)}
+
+
+def test_numbers_as_words_and_money(spark):
+    text = "the baker sold {} loaves on monday and earned {} before noon then gave half of it to the old miller who lives near the river"
+    items = [(1, text.format("12", "3 dollars"))]
+    docs = [(1, text.format("twelve", "3 dollars")), (2, text.format("12", "$3")), (3, text.format("7", "$4.50,")), (4, text.format("forty", "9\u20ac")), (5, text.format("many", "nothing"))]
+    assert found_items(spark, docs, items) == {(i, 1) for i in range(1, 5)}
+
+
+def test_a_common_opening_makes_no_pairs(spark, monkeypatch):
+    stem = "answer the following question with one of the given choices only please now "
+    items = [(i, stem + prose(i, 9)) for i in range(60)]
+    docs = [(i, prose(1000 + i, 60) + " " + stem + prose(2000 + i, 60)) for i in range(60)] + [(500, "x " + items[7][1] + " y")]
+    met = []
+    whole = decontam.staged
+    monkeypatch.setattr(decontam, "staged", lambda df, name: met.append((name, made := whole(df, name))) or made)
+    assert found_items(spark, docs, items) == {(500, 7)}
+    rows = {name: df.count() for name, df in met}
+    assert rows["candidates"] <= 5 and rows["met"] < 60
+
+
 def test_slots_must_agree(spark):
     item = "first 1 then 1 then 1 then 1 then 1 then 1 goes the long way home again"
     other = "first 1 then 2 then 3 then 4 then 5 then 6 goes the long way home again"
