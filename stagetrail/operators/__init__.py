@@ -20,7 +20,7 @@ from .cohorts import (
 )
 from .daily import DailyMasks
 from .distinct import distinct_entities, entity_numbers, period_stage_distincts_by_bitmap, with_numbers
-from .explore import cohort_top_events, event_search_by_period
+from .explore import cohort_top_events, event_names, event_search_by_period
 from .funnels import (
     cohort_flag_cooccurrence,
     overall_mixed_funnel,
@@ -62,6 +62,7 @@ __all__ = [
     "cohort_top_events",
     "distinct_entities",
     "entity_numbers",
+    "event_names",
     "event_search_by_period",
     "first_booking_cohort",
     "first_event_times",

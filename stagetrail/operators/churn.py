@@ -9,15 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hour_index, json_text
+from ..functions.membership import may_be_in
 from ..functions.time import Moment, timestamp_literal
 from .pivot import StageSpec, any_stage, has, masks_of
 
 DONE = 99
 
 
-def stage_first_times(cohort: DataFrame | StageSpec, events: DataFrame, stages: Sequence[StageSpec]) -> DataFrame:
+def stage_first_times(
+    cohort: DataFrame | StageSpec, events: DataFrame, stages: Sequence[StageSpec], rare: bool = False
+) -> DataFrame:
     """First time of each stage at or after the booking, one row per cohort entity, named as the stage.
 
+    ``rare``: the cohort is a small part of the log's entities. It is then read first for a filter of fixed size, which
+    keeps nearly all rows of others from the shuffle.
+
     A cohort DataFrame has ``entity`` and ``booking_time``, of which the earliest counts. A cohort given
     as a stage of the log is taken from it, and the log is then read only from the start of its window.
 
@@ -39,6 +45,8 @@ def stage_first_times(cohort: DataFrame | StageSpec, events: DataFrame, stages:
         .select("entity", "event_time", *[m.alias(n) for n, m in masks.items()])
         .filter(reduce(lambda a, b: a | b, [F.col(n) != 0 for n in masks]))
     )
+    if rare:
+        marked = marked.filter(may_be_in(bookings, "entity")(F.col("entity")))
     hashed = F.xxhash64("entity").alias("entity_hash")
     hits = (
         marked.select("*", hashed)

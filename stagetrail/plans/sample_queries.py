@@ -42,6 +42,7 @@ from ..operators import (
     cohort_flag_cooccurrence,
     cohort_top_events,
     entity_numbers,
+    event_names,
     event_search_by_period,
     first_booking_cohort,
     first_event_times,
@@ -243,6 +244,11 @@ def q_stage_first_times(spark, sf_dir):
     return stage_first_times(cohort, customer_log(spark, sf_dir), churn_stage_specs())
 
 
+def q_rare_cohort_stage_times(spark, sf_dir):
+    cohort = first_booking_cohort(order_log(spark, sf_dir), BOOKED, POST_ORDERS, KEY_FLOOR)
+    return stage_first_times(cohort, customer_log(spark, sf_dir), churn_stage_specs(), rare=True)
+
+
 def q_cancel_attribution(spark, sf_dir):
     log = order_log(spark, sf_dir)
     cohort = first_booking_cohort(log, BOOKED, POST_ORDERS, KEY_FLOOR)
@@ -310,6 +316,16 @@ def q_event_search_by_period(spark, sf_dir):
     return event_search_by_period(visit_log(spark, sf_dir), "I", {"PRE": PRE_EVENTS, "POST": POST_EVENTS})
 
 
+def q_event_search_by_dictionary(spark, sf_dir):
+    log = visit_log(spark, sf_dir)
+    return event_search_by_period(log, "I", {"PRE": PRE_EVENTS, "POST": POST_EVENTS}, names=event_names(log))
+
+
+def q_pruned_top_events(spark, sf_dir):
+    log = visit_log(spark, sf_dir)
+    return cohort_top_events(booking_cohort(log, "signup", POST_EVENTS), log, POST_EVENTS, 3, prune=True)
+
+
 def q_event_search_by_bitmap(spark, sf_dir):
     log = visit_log(spark, sf_dir)
     return event_search_by_period(with_numbers(log, entity_numbers(log)), "I", {"PRE": PRE_EVENTS, "POST": POST_EVENTS}, "entity_no")

@@ -415,3 +415,6 @@ FROM ({APP})""",
 }
 SQL["event_search_by_bitmap"] = SQL["event_search_by_period"]
 SQL["period_stages_by_bitmap"] = SQL["period_stage_distincts"]
+SQL["event_search_by_dictionary"] = SQL["event_search_by_period"]
+SQL["pruned_top_events"] = SQL["cohort_top_events"]
+SQL["rare_cohort_stage_times"] = SQL["stage_first_times"]
