@@ -198,6 +198,16 @@ def test_scores(spark, odd, none):
     assert mixing.scores(none).collect() == []
 
 
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    # Numbered words and several batches for the weights.
+    monkeypatch.setattr(mixing, "VOCABULARY", 40)
+    monkeypatch.setattr(mixing, "BATCH", 2000)
+    monkeypatch.setattr(mixing, "LEARN", 5000)
+    docs = spark.createDataFrame([(i, prose(i % 150, 20 + i % 200)) for i in range(400)], "doc_id long, text string")
+    made = [{r.doc_id: r.score for r in mixing.scores(docs.repartition(n, "doc_id")).collect()} for n in (2, 9)]
+    assert made[0] == made[1] and len(made[0]) == 400
+
+
 def test_scores_are_probabilities():
     """Over a tree, the costs of all symbols sum to one."""
     start, length, step, own = mixing.coded(np.array([5, 1, 0, 9, 3]))
