@@ -7,6 +7,8 @@ user into business days, so that reaching a stage is no matter of course.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -123,10 +125,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors see it; the session names the place."""
+    """A new folder where all executors see it; the session names the place, unless this machine runs everything."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="stagetrail-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
