@@ -22,7 +22,7 @@ from ..functions import hours_between, json_text
 from ..functions.time import timestamp_literal
 from .churn import Rule
 from .pivot import bit, has, mask_of, masks_of
-from .timeline import CROWD, SLICE_MINUTES, carry_forward, crowded_instants
+from .timeline import CROWD, SLICE_MINUTES, any_crowd, carry_forward, crowded_instants
 
 # Stands for "no next booking" while ends are compared.
 OPEN_END = "9999-12-31 23:59:59.999999"
@@ -35,18 +35,16 @@ def _who() -> list[Column]:
 
 
 def _on_timeline(intervals: DataFrame, events: DataFrame, carried: Sequence[str], slice_minutes: int) -> DataFrame:
-    """Bookings, and events that fall into an interval, with ``booking_time``, ``end_time`` and ``copies``.
+    """Bookings, and events that fall into an interval, with ``booking_time`` and ``end_time``.
 
-    Booking rows have ``is_event`` 0, how many equal bookings there are, and NULL in the ``carried`` event columns.
+    Booking rows have ``is_event`` 0 and NULL in the ``carried`` event columns.
     """
     types = {f.name: f.dataType for f in events.schema.fields}
     no_time = F.lit(None).cast("timestamp_ntz")
-    bookings = intervals.groupBy("entity", "booking_time", "next_booking_time").agg(F.count("*").alias("copies"))
-    starts = bookings.select(
+    starts = intervals.select(
         *_who(),
         F.col("booking_time").alias("event_time"),
         F.lit(0).alias("is_event"),
-        "copies",
         F.col("booking_time"),
         F.coalesce("next_booking_time", timestamp_literal(OPEN_END)).alias("end_time"),
         *[F.lit(None).cast(types[c]).alias(c) for c in carried],
@@ -55,7 +53,6 @@ def _on_timeline(intervals: DataFrame, events: DataFrame, carried: Sequence[str]
         *_who(),
         "event_time",
         F.lit(1).alias("is_event"),
-        F.lit(0).cast("bigint").alias("copies"),
         no_time.alias("booking_time"),
         no_time.alias("end_time"),
         *carried,
@@ -123,29 +120,39 @@ def interval_attribution(
 ) -> DataFrame:
     """Each event with the booking whose interval holds it; ``left`` keeps bookings without events.
 
-    ``crowd``: events of one entity at one instant beyond which they stay out of the timeline.
+    ``crowd``: events of one entity at one instant beyond which they stay out of the timeline. Whether there are any
+    is found out here, from the events' keys and times; the result does not depend on it.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"how must be 'left' or 'inner', not {how!r}")
     output = ["entity", "booking_time", "event_name", "event_time", "payload"]
-    crowds = crowded_instants(events, rows=crowd)
-    instant = ["entity", "event_time"]
-    quiet = events.select(*instant, "event_name", "payload", F.lit(False).alias("crowd")).join(F.broadcast(crowds), instant, "left_anti")
     nothing = F.lit(None).cast("string")
-    marks = crowds.select(*instant, nothing.alias("event_name"), nothing.alias("payload"), F.lit(True).alias("crowd"))
-    placed = _on_timeline(intervals, quiet.unionByName(marks), ["event_name", "payload", "crowd"], slice_minutes)
-    found = placed.filter((F.col("is_event") == 1) & ~F.col("crowd")).select(*output)
-    # The crowds' own small timeline; as few rows as there are crowds take the events to their bookings.
-    theirs = intervals.join(F.broadcast(crowds.select("entity").distinct()), "entity", "left_semi")
-    held = _on_timeline(theirs, crowds, [], slice_minutes).filter(F.col("is_event") == 1).select(*instant, "booking_time")
-    found = found.unionByName(events.join(F.broadcast(held), instant).select(*output))
+    # Of the bookings of one instant all but the last end where they begin: they hold nothing and stay out as well.
+    empty = F.coalesce(F.col("next_booking_time") <= F.col("booking_time"), F.lit(False))
+    lasting = intervals.filter(~empty)
+    if any_crowd(events, rows=crowd):
+        instant = ["entity", "event_time"]
+        crowds = crowded_instants(events, rows=crowd)
+        quiet = events.select(*instant, "event_name", "payload", F.lit(False).alias("crowd")).join(F.broadcast(crowds), instant, "left_anti")
+        marks = crowds.select(*instant, nothing.alias("event_name"), nothing.alias("payload"), F.lit(True).alias("crowd"))
+        placed = _on_timeline(lasting, quiet.unionByName(marks), ["event_name", "payload", "crowd"], slice_minutes)
+        found = placed.filter((F.col("is_event") == 1) & ~F.col("crowd")).select(*output)
+        # The crowds' own small timeline; as few rows as there are crowds take the events to their bookings.
+        theirs = lasting.join(F.broadcast(crowds.select("entity").distinct()), "entity", "left_semi")
+        held = _on_timeline(theirs, crowds, [], slice_minutes).filter(F.col("is_event") == 1).select(*instant, "booking_time")
+        found = found.unionByName(events.join(F.broadcast(held), instant).select(*output))
+    else:
+        placed = _on_timeline(lasting, events, ["event_name", "payload"], slice_minutes)
+        found = placed.filter(F.col("is_event") == 1).select(*output)
     if how == "inner":
         return found
     idle = (
         placed.groupBy("entity", "booking_time", "end_time")
-        .agg(F.max("is_event").alias("used"), F.sum("copies").alias("copies"))
+        .agg(F.max("is_event").alias("used"), F.count_if(F.col("is_event") == 0).alias("copies"))
         .filter(F.col("used") == 0)
-        .select("entity", "booking_time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+        .select("entity", "booking_time", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        .select("entity", "booking_time")
+        .unionByName(intervals.filter(empty).select("entity", "booking_time"))
         .select(
             "entity",
             "booking_time",

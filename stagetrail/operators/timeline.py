@@ -98,17 +98,27 @@ def carry_forward(
     )
 
 
-def crowded_instants(events: DataFrame, key: str = "entity", time: str = "event_time", rows: int = CROWD) -> DataFrame:
-    """The instants of a key with more than ``rows`` events, and more than an 8192nd of all: at most 8192.
-
-    Counts by a hash of the instant, ``BUCKETS`` numbers a task at most, leave few buckets that can hold such an
-    instant; only their events are counted by instant. A NULL key or time has none.
-    """
+def _crowded_buckets(events: DataFrame, key: str, time: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Key and time of the events with a hash of both, and the hashes that so many events have that an instant may be
+    crowded. What is counted has ``BUCKETS`` rows a task at most, and at most 8192 hashes are above an 8192nd."""
     told = events.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, time)
     told = told.withColumn("bucket", F.pmod(F.xxhash64(key, time), F.lit(BUCKETS)))
     counted = told.groupBy("bucket").agg(F.count("*").alias("events"))
     limit = F.greatest(F.lit(rows), F.sum("events").over(Window.partitionBy()) / 8192).alias("limit")
-    full = counted.select("bucket", "events", limit).filter(F.col("events") > F.col("limit")).select("bucket", "limit")
-    # At most 8192 buckets are above an 8192nd.
+    return told, counted.select("bucket", "events", limit).filter(F.col("events") > F.col("limit")).select("bucket", "limit")
+
+
+def any_crowd(events: DataFrame, key: str = "entity", time: str = "event_time", rows: int = CROWD) -> bool:
+    """Whether some instant may be crowded. Reads the events' keys and times now; an operator that asks gives the same
+    result either way."""
+    return not _crowded_buckets(events, key, time, rows)[1].isEmpty()
+
+
+def crowded_instants(events: DataFrame, key: str = "entity", time: str = "event_time", rows: int = CROWD) -> DataFrame:
+    """The instants of a key with more than ``rows`` events, and more than an 8192nd of all: at most 8192.
+
+    Only events whose hash is that of a possibly crowded instant are counted by instant. A NULL key or time has none.
+    """
+    told, full = _crowded_buckets(events, key, time, rows)
     some = told.join(F.broadcast(full), "bucket")
     return some.groupBy(key, time).agg(F.count("*").alias("events"), F.max("limit").alias("limit")).filter(F.col("events") > F.col("limit")).select(key, time)
