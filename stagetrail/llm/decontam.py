@@ -282,10 +282,11 @@ def _keyed(docs: DataFrame):
 
 
 def _word_counts(texts: DataFrame) -> DataFrame:
-    """words: how many a text has at most, for texts that may have few (every word has a letter or digit, or is one sign)."""
-    return texts.select(F.size(F.split(F.trim(F.regexp_replace(F.decode("text", "utf-8"), r"\s+", " ")), " ")).alias("n")).select(
-        F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(WIDTH)))).alias("words")
-    )
+    """words: of texts of under `WIDTH` words, how many they may have. Signs alone are words only beside numbers."""
+    said = F.filter(F.split(F.decode("text", "utf-8"), r"\s+"), lambda w: w != "")
+    least = F.size(F.filter(said, lambda w: w.rlike(r"(?U)[\w%]")))
+    few = texts.select(least.alias("least"), F.size(said).alias("most")).filter((F.col("least") < WIDTH) & (F.col("most") > 0))
+    return few.select(F.explode(F.sequence(F.greatest("least", F.lit(1)), F.least("most", F.lit(WIDTH - 1)))).alias("words"))
 
 
 def _candidates(found: DataFrame, item: DataFrame, sizes: DataFrame, share: float) -> DataFrame:
@@ -316,7 +317,7 @@ def leaked_texts(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, bi
     may = hash_filter(windows, "hash", bits)
     source = docs.select(_keyed(docs).alias("text_key"), F.encode(text_or_empty(docs["text"]), "utf-8").alias("text"))
     exact = not windows.filter(F.col("counts") == EXACT).isEmpty()
-    few = tuple(r.words for r in _word_counts(texts).filter(F.col("words") < WIDTH).select("words").distinct().collect())
+    few = tuple(r.words for r in _word_counts(texts).distinct().collect())
     found = staged(_windows(source, "text_key", may, exact, few).drop("unit").distinct(), "windows")
     item = windows.select("item", F.col("place").alias("item_place"), "hash", F.col("slots").alias("item_slots"), "unit", "counts")
     candidates = staged(_candidates(found, item, sizes, share), "candidates")
