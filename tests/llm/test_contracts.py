@@ -39,7 +39,7 @@ def test_sql(spark, name, scale):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("conversations", "pages"):
+    for t in ("conversations", "pages", "documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{scale}/{t}.parquet'")
     assert_same(queries.QUERIES[name](spark, f"{DATA}/{scale}"), con, SQL[name])
 

@@ -9,12 +9,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from compare import assert_same
 from conftest import DATA
 from pyspark.sql import functions as F
 
 from stagetrail.llm import lexical, negatives, queries, toxicity
-from stagetrail.llm.oracle import SQL
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 CLASH = ("entry", "vector", "ids", "cluster", "g", "rows", "score", "anchor", "anchor_id", "place", "term", "n", "counts", "rank", "hash", "slots")
@@ -24,17 +22,6 @@ def clashing():
     return {c: F.lit("x") for c in CLASH}
 
 
-@pytest.mark.parametrize("name", ["op11_anchor_lists", "op13_automaton_scan"])
-@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
-def test_sql(spark, name, scale):
-    import duckdb
-
-    con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{scale}/{t}.parquet'")
-    assert_same(queries.QUERIES[name](spark, f"{DATA}/{scale}"), con, SQL[name])
-
-
 def brute_negatives(rows, every=2):
     rows = {(i, y, tuple(math.floor(256 * float(np.float32(x))) for x in v)) for i, v, y in rows if i is not None and y is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
     out = []
