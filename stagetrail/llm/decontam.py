@@ -78,23 +78,26 @@ class _Words:
 
         at = self.index[raw] = len(self.index)
         word = bare(raw)
-        kind, m = PLAIN, _NUMBER.match(word)
+        kind, low = PLAIN, word.lower()
         if not word:
-            word = raw.decode("utf-8", "replace").translate(_DASHES)
-            kind = OPERATOR if _OPERATOR.match(word) else 0
-        elif _MONEY.match(raw.decode("utf-8", "replace")):
-            kind = QUANTITY
-        elif word.lower() in NUMBERS:
+            low = raw.decode("utf-8", "replace").translate(_DASHES)
+            kind = OPERATOR if _OPERATOR.match(low) else 0
+        elif not word[0].isalpha():
+            m = _NUMBER.match(word)
+            if m:
+                money = _MONEY.match(raw.decode("utf-8", "replace"))
+                kind = QUANTITY if money else NUMBER if not m[1] else QUANTITY if m[1].lower() in UNITS else PLAIN
+            elif low in UNITS:
+                kind = UNIT
+        elif low in NUMBERS:
             kind = NUMBER
-        elif m:
-            kind = NUMBER if not m[1] else QUANTITY if m[1].lower() in UNITS else PLAIN
-        elif word.lower() in UNITS:
+        elif low in UNITS:
             kind = UNIT
         elif word[0].isupper() and word[1:].islower():
             kind = CAPITAL
         elif word[0].isupper() and word != "I" and not word.startswith(("I'", "I\u2019")):
             kind = OTHER
-        self.kind[at], self.hash[at], self.ends[at] = kind, xxhash.xxh3_64_intdigest(word.lower().encode()), raw[-1:] in b".!?:;"
+        self.kind[at], self.hash[at], self.ends[at] = kind, xxhash.xxh3_64_intdigest(low.encode()), raw[-1:] in b".!?:;"
         return at
 
 
