@@ -71,7 +71,7 @@ def test_columns_of_any_type(spark):
     docs = docs.withColumn("facts", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("more", F.array(F.create_map(F.lit(1), F.lit(2))))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, "/root/testdata/sf0.001")
-        assert out.schema == docs.schema, name
+        assert out.dtypes == docs.dtypes, name
         assert {r.doc_id for r in out.collect()} == ({1, 3} if name == "near_copies" else {1, 2} if name == "quality_rules" else {1, 2, 3}), name
 
 
