@@ -3,19 +3,19 @@
 A text is its lower-cased words and an end. Words are coded by a binary tree over the most frequent ones, others by
 an escape and their bytes, so a text is a row of yes-no decisions. Three predictors answer each: the tree's own counts,
 and counts gathered under hashes of one and of two symbols before. Their log-odds are added with weights that a gate,
-how much the two contexts have seen, selects; weights are learned online. Within a text they are refined after every
-block of decisions. The sum of the coding costs is the text's log probability; bits per byte
-follow.
-
-What is learned: counts of all training words; 48 weights, on about `LEARN` symbols of the ninth of the training texts
-(all of it, if shorter) with the decision counts of the other eight, so that no weight is learned on a text that the
-counts have seen; decision counts of all nine, with which texts are scored. The texts for the weights are chosen and
-ordered by a hash of what they say, and words are numbered by frequency, so a score depends on the table alone, not on
-how its rows are dealt. What is broadcast is the tree over the `VOCABULARY`
+how much the two contexts have seen, selects. Within a text they are refined online, after every block of decisions. The
+sum of the coding costs is the text's log probability; bits per byte follow.
+
+What is learned: counts of all training words; decision counts of all training texts, with which texts are scored; 48
+weights, on every decision of every training text. There the counts of a (context, symbol) pair are without those of one
+text (as often as the texts that have the pair have it on average), so that no weight is learned on what only the text
+itself has said. Decisions are added up by what they get from the three predictors, a table of fixed size, on which the
+weights that cost least are found. Words are numbered by frequency, so a score depends on the table alone, not on how its rows are dealt. What is
+broadcast is the tree over the `VOCABULARY`
 most frequent words; every other word seen twice has a number, joined by word, and is the tree's mark for such words
 and the digits of its number, so the words with a code grow with the input. Decision counts are kept by context: each
 batch of texts deals its distinct (context, symbol) pairs to buckets, whose number grows with the training words; a
-bucket counts, and answers each batch with what its pairs' decisions have seen. A bucket has four slots or more for each of its
+bucket counts, and answers each batch with what its pairs' decisions have seen, in all texts and without one. A bucket has four slots or more for each of its
 own decisions, so they are no fuller on more text, and a frequent context costs a batch one row per symbol that follows it.
 
 Edge cases: a null text is its end alone; a null id counts as the empty text for the split; repeated rows count each;
@@ -52,10 +52,12 @@ UNSEEN = 32
 GATES = 16
 #: How far one error moves a text's own weights.
 RATE = 0.0004
-#: Symbols of the texts on which weights are learned.
-LEARN = 1 << 21
-#: Numbers of the batches of these.
-LEARN_BATCH = 1 << 62
+#: Symbols whose decisions are added up at once for the weights.
+LEARN = 1 << 19
+#: Cells of what decisions get: own log-odds in quarters, two states.
+CELLS = 1 << 22
+#: How firmly weights that few decisions tell of stay where they begin.
+BEGIN, FIRMLY = 0.4, 10.0
 #: A training dictionary is handed on when it has so many words.
 HELD = 300_000
 #: The end mark in the table of words; no word is empty.
@@ -325,6 +327,20 @@ class Decisions:
     def odds(self, step):
         return self.own[np.minimum(step >> np.uint32(1), np.uint32(len(self.own) - 1))]
 
+    def sided(self):
+        """The tree's log-odds of the right answer, in 1/16, in the order of the codes, behind them those of a numbered
+        word: the mark's, and even ones for its digits."""
+        model, mark = self.model, self.model.escape + 3
+        told = self.odds(model.step).astype(np.int16) - 128
+        told[(model.step & 1) == 0] *= -1
+        return np.concatenate([told, told[self.start[mark] : self.start[mark] + self.tree[mark]], np.zeros(model.digits, np.int16)])
+
+    def places(self, symbol, length):
+        """Where the decisions of the symbols are in `sided`."""
+        beyond = symbol >= self.model.numbered
+        start = np.where(beyond, len(self.model.step), self.start[np.where(beyond, 0, symbol)])
+        return spread(start, length)
+
 
 def spread(start, length):
     """Places of ranges, one range after the other."""
@@ -336,37 +352,44 @@ class Texts:
     a symbol, in the order of their buckets."""
 
     def __init__(self, model: Model, reader: Decisions, heads: bytes, symbols: bytes, buckets: int):
-        self.row, self.remainder, sizes = np.frombuffer(heads, "<i8").reshape(3, -1)
-        self.end = np.cumsum(sizes + 2)
-        self.begin = self.end - sizes
-        self.made = np.full(int(self.end[-1]) if len(sizes) else 0, model.escape + 4, np.int32)
+        self.heads, self.symbols = heads, np.frombuffer(symbols, "<i4")
+        _, training, sizes = np.frombuffer(heads, "<i8").reshape(3, -1)
+        end = np.cumsum(sizes + 2)
+        begin = end - sizes
+        self.made = np.full(int(end[-1]) if len(sizes) else 0, model.escape + 4, np.int32)
         inside = np.ones(len(self.made), bool)
-        inside[self.begin - 1] = inside[self.begin - 2] = False
-        self.made[inside] = np.frombuffer(symbols, "<i4")
+        inside[begin - 1] = inside[begin - 2] = False
+        self.made[inside] = self.symbols
         self.inside, self.of = np.flatnonzero(inside), np.repeat(np.arange(len(sizes)), sizes)
+        self.training = training[self.of] == 1
         self.reader, self.buckets = reader, buckets
 
     def pairs(self):
-        """Of both contexts: symbol and the symbols before it, bucket of the distinct pairs, and each inside symbol's
-        pair."""
+        """Of both contexts: symbol and the symbols before it, bucket of the distinct pairs, each inside symbol's pair, and
+        whether its text has had that before."""
         for k in range(2):
             said = [self.made[self.inside - j] for j in range(k + 2)]
             context = hashed(said[1:])
-            _, first, pair = np.unique(paired(context, said[0]), return_index=True, return_inverse=True)
+            key = paired(context, said[0])
+            by = np.argsort(key, kind="stable")
+            same = key[by[1:]] == key[by[:-1]]
+            first = by[np.concatenate([by[:1] >= 0, ~same])]
+            pair, again = np.zeros(len(by), np.int64), np.zeros(len(by), bool)
+            pair[by[1:]] = np.cumsum(~same)
+            again[by[1:]] = same & (self.of[by[1:]] == self.of[by[:-1]])
             said = [x[first] for x in said]
             bucket = (context[first] >> np.uint64(32)) % np.uint64(self.buckets)
             order = np.argsort((bucket << np.uint64(32)) + said[1].astype(np.uint64), kind="stable")
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            yield k, [x[order] for x in said], bucket[order].astype(np.int64), rank[pair]
+            yield k, [x[order] for x in said], bucket[order].astype(np.int64), rank[pair], again
 
-    def places(self):
-        """Of both contexts: where the answers of each symbol of `made` begin among those of the whole batch."""
-        for _, said, _, pair in self.pairs():
+    def placed(self, found: list[list[np.ndarray]]):
+        """Of both contexts: their answers to the distinct pairs, dealt to all decisions of the symbols."""
+        for (_, said, _, pair, _), states in zip(self.pairs(), found, strict=True):
             length = self.reader.lengths(said[0])
-            start = np.zeros(len(self.made), np.int64)
-            start[self.inside] = (np.cumsum(length) - length)[pair]
-            yield start
+            place = spread((np.cumsum(length) - length)[pair], length[pair])
+            yield [x[place] for x in states]
 
 
 def hashed(before: list[np.ndarray]):
@@ -405,56 +428,85 @@ def columns(data: bytes, number: int):
 def answers(reader: Decisions, asked: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[bytes]:
     """For each batch's pairs (context, symbol, how often the training texts have it) of one bucket: the states of their
     decisions, from the counts of all of them."""
-    context, symbol, n = (np.concatenate(x) for x in zip(*asked, strict=True))
+    made = []
+    for (_, symbol, _), (state, _) in zip(asked, sided_answers(reader, [(*x, x[2]) for x in asked]), strict=True):
+        no = reader.of(symbol, reader.lengths(symbol)) & np.uint32(1) == 0
+        state[no] = state[no] & 192 | (64 - (state[no] & 63))
+        made.append(state.tobytes())
+    return made
+
+
+def sided_answers(reader: Decisions, asked: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each batch's pairs (context, symbol, how often the training texts have it, how many of them): states that say how
+    much is for the right answer, from all counts, and from those without one text that has the pair."""
+    context, symbol, n, texts = (np.concatenate(x) for x in zip(*asked, strict=True))
     _, first, pair = np.unique(paired(context, symbol), return_index=True, return_inverse=True)
-    n = np.bincount(pair, n, len(first)).astype(np.uint32)
+    n, texts = (np.bincount(pair, x, len(first)).astype(np.uint32) for x in (n, texts))
+    one = (n + texts // 2) // np.maximum(texts, 1)
     context, symbol = context[first], symbol[first]
     length = reader.lengths(symbol)
-    step = reader.of(symbol, length)
+    start = np.cumsum(length) - length
+    none = np.zeros(len(n), np.uint32)
+    made = [np.repeat(states(none, x), length) for x in (n, n - one)]
+    _, of, met = np.unique(context, return_inverse=True, return_counts=True)
+    # A context that only one symbol follows has nothing against it; others are counted.
+    some = np.flatnonzero(met[of] > 1)
+    size = length[some]
+    step = reader.of(symbol[some], size)
     # Four to eight slots for a decision that was counted.
-    bits = max(10, int(length[n > 0].sum()).bit_length() + 2)
-    slot = mixed(np.repeat(context, length) + (step >> np.uint32(1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    slot = (slot >> np.uint64(64 - bits)).astype(np.int64)
+    bits = max(10, int(size[n[some] > 0].sum()).bit_length() + 2)
+    slot = mixed(np.repeat(context[some], size) + (step >> np.uint32(1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    slot = (slot >> np.uint64(64 - bits)).astype(np.int64) * 2 + (step & np.uint32(1))
     counts = np.zeros(2 << bits, np.uint32)
-    np.add.at(counts, slot * 2 + (step & np.uint32(1)), np.repeat(n, length))
-    state = states(counts[slot * 2], counts[slot * 2 + 1])
-    start, at, made = np.cumsum(length) - length, 0, []
+    np.add.at(counts, slot, np.repeat(n[some], size))
+    no, yes, place = counts[slot ^ 1], counts[slot], spread(start[some], size)
+    made[0][place] = states(no, yes)
+    made[1][place] = states(no, yes - np.repeat(one[some], size))
+    at = 0
     for x in asked:
         own = pair[at : at + len(x[0])]
-        made.append(state[spread(start[own], length[own])].tobytes())
         at += len(own)
-    return made
+        place = spread(start[own], length[own])
+        yield made[0][place], made[1][place]
 
 
-def states(no, yes):
+def _state(no, yes):
+    told = np.clip(np.round(np.log((yes + 0.4) / (no + 0.4)) * 4), -31, 31).astype(np.int64) + 32
     seen = no + yes
-    made = np.full(len(no), UNSEEN, np.uint8)
-    some = np.flatnonzero(seen)
-    told = np.clip(np.round(np.log((yes[some] + 0.4) / (no[some] + 0.4)) * 4), -31, 31).astype(np.int64) + 32
-    made[some] = told + (np.searchsorted([1, 4, 32], seen[some], "right") << 6)
+    return np.where(seen, told + (np.searchsorted([1, 4, 32], seen, "right") << 6), UNSEEN).astype(np.uint8)
+
+
+#: States of small counts.
+_FEW = 64
+_STATE = _state(*np.divmod(np.arange(_FEW * _FEW), _FEW))
+
+
+def states(no, yes):
+    many = np.flatnonzero((no >= _FEW) | (yes >= _FEW))
+    made = _STATE[(no * np.uint32(_FEW) + yes) & np.uint32(_FEW * _FEW - 1)]
+    made[many] = _state(no[many], yes[many])
     return made
 
 
-def _answered(texts: DataFrame, model, buckets: int, upto: int, every: bool) -> DataFrame:
-    """The asking batches with the states of their contexts: batch, context (-1 for the texts), bucket, heads, blob.
-    Counted are texts of remainder 1 to `upto`; every batch asks, or only those of remainder 9."""
+def _answered(texts: DataFrame, model, buckets: int) -> DataFrame:
+    """A row a batch: heads, symbols and the states of both contexts, all packed but the heads. Rows without heads: cells
+    of what the decisions of training texts get from the other parts, and how many get it."""
 
     def deal(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         reader = Decisions(model.value)
         for b in batches:
-            for batch, nine, heads, symbols in _rows(b, "batch", "nine", "heads", "blob"):
+            for batch, heads, symbols in _rows(b, "batch", "heads", "blob"):
                 held = Texts(model.value, reader, heads, symbols, buckets)
-                counted = ((held.remainder >= 1) & (held.remainder <= upto))[held.of]
-                for k, said, bucket, pair in held.pairs():
-                    n = np.bincount(pair, counted, len(bucket)).astype(np.uint32)
+                for k, said, bucket, pair, again in held.pairs():
+                    n, more = (np.bincount(pair[x], minlength=len(bucket)).astype(np.uint32) for x in (held.training, held.training & again))
                     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
-                    blobs = [planes([*[c[x:y] for c in said], n[x:y]]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                    blobs = [planes([*[c[x:y] for c in said], n[x:y], more[x:y]]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
                     size = len(blobs)
                     yield pa.record_batch(
-                        [pa.array([batch] * size, pa.int64()), pa.array([nine] * size, pa.bool_()), pa.array([k] * size, pa.int32()), pa.array(bucket[cuts[:-1]] if size else [], pa.int64()), pa.array(blobs, pa.binary())],
-                        ["batch", "nine", "context", "bucket", "blob"],
+                        [pa.array([batch] * size, pa.int64()), pa.array([k] * size, pa.int32()), pa.array(bucket[cuts[:-1]] if size else [], pa.int64()), pa.array(blobs, pa.binary())],
+                        ["batch", "context", "bucket", "blob"],
                     )
 
     def answer(batches: Iterator) -> Iterator:
@@ -463,133 +515,182 @@ def _answered(texts: DataFrame, model, buckets: int, upto: int, every: bool) ->
         reader = Decisions(model.value)
         key, rows, asked = None, [], []
 
+        def made(some):
+            batch, blob, others = zip(*some, strict=True)
+            size = len(some)
+            return pa.record_batch(
+                [pa.array(batch, pa.int64()), pa.array([key[0]] * size, pa.int32()), pa.array([key[1]] * size, pa.int64()), pa.nulls(size, pa.binary()), pa.array(blob, pa.binary()), pa.array(others, pa.binary())],
+                ["batch", "context", "bucket", "heads", "blob", "others"],
+            )
+
         def told():
-            found = [(r, x) for r, x in zip(rows, answers(reader, asked), strict=True) if every or r[1]]
-            for at in range(0, len(found), 500):
-                some = found[at : at + 500]
-                yield pa.record_batch(
-                    [pa.array([r[0] for r, _ in some], pa.int64()), pa.array([key[0]] * len(some), pa.int32()), pa.array([key[1]] * len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.array([packed(x) for _, x in some], pa.binary())],
-                    ["batch", "context", "bucket", "heads", "blob"],
-                )
+            some = []
+            for batch, answer in zip(rows, sided_answers(reader, asked), strict=True):
+                some.append((batch, *[packed(x.tobytes()) for x in answer]))
+                if len(some) == 500:
+                    yield made(some)
+                    some = []
+            if some:
+                yield made(some)
 
         for b in batches:
-            for batch, nine, context, bucket, blob in _rows(b, *b.schema.names):
+            for batch, context, bucket, blob in _rows(b, *b.schema.names):
                 if key != (context, bucket):
                     if rows:
                         yield from told()
                     key, rows, asked = (context, bucket), [], []
-                rows.append((batch, nine))
-                symbol, *before, n = columns(blob, context + 3)
-                asked.append((hashed(before), symbol.astype(np.int32), n))
+                rows.append(batch)
+                symbol, *before, n, more = columns(blob, context + 4)
+                asked.append((hashed(before), symbol.astype(np.int32), n, n - more))
         if rows:
             yield from told()
 
+    def join(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        names, cells = ["heads", "symbols", "one", "two", "cell", "n"], None
+        for texts, found in _asked(batches, model.value, buckets):
+            (one, other_one), (two, other_two) = texts.placed(found)
+            cells = np.zeros(CELLS, np.int64) if cells is None else cells
+            _add(cells, texts, other_one, other_two)
+            blobs = [texts.heads, *[packed(x.tobytes()) for x in (texts.symbols, one, two)]]
+            yield pa.record_batch([*[pa.array([x], pa.binary()) for x in blobs], pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())], names)
+        if cells is not None:
+            used = np.flatnonzero(cells)
+            for at in range(0, len(used), 10_000):
+                some = used[at : at + 10_000]
+                yield pa.record_batch([*[pa.nulls(len(some), pa.binary())] * 4, pa.array(some, pa.int32()), pa.array(cells[some])], names)
+
     number = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts.mapInArrow(deal, "batch long, nine boolean, context int, bucket long, blob binary")
+    dealt = texts.mapInArrow(deal, "batch long, context int, bucket long, blob binary")
     dealt = dealt.repartition(number, "context", "bucket").sortWithinPartitions("context", "bucket")
-    told = dealt.mapInArrow(answer, "batch long, context int, bucket long, heads binary, blob binary")
-    asking = texts if every else texts.filter("nine")
-    own = asking.select("batch", F.lit(-1).alias("context"), F.lit(-1).cast("long").alias("bucket"), "heads", "blob")
-    return own.unionByName(told).repartition(number, "batch").sortWithinPartitions("batch", "context", "bucket")
+    told = dealt.mapInArrow(answer, "batch long, context int, bucket long, heads binary, blob binary, others binary")
+    own = texts.select("batch", F.lit(-1).alias("context"), F.lit(-1).cast("long").alias("bucket"), "heads", "blob", F.lit(None).cast("binary").alias("others"))
+    back = own.unionByName(told).repartition(number, "batch").sortWithinPartitions("batch", "context", "bucket")
+    return back.mapInArrow(join, "heads binary, symbols binary, one binary, two binary, cell int, n long")
 
 
 def _asked(batches: Iterator, model: Model, buckets: int) -> Iterator:
-    """Each batch of texts and its states of both contexts."""
-    reader, held, found = Decisions(model), None, ([], [])
+    """Each batch of texts and, of both contexts, its states of both kinds."""
+    reader, held = Decisions(model), None
+
+    def told():
+        return held, [[np.frombuffer(b"".join(x), np.uint8) for x in kinds] for kinds in found]
+
     for b in batches:
-        for _, context, _, heads, blob in _rows(b, *b.schema.names):
+        for _, context, _, heads, blob, others in _rows(b, *b.schema.names):
             if context < 0:
                 if held:
-                    yield held, [np.frombuffer(b"".join(x), np.uint8) for x in found]
-                held, found = Texts(model, reader, heads, blob, buckets), ([], [])
+                    yield told()
+                held, found = Texts(model, reader, heads, blob, buckets), [([], []), ([], [])]
             else:
-                found[context].append(unpacked(blob))
+                found[context][0].append(unpacked(blob))
+                found[context][1].append(unpacked(others))
     if held:
-        yield held, [np.frombuffer(b"".join(x), np.uint8) for x in found]
+        yield told()
 
 
-_SIGN = np.array([-1, 1], np.float32)
+def _add(cells: np.ndarray, texts: Texts, one: np.ndarray, two: np.ndarray) -> None:
+    """Adds the decisions of the training texts to the cells of what they get."""
+    reader = texts.reader
+    own = (np.clip(np.round(reader.sided() / 4), -31, 31).astype(np.int32) + 32) << 16
+    length, done = reader.lengths(texts.symbols), 0
+    for at in range(0, len(length), LEARN):
+        size = length[at : at + LEARN]
+        cell = own[reader.places(texts.symbols[at : at + LEARN], size)]
+        cell += one[done : done + len(cell)].astype(np.int32) << 8
+        cell += two[done : done + len(cell)]
+        done += len(cell)
+        cells += np.bincount(cell[np.repeat(texts.training[at : at + LEARN], size)], minlength=CELLS)
 
 
 class Mixer:
     """Costs of texts in nats. All texts of a batch go on together, a block of symbols at a time, and each one's own
-    drift of the weights follows its errors; with `learn` the common weights move too, and stay."""
+    drift of the weights follows its errors. Log-odds are those of the right answer."""
 
-    def __init__(self, model: Model, weights: np.ndarray, learn: bool):
-        self.learn, self.reader = learn, Decisions(model)
-        self.own = ((np.arange(256) - 128) / 16).astype(np.float32)
+    def __init__(self, model: Model, weights: np.ndarray):
+        self.reader = Decisions(model)
+        self.own = (self.reader.sided() / 16).astype(np.float32)
         # By state: what it has seen is above its log-odds and does not change them.
         self.stretch = np.tile(((np.arange(64) - 32) / 4).astype(np.float32), 4)
-        self.weights = weights.astype(np.float32)
-        self.seen = np.zeros(GATES)
-
-    def costs(self, texts: Texts, states: list[np.ndarray]) -> np.ndarray:
-        begin, end, starts = texts.begin, texts.end, [*texts.places()]
-        drift, total = np.zeros((3, len(begin)), np.float32), np.zeros(len(begin))
-        for at in range(0, int((end - begin).max(initial=0)), BLOCK):
-            live = np.flatnonzero(end - begin > at)
+        self.weights = np.ascontiguousarray(weights.T, np.float32)
+
+    def costs(self, sizes: np.ndarray, symbols: np.ndarray, states: list[np.ndarray]) -> np.ndarray:
+        end = np.cumsum(sizes)
+        begin, length = end - sizes, self.reader.lengths(symbols)
+        places = np.cumsum(length) - length
+        drift, total = np.zeros((3, len(sizes)), np.float32), np.zeros(len(sizes))
+        for at in range(0, int(sizes.max(initial=0)), BLOCK):
+            live = np.flatnonzero(sizes > at)
             first = begin[live] + at
             n = np.minimum(end[live] - first, BLOCK)
             # As many texts at once as fill a slice.
             cuts = np.flatnonzero(np.diff((np.cumsum(n) - 1) // SLICE)) + 1
             for some, f, k in zip(np.split(live, cuts), np.split(first, cuts), np.split(n, cuts), strict=True):
-                self._block(texts.made, starts, states, some, f, k, drift, total)
+                index = spread(f, k)
+                own = length[index]
+                sums = np.add.reduceat(own, np.cumsum(k) - k)
+                place = spread(places[f], sums)
+                self._block(self.reader.places(symbols[index], own), [x[place] for x in states], some, sums, drift, total)
         return total
 
-    def _block(self, made, starts, states, live, first, n, drift, total) -> None:
-        heads = np.cumsum(n) - n
-        index = np.arange(int(n.sum())) + np.repeat(first - heads, n)
-        symbol = made[index]
-        length = self.reader.lengths(symbol)
-        step = self.reader.of(symbol, length)
-        states = [state[spread(start[index], length)] for state, start in zip(states, starts, strict=True)]
-        inputs = [self.own[self.reader.odds(step)], *[self.stretch[s] for s in states]]
-        gate = ((states[0] >> 6) * np.uint8(4) + (states[1] >> 6)).astype(np.intp)
-        sizes = np.add.reduceat(length, heads)
+    def _block(self, places, states, live, sizes, drift, total) -> None:
+        inputs = [self.own[places], *[self.stretch[s] for s in states]]
+        gate = (states[0] >> 6) * np.uint8(4) + (states[1] >> 6)
         heads = np.cumsum(sizes) - sizes
-        mixed = np.zeros(len(step), np.float32)
+        mixed = np.zeros(len(places), np.float32)
         moved = drift[:, live].any()
         for k, x in enumerate(inputs):
-            weight = np.take(np.ascontiguousarray(self.weights[:, k]), gate)
+            weight = self.weights[k][gate]
             if moved:
                 weight += np.repeat(drift[k, live], sizes)
             weight *= x
             mixed += weight
         np.clip(mixed, -9, 9, out=mixed)
-        sign = np.take(_SIGN, step & np.uint32(1))
-        mixed *= sign
         hit = np.exp(-mixed)
         hit += np.float32(1)
         total[live] += np.add.reduceat(np.log(hit), heads, dtype=np.float64)
         miss = np.float32(1) - np.float32(1) / hit
-        error = miss * sign
         for k, x in enumerate(inputs):
-            drift[k, live] = np.clip(drift[k, live] + np.float32(RATE) * np.add.reduceat(error * x, heads), -0.5, 0.5)
-        if self.learn:
-            self.seen += np.bincount(gate, minlength=GATES)
-            for k, x in enumerate(inputs):
-                slope = np.bincount(gate, error * x, GATES)
-                bend = np.bincount(gate, miss * (1 - miss) * x * x, GATES)
-                self.weights[:, k] += (0.2 * slope / (bend + 50)).astype(np.float32)
+            drift[k, live] = np.clip(drift[k, live] + np.float32(RATE) * np.add.reduceat(miss * x, heads), -0.5, 0.5)
 
 
-def _weights(texts: DataFrame, model, buckets: int) -> np.ndarray:
-    """Weights learned online on the batches for it, one after the other in one task: their size has a bound."""
-    weights = np.full((GATES, 3), 0.4, np.float32)
+def fitted(own: np.ndarray, one: np.ndarray, two: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The weights of the three log-odds of the right answer (in quarters) that cost least, by Newton's method."""
+    x, w = np.array([own, one, two]).T / 4, np.full(3, BEGIN)
 
-    def learn(batches: Iterator) -> Iterator:
+    def cost(w):
+        return n @ np.logaddexp(0, -(x @ w)) + FIRMLY / 2 * ((w - BEGIN) ** 2).sum()
+
+    now = cost(w)
+    for _ in range(50):
+        miss = 1 / (1 + np.exp(x @ w))
+        slope = x.T @ (n * miss) - FIRMLY * (w - BEGIN)
+        move = np.linalg.solve((x.T * (n * miss * (1 - miss))) @ x + FIRMLY * np.eye(3), slope)
+        while (then := cost(w + move)) > now and np.abs(move).max() > 1e-9:
+            move /= 2
+        if then >= now - 1e-9 * abs(now):
+            break
+        w, now = w + move, then
+    return w
+
+
+def _weights(cells: DataFrame) -> np.ndarray:
+    """The weights of each gate, from all decisions that went through it: of `CELLS` kinds at most, however many."""
+
+    def fit(table):
         import pyarrow as pa
 
-        mixer = Mixer(model.value, weights, True)
-        for texts, states in _asked(batches, model.value, buckets):
-            mixer.costs(texts, states)
-        made = [(g, k, float(mixer.weights[g, k]), float(mixer.seen[g])) for g in range(GATES) for k in range(3)]
-        yield pa.record_batch([pa.array(c) for c in zip(*made, strict=True)], ["gate", "input", "weight", "seen"])
+        table = table.sort_by("cell")
+        cell, n = table["cell"].to_numpy(), table["n"].to_numpy().astype(float)
+        w = fitted((cell >> 16) - 32, (cell >> 8 & 63) - 32, (cell & 63) - 32, n)
+        return pa.table({"gate": pa.array(table["gate"][:1].to_pylist() * 3, pa.int32()), "input": pa.array([0, 1, 2], pa.int32()), "weight": w})
 
-    rows = _answered(texts, model, buckets, 8, False).coalesce(1).sortWithinPartitions("batch", "context", "bucket")
-    for r in rows.mapInArrow(learn, "gate long, input long, weight double, seen double").collect():
-        if r["seen"]:
-            weights[r["gate"], r["input"]] = r["weight"]
+    weights = np.full((GATES, 3), BEGIN, np.float32)
+    gate = F.shiftright("cell", 14).bitwiseAND(3) * 4 + F.shiftright("cell", 6).bitwiseAND(3)
+    cells = cells.groupBy("cell").agg(F.sum("n").alias("n")).select(gate.alias("gate"), "cell", "n")
+    for r in cells.groupBy("gate").applyInArrow(fit, "gate int, input int, weight double").collect():
+        weights[r["gate"], r["input"]] = r["weight"]
     return weights
 
 
@@ -673,21 +774,20 @@ def _parts(texts: list[bytes]) -> Iterator[list[tuple[int, bytes, bool]]]:
         yield held
 
 
-def _batches(rows: DataFrame, model, nine: bool) -> DataFrame:
-    """Texts in batches of about `BATCH` symbols; `nine` marks those that weights are learned on."""
+def _batches(rows: DataFrame, model) -> DataFrame:
+    """Texts in batches of about `BATCH` symbols."""
 
     def gather(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        held, size = [], 0
-        number = LEARN_BATCH if nine else TaskContext.get().partitionId() << 40
+        held, size, number = [], 0, TaskContext.get().partitionId() << 40
 
         def told():
             nonlocal number, size
-            row, remainder, symbols = zip(*held, strict=True)
-            heads = np.array([row, remainder, [len(x) for x in symbols]], "<i8").tobytes()
-            made = pa.record_batch([pa.array([number], pa.int64()), pa.array([nine]), pa.array([heads], pa.binary()), pa.array([np.concatenate(symbols).tobytes()], pa.binary())], ["batch", "nine", "heads", "blob"])
+            row, training, symbols = zip(*held, strict=True)
+            heads = np.array([row, training, [len(x) for x in symbols]], "<i8").tobytes()
+            made = pa.record_batch([pa.array([number], pa.int64()), pa.array([heads], pa.binary()), pa.array([np.concatenate(symbols).tobytes()], pa.binary())], ["batch", "heads", "blob"])
             number += 1
             held.clear()
             size = 0
@@ -696,24 +796,14 @@ def _batches(rows: DataFrame, model, nine: bool) -> DataFrame:
         for batch in _small(batches):
             for row, remainder, symbols, others, numbers in _rows(batch, "row", "remainder", "symbols", "others", "numbers"):
                 made = filled(model.value, np.frombuffer(symbols, "<i4"), others, [None if n < 0 else n for n in numbers or ()])
-                held.append((row, remainder, made))
+                held.append((row, remainder > 0, made))
                 size += len(made)
                 if size >= BATCH:
                     yield told()
         if held:
             yield told()
 
-    return rows.mapInArrow(gather, "batch long, nine boolean, heads binary, blob binary")
-
-
-def _for_weights(rows: DataFrame) -> DataFrame:
-    """About `LEARN` symbols of the ninth of the training texts, in one partition and in an order of their own. Their
-    remainder goes, as another copy of them is counted."""
-    ninth = rows.filter("remainder = 9")
-    size = ninth.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    place = F.pmod(F.xxhash64("symbols", "others"), F.lit(1 << 52))
-    some = ninth.withColumn("place", place).filter(F.col("place") < int((1 << 52) * min(1.0, LEARN / max(1, size))))
-    return some.withColumn("remainder", F.lit(-1)).coalesce(1).sortWithinPartitions("place", "symbols", "others")
+    return rows.mapInArrow(gather, "batch long, heads binary, blob binary")
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -734,18 +824,21 @@ def scores(docs: DataFrame) -> DataFrame:
     )
     rare = staged(rare, "rare")
     texts = rows.select("row", "remainder", "n_tokens", "symbols", "others").join(rare.select("row", "numbers"), "row", "left")
-    texts = staged(_batches(texts, model, False).unionByName(_batches(_for_weights(texts), model, True)), "symbols")
-    weights = _weights(texts, model, buckets)
-    texts = texts.filter("not nine")
+    texts = staged(_batches(texts, model), "symbols")
+    told = staged(_answered(texts, model, buckets), "answers")
+    weights = _weights(told.filter("heads is null").select("cell", "n"))
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        mixer = Mixer(model.value, weights, False)
-        for texts, states in _asked(batches, model.value, buckets):
-            yield pa.record_batch([pa.array(texts.row), pa.array(-mixer.costs(texts, states) / math.log(10))], ["row", "score"])
+        mixer = Mixer(model.value, weights)
+        for b in batches:
+            for heads, symbols, one, two in _rows(b, *b.schema.names):
+                row, _, sizes = np.frombuffer(heads, "<i8").reshape(3, -1)
+                costs = mixer.costs(sizes, np.frombuffer(unpacked(symbols), "<i4"), [np.frombuffer(unpacked(x), np.uint8) for x in (one, two)])
+                yield pa.record_batch([pa.array(row), pa.array(-costs / math.log(10))], ["row", "score"])
 
-    scored = _answered(texts, model, buckets, 9, True).mapInArrow(score, "row long, score double")
+    scored = told.filter("heads is not null").drop("cell", "n").mapInArrow(score, "row long, score double")
     scored = rows.drop("others", "symbols").join(scored, "row")
     return scored.join(rare.drop("numbers"), "row", "left").select(
         "doc_id",

@@ -265,6 +265,53 @@ def test_contexts_of_all_training_texts_count(spark):
     assert score[by[0][0]] > 0.6 * score[by[0][1]]
 
 
+@pytest.mark.parametrize("remainder", [1, 4, 9])
+def test_weights_come_from_all_training_texts(spark, monkeypatch, remainder):
+    """Whatever part of the training texts there is, all its decisions are learned on."""
+    kept, learn = [], mixing._weights
+
+    def weights(cells):
+        kept.append((cells.groupBy().sum("n").first()[0], learn(cells)))
+        return kept[-1][1]
+
+    monkeypatch.setattr(mixing, "_weights", weights)
+    monkeypatch.setattr(mixing, "LEARN", 300)
+    by = [i for i in range(600) if zlib.crc32(str(i).encode()) % 10 == remainder]
+    held = next(i for i in range(600) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rows = [(i, prose(i % 20, 100)) for i in by] + [(held, prose(3, 100))]
+    for times in (1, 2):
+        mixing.scores(spark.createDataFrame(rows[:-1] * times + rows[-1:], "doc_id long, text string")).collect()
+    (once, made), (twice, _) = kept
+    assert (np.abs(made - mixing.BEGIN) > 0.05).any()
+    # A word has a decision at least; twice the texts have the same tree but for its marks.
+    assert once >= 100 * len(by) and twice == pytest.approx(2 * once, rel=0.05)
+
+
+def test_weights_without_the_text_itself():
+    """What only one text says, however often, counts as unseen there; what others say too does not."""
+    model = mixing.Model([b"a", b"b"], np.array([3, 2, 1]), 6, 3, *mixing.coded(np.ones(2 + 256 + 4, np.int64)))
+    reader = mixing.Decisions(model)
+    context = np.array([5, 6, 7, 7], np.uint64)
+    asked = (context, np.array([1, 1, 1, 0], np.int32), np.array([4, 4, 9, 2], np.uint32), np.array([1, 2, 3, 2], np.uint32))
+    [(state, others)] = mixing.sided_answers(reader, [asked])
+    size = int(reader.lengths(np.array([1]))[0])
+    none = np.zeros(1, np.uint32)
+    assert (others[:size] == mixing.UNSEEN).all() and (state[:size] == mixing.states(none, none + 4)[0]).all()
+    assert (others[size : 2 * size] == mixing.states(none, none + 2)[0]).all()
+    assert (others[2 * size : 3 * size] >> 6 > 0).all() and (others[2 * size : 3 * size] != state[2 * size : 3 * size]).any()
+
+
+def test_weights_cost_least():
+    r = np.random.default_rng(1)
+    own, one, two = r.integers(-12, 13, (3, 500))
+    n = r.integers(1, 1000, 500).astype(float)
+    w = mixing.fitted(own, one, two, n)
+    x = np.array([own, one, two]).T / 4
+    slope = x.T @ (n / (1 + np.exp(x @ w))) - mixing.FIRMLY * (w - mixing.BEGIN)
+    assert np.abs(slope).max() < 1e-3 * n.sum()
+    assert np.isfinite(mixing.fitted(np.abs(own), one * 0, two * 0, n)).all()
+
+
 @pytest.mark.parametrize("pairs", [1 << 10, 1 << 17])
 def test_context_slots_grow(pairs):
     """What a context is told is its own counts, no less so among many contexts."""
