@@ -26,7 +26,7 @@ columns are ignored, or kept by `without_leaks`.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,7 +59,7 @@ _DASHES = str.maketrans("\u2013\u2014\u2212", "---")
 PLAIN, NUMBER, QUANTITY, UNIT, CAPITAL, OPERATOR, OTHER = range(1, 8)
 #: Of a window: counts only where its item is aligned, aligns, is of words as they are.
 SUPPORT, FIRM, EXACT = range(3)
-_STORE = 150_000
+_STORE = 400_000
 
 
 class _Words:
@@ -73,32 +73,61 @@ class _Words:
         self.hash = np.zeros(size, np.uint64)
         self.ends = np.zeros(size, bool)
 
-    def add(self, raw: bytes) -> int:
-        import xxhash
-
-        at = self.index[raw] = len(self.index)
-        word = bare(raw)
-        kind, low = PLAIN, word.lower()
-        if not word:
-            low = raw.decode("utf-8", "replace").translate(_DASHES)
-            kind = OPERATOR if _OPERATOR.match(low) else 0
-        elif not word[0].isalpha():
-            m = _NUMBER.match(word)
-            if m:
-                money = _MONEY.match(raw.decode("utf-8", "replace"))
-                kind = QUANTITY if money else NUMBER if not m[1] else QUANTITY if m[1].lower() in UNITS else PLAIN
-            elif low in UNITS:
-                kind = UNIT
-        elif low in NUMBERS:
-            kind = NUMBER
+    def add(self, fresh: Iterable[bytes]) -> None:
+        """Numbers words that were not met before."""
+        import numpy as np
+        from xxhash import xxh3_64_intdigest as digest
+
+        kinds, hashes, ends, first = bytearray(), [], bytearray(), len(self.index)
+        for at, raw in enumerate(fresh, first):
+            self.index[raw] = at
+            # Most words are letters, maybe with a mark behind them, and need no patterns.
+            last = raw[-1:]
+            letters = last.isalpha()
+            word = raw if letters else raw[:-1]
+            low = word.lower()
+            if (letters or last in _MARKS) and word.isalpha() and (word == low or word[1:].islower()) and low not in _LISTED:
+                kinds.append(PLAIN if word == low else CAPITAL)
+                hashes.append(digest(low))
+            else:
+                kind, said = _judged(raw)
+                kinds.append(kind)
+                hashes.append(digest(said.encode()))
+            ends.append(last in b".!?:;")
+        to = first + len(hashes)
+        self.kind[first:to] = np.frombuffer(kinds, np.uint8)
+        self.hash[first:to] = np.fromiter(hashes, np.uint64, len(hashes))
+        self.ends[first:to] = np.frombuffer(ends, bool)
+
+
+#: Marks that end a word, and words of letters that are more than plain.
+_MARKS = b".,;:!?"
+_LISTED = frozenset(w.encode() for w in UNITS | NUMBERS)
+
+
+def _judged(raw: bytes) -> tuple[int, str]:
+    """A word's kind and what is hashed of it."""
+    word = bare(raw)
+    kind, low = PLAIN, word.lower()
+    if not word:
+        low = raw.decode("utf-8", "replace").translate(_DASHES)
+        kind = OPERATOR if _OPERATOR.match(low) else 0
+    elif not word[0].isalpha():
+        m = _NUMBER.match(word)
+        if m:
+            money = _MONEY.match(raw.decode("utf-8", "replace"))
+            kind = QUANTITY if money else NUMBER if not m[1] else QUANTITY if m[1].lower() in UNITS else PLAIN
         elif low in UNITS:
             kind = UNIT
-        elif word[0].isupper() and word[1:].islower():
-            kind = CAPITAL
-        elif word[0].isupper() and word != "I" and not word.startswith(("I'", "I\u2019")):
-            kind = OTHER
-        self.kind[at], self.hash[at], self.ends[at] = kind, xxhash.xxh3_64_intdigest(low.encode()), raw[-1:] in b".!?:;"
-        return at
+    elif low in NUMBERS:
+        kind = NUMBER
+    elif low in UNITS:
+        kind = UNIT
+    elif word[0].isupper() and word[1:].islower():
+        kind = CAPITAL
+    elif word[0].isupper() and word != "I" and not word.startswith(("I'", "I\u2019")):
+        kind = OTHER
+    return kind, low
 
 
 def bare(raw: bytes) -> str:
@@ -117,17 +146,33 @@ def _empty() -> None:
 STORES["words"] = _empty
 
 
-def _indexed(texts: list[list[bytes]]):
-    """Numbers of all words, text after text, in the worker's store."""
+def _split(texts):
+    """All words of an Arrow column of texts, one after the other, and how many each text has."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    parts = pc.ascii_split_whitespace(texts.view(pa.string()))
+    words = parts.flatten().view(pa.binary())
+    # White space at an end leaves an empty part.
+    some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    before, offsets = np.concatenate([[0], np.cumsum(some)]), parts.offsets.to_numpy()
+    return words.filter(pa.array(some)), np.diff(before[offsets - offsets[0]])
+
+
+def _indexed(said):
+    """Numbers of words, given as an Arrow column, in the worker's store."""
     import numpy as np
 
     global _words
-    met = {w for t in texts for w in t}
-    if _words is None or len(_words.index) + sum(w not in _words.index for w in met) > len(_words.kind):
-        _words = _Words(max(_STORE, len(met)))
-    get, add = _words.index.get, _words.add
-    at = [i if (i := get(w)) is not None else add(w) for t in texts for w in t]
-    return np.array(at, np.int64), _words
+    coded = said.dictionary_encode()
+    met = coded.dictionary.to_pylist()
+    fresh = met if _words is None else [w for w in met if w not in _words.index]
+    if _words is None or len(_words.index) + len(fresh) > len(_words.kind):
+        _words, fresh = _Words(max(_STORE, len(met))), met
+    _words.add(fresh)
+    at = np.fromiter(map(_words.index.__getitem__, met), np.int64, len(met))
+    return at[coded.indices.to_numpy(zero_copy_only=False)], _words
 
 
 class _Form:
@@ -169,16 +214,20 @@ class _Form:
         return made, light, firm
 
 
-def template_windows(texts: list[list[bytes]], may: object = None, exact: bool = False, short: tuple[int, ...] = tuple(range(1, WIDTH))):
-    """Windows of the texts' templates: text number, place, hash, slot values, hash of the place's first form, and what
+def template_windows(texts: list[list[bytes]] | tuple, may: object = None, exact: bool = False, short: tuple[int, ...] = tuple(range(1, WIDTH))):
+    """Windows of the templates of texts, given as their words or as `_split` gives them: text number, place, hash, slot values, hash of the place's first form, and what
     it counts for. `may`: a filter of the hashes wanted; `exact`: also windows of the words as they are, which without
     a filter are those of texts that have no others. `short`: widths under `WIDTH`; without a filter the texts of so many
     words are one such window each, with one any such words of a text are, but a single word only if it is the text."""
     import numpy as np
 
-    sizes = np.array([len(t) for t in texts])
-    at, words = _indexed(texts)
-    doc = np.repeat(np.arange(len(texts)), sizes)
+    import pyarrow as pa
+
+    if not isinstance(texts, tuple):
+        texts = pa.array([w for t in texts for w in t], pa.binary()), np.array([len(t) for t in texts], np.int64)
+    said, sizes = texts
+    at, words = _indexed(said)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
     kind, ends = words.kind[at], words.ends[at]
     fresh = np.empty(len(at), bool)
     fresh[:1] = True
@@ -198,14 +247,13 @@ def template_windows(texts: list[list[bytes]], may: object = None, exact: bool =
     beside[1:] = doc[1:] == doc[:-1]
     before = np.concatenate([kind[:1] * 0, kind[:-1]]) * beside
     unit = (kind == UNIT) & (before == NUMBER)
-    first = np.concatenate([[0], np.cumsum(sizes)])
 
     def form(name):
         return _Form(doc, kind, value, unit, name, name & np.concatenate([name[:1] & False, name[:-1]]) & beside & ~fresh)
 
     capital = kind == CAPITAL
     main = form(capital & ~fresh)
-    starts = np.searchsorted(main.doc, np.arange(len(texts)))
+    starts = np.searchsorted(main.doc, np.arange(len(sizes)))
     place = np.zeros(len(raw) + 1, np.int64)
     place[main.head] = np.arange(len(main.head))
     begin = np.flatnonzero(main.whole())
@@ -222,7 +270,7 @@ def template_windows(texts: list[list[bytes]], may: object = None, exact: bool =
         whole = second.whole()
         begin = np.flatnonzero(whole & (some[WIDTH:] > some[:-WIDTH] if len(whole) else whole))
         forms.append((second, begin, *second.hashed(begin)))
-    found, aligns = [], np.zeros(len(texts), bool)
+    found, aligns = [], np.zeros(len(sizes), bool)
     for f, begin, made, light, firm in forms:
         good = np.ones(len(begin), bool) if may is None else passes(may, firm)
         aligns[f.doc[begin[good]]] = True
@@ -235,7 +283,7 @@ def template_windows(texts: list[list[bytes]], may: object = None, exact: bool =
     for f, b, h, counts in found:
         d, slots = int(f.doc[b]), []
         for k in np.flatnonzero(f.slot[b : b + WIDTH]).tolist():
-            slots.append(" ".join(bare(texts[d][raw[j] - first[d]]).lower() for j in range(f.tails[b + k], f.tails[b + k + 1])))
+            slots.append(" ".join(bare(said[int(raw[j])].as_py()).lower() for j in range(f.tails[b + k], f.tails[b + k + 1])))
         at = int(place[f.head[b]])
         yield d, at - int(starts[d]), h, slots, int(own[at].astype(np.int64)), counts
     if exact:
@@ -243,14 +291,14 @@ def template_windows(texts: list[list[bytes]], may: object = None, exact: bool =
         n = len(hashes)
         good = doc[:n] == doc[WIDTH - 1 : WIDTH - 1 + n]
         good &= ~aligns[doc[:n]] if may is None else passes(may, hashes)
-        starts = np.searchsorted(doc, np.arange(len(texts)))
+        starts = np.searchsorted(doc, np.arange(len(sizes)))
         for i in np.flatnonzero(good).tolist():
             h = int(hashes[i].astype(np.int64))
             yield int(doc[i]), i - int(starts[doc[i]]), h, [], h, EXACT
     if not short:
         return
-    length = np.bincount(doc, minlength=len(texts))
-    starts = np.searchsorted(doc, np.arange(len(texts)))
+    length = np.bincount(doc, minlength=len(sizes))
+    starts = np.searchsorted(doc, np.arange(len(sizes)))
     for width in short:
         hashes = windows_hashed(value ^ np.uint64(0x8EBC6AF09C88C6E3 + width), width)
         n = len(hashes)
@@ -270,8 +318,8 @@ def _windows(rows: DataFrame, key: str, may=None, exact: bool = True, short: tup
 
         forget(but="words")
         for batch in small_batches(batches):
-            keys, texts = batch.column(0), [t.split() for t in batch.column(1).to_pylist()]
-            found = list(template_windows(texts, None if may is None else may.value, exact, short))
+            keys = batch.column(0)
+            found = list(template_windows(_split(batch.column(1)), None if may is None else may.value, exact, short))
             if found:
                 doc, place, hashes, slots, unit, counts = zip(*found, strict=True)
                 columns = [keys.take(pa.array(doc)), pa.array(place, pa.int64()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(unit, pa.int64()), pa.array(counts, pa.int32())]

@@ -465,6 +465,25 @@ def test_more_words_than_the_store(monkeypatch):
     assert small == one_by_one
 
 
+def test_words_are_split_and_judged_in_bulk():
+    """Words of a column are those of `bytes.split`; words of letters get the kind and hash that the patterns give."""
+    import pyarrow as pa
+
+    texts = [b"", b" \x0b\x0c", b" a\x1c b\xc2\x85c\xe2\x80\x83d\x00 \r\n", b"x", b"\xff\t\t\xfe y "]
+    for column in (pa.array(texts), pa.array([b"other words", *texts, b"more"]).slice(1, len(texts))):
+        words, sizes = decontam._split(column)
+        assert sizes.tolist() == [len(t.split()) for t in texts] and words.to_pylist() == [w for t in texts for w in t.split()]
+    words = b"plain Name Name. I A a. kg Kg Seven seven, AB aB ab% x_ caf\xc3\xa9 12kg $5 - (in %".split()
+    store = decontam._Words(len(words))
+    store.add(words)
+    import xxhash
+
+    for w, kind, made, ends in zip(words, store.kind, store.hash, store.ends, strict=True):
+        told, said = decontam._judged(w)
+        assert (kind, made, ends) == (told, xxhash.xxh3_64_intdigest(said.encode()), w[-1:] in b".!?:;"), w
+
+
+
 def test_ids_of_parts_are_the_ids_of_the_text():
     whole = tokens.tokenizer(queries.WORD_BPE)
     r = random.Random(1)
