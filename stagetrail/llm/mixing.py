@@ -53,7 +53,7 @@ GATES = 16
 #: How far one error moves a text's own weights.
 RATE = 0.0004
 #: Symbols whose decisions are added up at once for the weights.
-LEARN = 1 << 19
+LEARN = 1 << 17
 #: Cells of what decisions get: own log-odds in quarters, two states.
 CELLS = 1 << 22
 #: How firmly weights that few decisions tell of stay where they begin.
