@@ -15,8 +15,10 @@ broadcast is the tree over the `VOCABULARY`
 most frequent words; every other word seen twice has a number, joined by word, and is the tree's mark for such words
 and the digits of its number, so the words with a code grow with the input. Decision counts are kept by context: each
 batch of texts deals its distinct (context, symbol) pairs to buckets, whose number grows with the training words; a
-bucket counts, and answers each batch with what its pairs' decisions have seen, in all texts and without one. A bucket has four slots or more for each of its
-own decisions, so they are no fuller on more text, and a frequent context costs a batch one row per symbol that follows it.
+bucket counts, and answers each batch with what its pairs' decisions have seen, in all texts and without one, as runs of
+decisions that have seen alike. A bucket has four slots or more for each of its own decisions, so they are no fuller on
+more text, and a frequent context costs a batch one row per symbol that follows it. Answers are staged by pair, and meet
+their texts in `PASSES` parts of the batches, once for the weights and once for the scores.
 
 Edge cases: a null text is its end alone; a null id counts as the empty text for the split; repeated rows count each;
 an empty table gives no rows; without training texts all words are unknown and every decision is near even; other
@@ -29,12 +31,13 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagetrail.llm.common import mixed, staged, text_or_empty
+from stagetrail.llm.common import mixed, staged, text_or_empty, unstaged
 
 #: Words in the tree; bounds the model that every executor holds. Words beyond have joined numbers.
 VOCABULARY = 1 << 18
@@ -43,7 +46,9 @@ TWICE = 2
 #: Training words a bucket of contexts.
 BUCKET = 1 << 17
 #: Symbols of a batch of texts, which asks for its contexts at once.
-BATCH = 1 << 19
+BATCH = 1 << 20
+#: Parts of the batches, at most, that get their answers one after the other, so that few answers are on their way at once.
+PASSES = 8
 PIECE = 1 << 19
 #: Symbols of a text between two refinements of its weights, and symbols that are worked on at once.
 BLOCK, SLICE, ROWS = 256, 1 << 14, 2000
@@ -194,7 +199,7 @@ def numbered(counts: DataFrame, common: DataFrame) -> tuple[DataFrame, int, int]
     # By frequency, so that a word's number depends on the counts alone.
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = own.repartitionByRange(parts, F.desc("n"), "word").sortWithinPartitions(F.desc("n"), "word")
-    own = staged(own.select("word", "n").mapInArrow(number, "word binary, n long, part long, nth long"), "numbers")
+    own = staged(own.select("word", "n").mapInArrow(number, "word binary, n long, part long, nth long"), "numbers", last=True)
     # A row a task.
     parts = sorted(own.groupBy("part").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n")).collect())
     first, size = [], 0
@@ -203,7 +208,7 @@ def numbered(counts: DataFrame, common: DataFrame) -> tuple[DataFrame, int, int]
         size += r["size"]
     starts = counts.sparkSession.createDataFrame(first, "part long, first long")
     own = own.join(F.broadcast(starts), "part").select("word", (F.col("first") + F.col("nth")).alias("number"))
-    return staged(counts.join(own, "word", "left"), "numbered"), size, sum(r["n"] for r in parts)
+    return staged(counts.join(own, "word", "left"), "numbered", last=True), size, sum(r["n"] for r in parts)
 
 
 def frame(counts: DataFrame) -> tuple[Model, DataFrame]:
@@ -232,7 +237,7 @@ def frame(counts: DataFrame) -> tuple[Model, DataFrame]:
     times = own.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
     last = times.filter(F.col("before") < VOCABULARY).agg(F.min("n")).first()[0]
     common = own.filter(F.col("n") >= (last or TWICE)).orderBy(F.desc("n"), "word").limit(VOCABULARY)
-    common = staged(common, "common")
+    common = staged(common, "common", last=True)
     top = common.orderBy(F.desc("n"), "word").toArrow()
     words, n = top["word"].to_pylist(), top["n"].to_numpy()
     size, occur = 0, 0
@@ -302,6 +307,16 @@ class Decisions:
         self.model = model
         self.start, self.tree = model.start, model.length
         self.own = np.append(model.own, np.uint16(128))
+        nth = np.arange(len(model.step)) - np.repeat(model.start, model.length)
+        self.code = (np.add.reduceat((model.step & 1) * 0.5 ** (nth + 1), model.start) * (1 << 14)).astype(np.uint64)
+
+    def beside(self, said):
+        """44 bits: 16 of the symbol before, 14 of the one before that, the first 14 decisions of the symbol."""
+        symbol, *before = (x.astype(np.uint64) for x in said)
+        made = (before[0] & np.uint64(0xFFFF)) << np.uint64(28)
+        for x in before[1:]:
+            made += (x & np.uint64(0x3FFF)) << np.uint64(14)
+        return made + self.code[np.where(said[0] >= self.model.numbered, self.model.escape + 3, said[0])]
 
     def lengths(self, symbol):
         beyond = symbol >= self.model.numbered
@@ -364,32 +379,37 @@ class Texts:
         self.training = training[self.of] == 1
         self.reader, self.buckets = reader, buckets
 
-    def pairs(self):
-        """Of both contexts: symbol and the symbols before it, bucket of the distinct pairs, each inside symbol's pair, and
-        whether its text has had that before."""
-        for k in range(2):
-            said = [self.made[self.inside - j] for j in range(k + 2)]
-            context = hashed(said[1:])
-            key = paired(context, said[0])
-            by = np.argsort(key, kind="stable")
-            same = key[by[1:]] == key[by[:-1]]
-            first = by[np.concatenate([by[:1] >= 0, ~same])]
-            pair, again = np.zeros(len(by), np.int64), np.zeros(len(by), bool)
-            pair[by[1:]] = np.cumsum(~same)
-            again[by[1:]] = same & (self.of[by[1:]] == self.of[by[:-1]])
-            said = [x[first] for x in said]
-            bucket = (context[first] >> np.uint64(32)) % np.uint64(self.buckets)
-            order = np.argsort((bucket << np.uint64(32)) + said[1].astype(np.uint64), kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            yield k, [x[order] for x in said], bucket[order].astype(np.int64), rank[pair], again
-
-    def placed(self, found: list[list[np.ndarray]]):
-        """Of both contexts: their answers to the distinct pairs, dealt to all decisions of the symbols."""
-        for (_, said, _, pair, _), states in zip(self.pairs(), found, strict=True):
-            length = self.reader.lengths(said[0])
-            place = spread((np.cumsum(length) - length)[pair], length[pair])
-            yield [x[place] for x in states]
+    def pairs(self, k: int):
+        """Of one of the contexts: symbol and the symbols before it, bucket of the distinct pairs, each inside symbol's pair,
+        and whether its text has had that before."""
+        said = [self.made[self.inside - j] for j in range(k + 2)]
+        context = hashed(said[1:])
+        key = paired(context, said[0])
+        by = np.argsort(key, kind="stable")
+        same = key[by[1:]] == key[by[:-1]]
+        first = by[np.concatenate([by[:1] >= 0, ~same])]
+        pair, again = np.zeros(len(by), np.int64), np.zeros(len(by), bool)
+        pair[by[1:]] = np.cumsum(~same)
+        again[by[1:]] = same & (self.of[by[1:]] == self.of[by[:-1]])
+        said = [x[first] for x in said]
+        bucket = (context[first] >> np.uint64(32)) % np.uint64(self.buckets)
+        # Pairs of a context by the beginning of the symbol's code: neighbours have answers in common, which compress.
+        order = np.argsort((bucket << np.uint64(44)) + self.reader.beside(said), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return [x[order] for x in said], bucket[order].astype(np.int64), rank[pair], again
+
+    def placed(self, k: int, runs: list[bytes], states: list[bytes]):
+        """The answers of one of the contexts to the distinct pairs, dealt to all decisions of the symbols."""
+        said, _, pair, _ = self.pairs(k)
+        number, size = run_sizes(runs, self.reader.lengths(said[0]))
+        begin, state = np.cumsum(number) - number, np.frombuffer(b"".join(states), np.uint8)
+        made = []
+        for at in range(0, len(pair), LEARN):
+            some = pair[at : at + LEARN]
+            place = spread(begin[some], number[some])
+            made.append(np.repeat(state[place], size[place]))
+        return np.concatenate([state[:0], *made])
 
 
 def hashed(before: list[np.ndarray]):
@@ -439,18 +459,22 @@ def answers(reader: Decisions, asked: list[tuple[np.ndarray, np.ndarray, np.ndar
 def sided_answers(reader: Decisions, asked: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of each batch's pairs (context, symbol, how often the training texts have it, how many of them): states that say how
     much is for the right answer, from all counts, and from those without one text that has the pair."""
+    for _, size, state, others in answer_runs(reader, asked):
+        yield np.repeat(state, size), np.repeat(others, size)
+
+
+def answer_runs(reader: Decisions, asked: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """What `sided_answers` gives, as runs of decisions of a pair that get the same: how many runs each pair has, how many
+    decisions each run, and both states of each run."""
     context, symbol, n, texts = (np.concatenate(x) for x in zip(*asked, strict=True))
     _, first, pair = np.unique(paired(context, symbol), return_index=True, return_inverse=True)
     n, texts = (np.bincount(pair, x, len(first)).astype(np.uint32) for x in (n, texts))
     one = (n + texts // 2) // np.maximum(texts, 1)
     context, symbol = context[first], symbol[first]
     length = reader.lengths(symbol)
-    start = np.cumsum(length) - length
-    none = np.zeros(len(n), np.uint32)
-    made = [np.repeat(states(none, x), length) for x in (n, n - one)]
     _, of, met = np.unique(context, return_inverse=True, return_counts=True)
-    # A context that only one symbol follows has nothing against it; others are counted.
-    some = np.flatnonzero(met[of] > 1)
+    # A context that only one symbol follows has nothing against it, all along one run; others are counted.
+    lone, some = np.flatnonzero(met[of] == 1), np.flatnonzero(met[of] > 1)
     size = length[some]
     step = reader.of(symbol[some], size)
     # Four to eight slots for a decision that was counted.
@@ -459,15 +483,64 @@ def sided_answers(reader: Decisions, asked: list[tuple[np.ndarray, ...]]) -> Ite
     slot = (slot >> np.uint64(64 - bits)).astype(np.int64) * 2 + (step & np.uint32(1))
     counts = np.zeros(2 << bits, np.uint32)
     np.add.at(counts, slot, np.repeat(n[some], size))
-    no, yes, place = counts[slot ^ 1], counts[slot], spread(start[some], size)
-    made[0][place] = states(no, yes)
-    made[1][place] = states(no, yes - np.repeat(one[some], size))
+    no, yes = counts[slot ^ 1], counts[slot]
+    both = sided(states(no, yes), states(no, yes - np.repeat(one[some], size)))
+    heads = np.cumsum(size) - size
+    begins = np.ones(len(both), bool)
+    begins[1:] = both[1:] != both[:-1]
+    begins[heads] = True
+    begin = np.flatnonzero(begins)
+    number = np.ones(len(symbol), np.int64)
+    number[some] = np.diff(np.searchsorted(begin, np.append(heads, len(both))))
+    place = np.cumsum(number) - number
+    state, run = np.empty(int(number.sum()), np.uint16), np.empty(int(number.sum()), np.int64)
+    none = np.zeros(len(lone), np.uint32)
+    state[place[lone]], run[place[lone]] = sided(states(none, n[lone]), states(none, (n - one)[lone])), length[lone]
+    inside = spread(place[some], number[some])
+    state[inside], run[inside] = both[begin], np.diff(np.append(begin, len(both)))
     at = 0
     for x in asked:
         own = pair[at : at + len(x[0])]
         at += len(own)
-        place = spread(start[own], length[own])
-        yield made[0][place], made[1][place]
+        runs = spread(place[own], number[own])
+        yield number[own], run[runs], (state[runs] & np.uint16(255)).astype(np.uint8), (state[runs] >> np.uint16(8)).astype(np.uint8)
+
+
+def sided(state, others):
+    return state.astype(np.uint16) | others.astype(np.uint16) << np.uint16(8)
+
+
+def told_runs(number: np.ndarray, size: np.ndarray) -> bytes:
+    """How many runs the pairs have, and how many decisions each run but a pair's last has, which the symbol tells."""
+    inner = np.ones(len(size), bool)
+    inner[np.cumsum(number) - 1] = False
+    return len(number).to_bytes(8, "little") + number.astype(np.uint8).tobytes() + size[inner].astype(np.uint8).tobytes()
+
+
+def beyond(state: np.ndarray, others: np.ndarray) -> bytes:
+    """How far `others` is from `state`, in the order of `state`: equal states have like distances, which compress."""
+    return (others - state)[np.argsort(state, kind="stable")].tobytes()
+
+
+def without(state: bytes, told: bytes) -> bytes:
+    """`others` back from that."""
+    made = np.frombuffer(state, np.uint8).copy()
+    made[np.argsort(made, kind="stable")] += np.frombuffer(told, np.uint8)
+    return made.tobytes()
+
+
+def run_sizes(told: list[bytes], length: np.ndarray):
+    """Back from that: runs of each pair, decisions of each run; `length`: of the pairs' symbols."""
+    heads = [8 + int.from_bytes(x[:8], "little") for x in told]
+    number = np.frombuffer(b"".join(x[8:to] for x, to in zip(told, heads, strict=True)), np.uint8).astype(np.int64)
+    end = np.cumsum(number)
+    size = np.zeros(int(number.sum()), np.int64)
+    inner = np.ones(len(size), bool)
+    inner[end - 1] = False
+    size[inner] = np.frombuffer(b"".join(x[to:] for x, to in zip(told, heads, strict=True)), np.uint8)
+    if len(number):
+        size[end - 1] = length - np.add.reduceat(size, end - number)
+    return number, size
 
 
 def _state(no, yes):
@@ -488,9 +561,9 @@ def states(no, yes):
     return made
 
 
-def _answered(texts: DataFrame, model, buckets: int) -> DataFrame:
-    """A row a batch: heads, symbols and the states of both contexts, all packed but the heads. Rows without heads: cells
-    of what the decisions of training texts get from the other parts, and how many get it."""
+def _answered(texts: DataFrame, model, buckets: int, k: int, passes: int) -> DataFrame:
+    """Of one of the contexts, a row a batch and bucket: the runs of the batch's pairs, their states and, as `others`, how
+    far the states without one text are from them, all packed. `part`: the batch's pass."""
 
     def deal(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -499,15 +572,15 @@ def _answered(texts: DataFrame, model, buckets: int) -> DataFrame:
         for b in batches:
             for batch, heads, symbols in _rows(b, "batch", "heads", "blob"):
                 held = Texts(model.value, reader, heads, symbols, buckets)
-                for k, said, bucket, pair, again in held.pairs():
-                    n, more = (np.bincount(pair[x], minlength=len(bucket)).astype(np.uint32) for x in (held.training, held.training & again))
-                    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
-                    blobs = [planes([*[c[x:y] for c in said], n[x:y], more[x:y]]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                    size = len(blobs)
-                    yield pa.record_batch(
-                        [pa.array([batch] * size, pa.int64()), pa.array([k] * size, pa.int32()), pa.array(bucket[cuts[:-1]] if size else [], pa.int64()), pa.array(blobs, pa.binary())],
-                        ["batch", "context", "bucket", "blob"],
-                    )
+                said, bucket, pair, again = held.pairs(k)
+                n, more = (np.bincount(pair[x], minlength=len(bucket)).astype(np.uint32) for x in (held.training, held.training & again))
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+                blobs = [planes([*[c[x:y] for c in said], n[x:y], more[x:y]]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                size = len(blobs)
+                yield pa.record_batch(
+                    [pa.array([batch] * size, pa.int64()), pa.array(bucket[cuts[:-1]] if size else [], pa.int64()), pa.array(blobs, pa.binary())],
+                    ["batch", "bucket", "blob"],
+                )
 
     def answer(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -516,17 +589,17 @@ def _answered(texts: DataFrame, model, buckets: int) -> DataFrame:
         key, rows, asked = None, [], []
 
         def made(some):
-            batch, blob, others = zip(*some, strict=True)
+            batch, *blobs = zip(*some, strict=True)
             size = len(some)
             return pa.record_batch(
-                [pa.array(batch, pa.int64()), pa.array([key[0]] * size, pa.int32()), pa.array([key[1]] * size, pa.int64()), pa.nulls(size, pa.binary()), pa.array(blob, pa.binary()), pa.array(others, pa.binary())],
-                ["batch", "context", "bucket", "heads", "blob", "others"],
+                [pa.array(batch, pa.int64()), pa.array([k] * size, pa.int32()), pa.array([key] * size, pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]],
+                ["batch", "context", "bucket", "runs", "states", "others"],
             )
 
         def told():
             some = []
-            for batch, answer in zip(rows, sided_answers(reader, asked), strict=True):
-                some.append((batch, *[packed(x.tobytes()) for x in answer]))
+            for batch, (number, size, state, others) in zip(rows, answer_runs(reader, asked), strict=True):
+                some.append((batch, packed(told_runs(number, size)), packed(state.tobytes()), packed(beyond(state, others))))
                 if len(some) == 500:
                     yield made(some)
                     some = []
@@ -534,62 +607,81 @@ def _answered(texts: DataFrame, model, buckets: int) -> DataFrame:
                 yield made(some)
 
         for b in batches:
-            for batch, context, bucket, blob in _rows(b, *b.schema.names):
-                if key != (context, bucket):
+            for batch, bucket, blob in _rows(b, *b.schema.names):
+                if key != bucket:
                     if rows:
                         yield from told()
-                    key, rows, asked = (context, bucket), [], []
+                    key, rows, asked = bucket, [], []
                 rows.append(batch)
-                symbol, *before, n, more = columns(blob, context + 4)
+                symbol, *before, n, more = columns(blob, k + 4)
                 asked.append((hashed(before), symbol.astype(np.int32), n, n - more))
         if rows:
             yield from told()
 
-    def join(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    number = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.mapInArrow(deal, "batch long, bucket long, blob binary")
+    dealt = dealt.repartition(number, "bucket").sortWithinPartitions("bucket")
+    told = dealt.mapInArrow(answer, "batch long, context int, bucket long, runs binary, states binary, others binary")
+    return told.withColumn("part", _part(passes))
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _part(passes: int) -> Column:
+    return F.pmod(F.xxhash64("batch"), F.lit(passes)).cast("int")
 
-        names, cells = ["heads", "symbols", "one", "two", "cell", "n"], None
-        for texts, found in _asked(batches, model.value, buckets):
-            (one, other_one), (two, other_two) = texts.placed(found)
-            cells = np.zeros(CELLS, np.int64) if cells is None else cells
-            _add(cells, texts, other_one, other_two)
-            blobs = [texts.heads, *[packed(x.tobytes()) for x in (texts.symbols, one, two)]]
-            yield pa.record_batch([*[pa.array([x], pa.binary()) for x in blobs], pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())], names)
-        if cells is not None:
-            used = np.flatnonzero(cells)
-            for at in range(0, len(used), 10_000):
-                some = used[at : at + 10_000]
-                yield pa.record_batch([*[pa.nulls(len(some), pa.binary())] * 4, pa.array(some, pa.int32()), pa.array(cells[some])], names)
 
+def _asked(texts: DataFrame, told: DataFrame, part: int, passes: int, others: bool) -> DataFrame:
+    """Rows of a part of the batches, each batch's texts before its answers, both in one task."""
     number = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts.mapInArrow(deal, "batch long, context int, bucket long, blob binary")
-    dealt = dealt.repartition(number, "context", "bucket").sortWithinPartitions("context", "bucket")
-    told = dealt.mapInArrow(answer, "batch long, context int, bucket long, heads binary, blob binary, others binary")
-    own = texts.select("batch", F.lit(-1).alias("context"), F.lit(-1).cast("long").alias("bucket"), "heads", "blob", F.lit(None).cast("binary").alias("others"))
-    back = own.unionByName(told).repartition(number, "batch").sortWithinPartitions("batch", "context", "bucket")
-    return back.mapInArrow(join, "heads binary, symbols binary, one binary, two binary, cell int, n long")
+    none = F.lit(None).cast("binary")
+    own = texts.filter(_part(passes) == part).select("batch", F.lit(-1).alias("context"), F.lit(-1).cast("long").alias("bucket"), "heads", F.col("blob").alias("runs"), none.alias("states"), none.alias("others"))
+    told = told.filter(F.col("part") == part).select("batch", "context", "bucket", none.alias("heads"), "runs", "states", (F.col("others") if others else none).alias("others"))
+    return own.unionByName(told).repartition(number, "batch").sortWithinPartitions("batch", "context", "bucket")
 
 
-def _asked(batches: Iterator, model: Model, buckets: int) -> Iterator:
-    """Each batch of texts and, of both contexts, its states of both kinds."""
+def _placed(batches: Iterator, model: Model, buckets: int) -> Iterator:
+    """Each batch of texts and, of both contexts, the states of its decisions; those without one text where they are told."""
     reader, held = Decisions(model), None
 
     def told():
-        return held, [[np.frombuffer(b"".join(x), np.uint8) for x in kinds] for kinds in found]
+        return held, [held.placed(k, *found[k]) for k in range(2)]
 
     for b in batches:
-        for _, context, _, heads, blob, others in _rows(b, *b.schema.names):
+        for _, context, _, heads, runs, states, others in _rows(b, *b.schema.names):
             if context < 0:
                 if held:
                     yield told()
-                held, found = Texts(model, reader, heads, blob, buckets), [([], []), ([], [])]
+                held, found = Texts(model, reader, heads, runs, buckets), [([], []), ([], [])]
             else:
-                found[context][0].append(unpacked(blob))
-                found[context][1].append(unpacked(others))
+                found[context][0].append(unpacked(runs))
+                state = unpacked(states)
+                found[context][1].append(state if others is None else without(state, unpacked(others)))
     if held:
         yield told()
 
 
+def _cells(asked: DataFrame, model, buckets: int) -> DataFrame:
+    """Cells of what the decisions of training texts get from the other parts, and how many get it."""
+
+    def add(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        cells = None
+        for held, (one, two) in _placed(batches, model.value, buckets):
+            cells = np.zeros(CELLS, np.int64) if cells is None else cells
+            _add(cells, held, one, two)
+        if cells is not None:
+            used = np.flatnonzero(cells)
+            for at in range(0, len(used), 10_000):
+                some = used[at : at + 10_000]
+                yield pa.record_batch([pa.array(some, pa.int32()), pa.array(cells[some])], ["cell", "n"])
+
+    return asked.mapInArrow(add, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
 def _add(cells: np.ndarray, texts: Texts, one: np.ndarray, two: np.ndarray) -> None:
     """Adds the decisions of the training texts to the cells of what they get."""
     reader = texts.reader
@@ -809,11 +901,12 @@ def _batches(rows: DataFrame, model) -> DataFrame:
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row."""
     context = docs.sparkSession.sparkContext
-    own, counts = frame(staged(word_counts(docs), "words"))
+    words = staged(word_counts(docs), "words", last=True)
+    own, counts = frame(words)
     total, distinct, unknown = own.total, own.distinct, own.base(0)
     buckets = -(-total // BUCKET) or 1
     model = context.broadcast(own)
-    rows = staged(coded_texts(docs, model), "coded")
+    rows = staged(coded_texts(docs, model), "coded", last=True)
     others = rows.select("row", F.posexplode("others").alias("nth", "word")).join(counts, "word", "left")
     value = F.log10((F.col("n") + 0.1) / F.lit(total + 0.1 * (distinct + 1)))
     number = F.struct("nth", F.coalesce("number", F.lit(-1)).alias("number"))
@@ -822,25 +915,28 @@ def scores(docs: DataFrame) -> DataFrame:
         F.sum(F.coalesce(value, F.lit(unknown))).alias("rare_base"),
         F.sort_array(F.collect_list(number)).getField("number").alias("numbers"),
     )
-    rare = staged(rare, "rare")
+    rare = staged(rare, "rare", last=True)
     texts = rows.select("row", "remainder", "n_tokens", "symbols", "others").join(rare.select("row", "numbers"), "row", "left")
-    texts = staged(_batches(texts, model), "symbols")
-    told = staged(_answered(texts, model, buckets), "answers")
-    weights = _weights(told.filter("heads is null").select("cell", "n"))
+    texts = staged(_batches(texts, model), "symbols", last=True)
+    about = staged(rows.drop("others", "symbols").join(rare.drop("numbers"), "row", "left"), "about", last=True)
+    for x in (words, counts, rows, rare):
+        unstaged(x)
+    # The context with more pairs first.
+    passes = min(PASSES, texts.count()) or 1
+    told = [staged(_answered(texts, model, buckets, k, passes), "answers", last=True, by="part") for k in (1, 0)]
+    told = told[0].unionByName(told[1])
+    weights = _weights(union([staged(_cells(_asked(texts, told, part, passes, True), model, buckets), "cells", last=True) for part in range(passes)]))
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         mixer = Mixer(model.value, weights)
-        for b in batches:
-            for heads, symbols, one, two in _rows(b, *b.schema.names):
-                row, _, sizes = np.frombuffer(heads, "<i8").reshape(3, -1)
-                costs = mixer.costs(sizes, np.frombuffer(unpacked(symbols), "<i4"), [np.frombuffer(unpacked(x), np.uint8) for x in (one, two)])
-                yield pa.record_batch([pa.array(row), pa.array(-costs / math.log(10))], ["row", "score"])
-
-    scored = told.filter("heads is not null").drop("cell", "n").mapInArrow(score, "row long, score double")
-    scored = rows.drop("others", "symbols").join(scored, "row")
-    return scored.join(rare.drop("numbers"), "row", "left").select(
+        for held, states in _placed(batches, model.value, buckets):
+            row, _, sizes = np.frombuffer(held.heads, "<i8").reshape(3, -1)
+            yield pa.record_batch([pa.array(row), pa.array(-mixer.costs(sizes, held.symbols, states) / math.log(10))], ["row", "score"])
+
+    scored = union([staged(_asked(texts, told, part, passes, False).mapInArrow(score, "row long, score double"), "scores", last=True) for part in range(passes)])
+    return about.join(scored, "row").select(
         "doc_id",
         (F.col("remainder") == 0).alias("held_out"),
         "n_tokens",

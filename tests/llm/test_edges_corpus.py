@@ -301,6 +301,47 @@ def test_weights_without_the_text_itself():
     assert (others[2 * size : 3 * size] >> 6 > 0).all() and (others[2 * size : 3 * size] != state[2 * size : 3 * size]).any()
 
 
+def test_answers_come_back_from_runs():
+    """Runs and distances from the states give back every decision's states, however they are cut into buckets."""
+    model = mixing.Model([b"a", b"b"], np.array([3, 2, 1]), 6, 3, *mixing.coded(np.arange(2 + 256 + 4) + 1))
+    reader, r = mixing.Decisions(model), np.random.default_rng(3)
+    asked = []
+    for size in (400, 1, 90):
+        n = r.integers(0, 30, size).astype(np.uint32)
+        asked.append((r.integers(1, 60, size).astype(np.uint64), r.integers(0, 262, size).astype(np.int32), n, np.minimum(n, 2)))
+    wanted = list(mixing.sided_answers(reader, asked))
+    runs = list(mixing.answer_runs(reader, asked))
+    assert sum(len(x[1]) for x in runs) < 0.8 * sum(len(x) for x, _ in wanted)
+    number, size = mixing.run_sizes([mixing.told_runs(*x[:2]) for x in runs], reader.lengths(np.concatenate([x[1] for x in asked])))
+    assert (number == np.concatenate([x[0] for x in runs])).all() and (size == np.concatenate([x[1] for x in runs])).all()
+    others = [np.frombuffer(mixing.without(x[2].tobytes(), mixing.beyond(*x[2:])), np.uint8) for x in runs]
+    for k, made in ((0, [x[2] for x in runs]), (1, others)):
+        assert (np.repeat(np.concatenate(made), size) == np.concatenate([x[k] for x in wanted])).all()
+
+
+def test_scores_leave_little_on_disk(spark, monkeypatch, tmp_path):
+    """What nothing reads any more is gone, and so is what a step has shuffled when it ends."""
+    kept, held = mixing.staged, []
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return sum("shuffle" in files.getAllFiles().apply(i).getName() for i in range(files.getAllFiles().size()))
+
+    def staged(*a, **b):
+        was = shuffled()
+        made = kept(*a, **b)
+        held.append(shuffled() - was)
+        return made
+
+    monkeypatch.setattr(mixing, "staged", staged)
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(mixing, "BATCH", 20_000)
+    mixing.scores(spark.createDataFrame([(i, prose(i, 300)) for i in range(400)], "doc_id long, text string")).collect()
+    left = {d.name.split("-")[0]: d for d in tmp_path.iterdir()}
+    assert not {"words", "coded", "rare"} & left.keys() and {"symbols", "answers", "scores"} <= left.keys()
+    assert max(held) <= 0
+
+
 def test_weights_cost_least():
     r = np.random.default_rng(1)
     own, one, two = r.integers(-12, 13, (3, 500))
