@@ -28,10 +28,9 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -43,28 +42,32 @@ from stagetrail.llm.common import mixed, staged, text_or_empty, unstaged
 VOCABULARY = 1 << 18
 #: A word with fewer occurrences is spelled, which teaches how often and how words are new.
 TWICE = 2
-#: Training words a bucket of contexts.
-BUCKET = 1 << 17
+#: Training words a bucket of contexts, and buckets that are asked and answered at once: a batch has a row for each group
+#: of them, as a row costs the same however few pairs it has.
+BUCKET, GROUP = 1 << 17, 16
+#: Pairs whose decisions are counted, symbols that get their answers, and pairs whose decisions are added up for the
+#: weights, at once.
+COUNTED, PLACED, LEARN = 1 << 12, 1 << 14, 1 << 14
 #: Symbols of a batch of texts, which asks for its contexts at once.
 BATCH = 1 << 20
 #: Parts of the batches, at most, that get their answers one after the other, so that few answers are on their way at once.
 PASSES = 8
 PIECE = 1 << 19
+#: Bytes of text whose words are told apart at once.
+READ = 1 << 22
 #: Symbols of a text between two refinements of its weights, and symbols that are worked on at once.
-BLOCK, SLICE, ROWS = 256, 1 << 14, 2000
+BLOCK, SLICE, ROWS = 256, 1 << 11, 2000
 #: A context's answer: what it has seen in the two high bits, log-odds in quarters plus 32 below.
 UNSEEN = 32
 GATES = 16
 #: How far one error moves a text's own weights.
 RATE = 0.0004
-#: Symbols whose decisions are added up at once for the weights.
-LEARN = 1 << 17
 #: Cells of what decisions get: own log-odds in quarters, two states.
 CELLS = 1 << 22
 #: How firmly weights that few decisions tell of stay where they begin.
 BEGIN, FIRMLY = 0.4, 10.0
-#: A training dictionary is handed on when it has so many words.
-HELD = 300_000
+#: Words of parts of the training texts that are added up at once; a dictionary of half as many is handed on.
+HELD = 600_000
 #: The end mark in the table of words; no word is empty.
 END_WORD = b""
 
@@ -89,6 +92,20 @@ def pieces(text: bytes) -> Iterator[tuple[bytes, bool]]:
     yield text[at:], True
 
 
+def split(parts: list[bytes]):
+    """The words of `tokens` of all parts, one part after the other, and how many each part has."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    # Only ASCII letters and spaces count, so any bytes go.
+    made = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(parts, pa.binary()).view(pa.string())))
+    words, offsets = made.flatten(), made.offsets.to_numpy()
+    # Where a part begins or ends with spaces there is an empty word.
+    some = pc.greater(pc.binary_length(words), 0)
+    before = np.append(0, np.cumsum(some.to_numpy(zero_copy_only=False)))
+    return words.filter(some).view(pa.binary()), np.diff(before[offsets - offsets[0]])
+
+
 def _remainder(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10
 
@@ -104,21 +121,27 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held: Counter = Counter()
+        held, size, ends = [], 0, 0
 
-        def told():
-            return pa.record_batch([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+        def added():
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for piece, last in pieces(text):
-                    held.update(tokens(piece))
-                    held[END_WORD] += last
-                if len(held) > HELD:
-                    yield told()
-                    held.clear()
+            for parts in _parts(batch.column(0)):
+                _, some, last = zip(*parts, strict=True)
+                words = split(some)[0].value_counts()
+                held.append(pa.table({"word": words.field("values"), "n": words.field("counts")}))
+                size += len(words)
+                ends += sum(last)
+                if size > HELD:
+                    held, size = [made := added()], 0
+                    if len(made) > HELD // 2:
+                        yield from made.to_batches()
+                        held = []
+        if ends:
+            held.append(pa.table({"word": pa.array([END_WORD], pa.binary()), "n": pa.array([ends], pa.int64())}))
         if held:
-            yield told()
+            yield from added().to_batches()
 
     rows = _source(docs).filter("remainder != 0").select("text").mapInArrow(count, "word binary, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
@@ -139,6 +162,15 @@ class Model:
     #: Binary digits of the numbers of words beyond the tree.
     digits: int = 0
 
+    @cached_property
+    def coder(self) -> Coder:
+        return Coder(self)
+
+    @cached_property
+    def reader(self) -> Decisions:
+        """Made once a worker, as the broadcast model stays there from task to task."""
+        return Decisions(self)
+
     @property
     def escape(self) -> int:
         return len(self.words) + 256
@@ -255,49 +287,52 @@ def frame(counts: DataFrame) -> tuple[Model, DataFrame]:
     return Model(words, np.append(n, ends), sums["total"] or 0, sums["distinct"], *coded(symbols), max(0, size - 1).bit_length()), counts
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 class Coder:
     """Texts as rows of symbols."""
 
     def __init__(self, model: Model):
+        import pyarrow as pa
+
         self.model = model
-        self.number = _Numbers(zip(model.words, range(len(model.words)), strict=True))
-        self.number[END_WORD] = model.escape + 2
-        self.base = np.array([model.base(n) for n in model.counts])
+        self.words = pa.array([*model.words, END_WORD], pa.binary())
+        counts, number = np.unique(model.counts, return_inverse=True)
+        self.base = np.array([model.base(n) for n in counts])[number]
 
-    def coded(self, words: list[bytes]):
+    def coded(self, words):
         """Of words and end marks: which are not in the tree, base scores and whether they are known (0 for those), and
         symbols (-1 for those)."""
+        import pyarrow.compute as pc
+
         model = self.model
-        number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        number = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy().astype(np.int64)
         other = np.flatnonzero(number < 0)
-        count = np.minimum(number, len(model.words))
-        base, known = self.base[count], model.counts[count] > 0
+        base, known = self.base[number], model.counts[number] > 0
         base[other], known[other] = 0, False
+        number[number == len(model.words)] = model.escape + 2
         return other, base, known, number.astype(np.int32)
 
 
 def filled(model: Model, symbols: np.ndarray, others: list[bytes], numbers: list[int | None]) -> np.ndarray:
     """Symbols of a text with those of the words that are not in the tree: their number's, or escape, bytes and end."""
-    if not others:
-        return symbols
+    number = np.array([-1 if n is None else n for n in numbers], np.int64)
+    letters = b"".join(w for w, n in zip(others, numbers, strict=True) if n is None)
+    return filled_in(model, symbols, np.array([len(w) for w in others], np.int64), letters, number)[0]
+
+
+def filled_in(model: Model, symbols: np.ndarray, size: np.ndarray, letters: bytes, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of the sizes of the other words, the bytes of those without a number, one word after the other, and the
+    numbers or -1; also where each of `symbols` ends."""
+    at, spelled = np.flatnonzero(symbols < 0), number < 0
     sizes = np.ones(len(symbols), np.int64)
-    at = np.flatnonzero(symbols < 0)
-    spelled = np.array([n is None for n in numbers], bool)
-    sizes[at[spelled]] = [len(w) + 2 for w, n in zip(others, numbers, strict=True) if n is None]
+    sizes[at[spelled]] = size[spelled] + 2
     ends = np.cumsum(sizes)
-    made = np.full(int(ends[-1]), -1, np.int32)
+    made = np.full(int(ends[-1]) if len(ends) else 0, -1, np.int32)
     first = symbols.copy()
-    first[at] = [model.escape if n is None else model.numbered + n for n in numbers]
+    first[at] = np.where(spelled, model.escape, model.numbered + number)
     made[ends - sizes] = first
     made[ends[at[spelled]] - 1] = model.escape + 1
-    letters = b"".join(w for w, n in zip(others, numbers, strict=True) if n is None)
     made[made < 0] = np.frombuffer(letters, np.uint8).astype(np.int32) + len(model.words)
-    return made
+    return made, ends
 
 
 class Decisions:
@@ -305,7 +340,7 @@ class Decisions:
 
     def __init__(self, model: Model):
         self.model = model
-        self.start, self.tree = model.start, model.length
+        self.start, self.tree, self.numbered = model.start, model.length, model.numbered
         self.own = np.append(model.own, np.uint16(128))
         nth = np.arange(len(model.step)) - np.repeat(model.start, model.length)
         self.code = (np.add.reduceat((model.step & 1) * 0.5 ** (nth + 1), model.start) * (1 << 14)).astype(np.uint64)
@@ -319,47 +354,76 @@ class Decisions:
         return made + self.code[np.where(said[0] >= self.model.numbered, self.model.escape + 3, said[0])]
 
     def lengths(self, symbol):
-        beyond = symbol >= self.model.numbered
-        return self.tree[np.where(beyond, self.model.escape + 3, symbol)] + beyond * self.model.digits
+        mark = self.model.escape + 3
+        length = self.tree[np.minimum(symbol, mark)]
+        length[symbol >= self.numbered] += self.model.digits
+        return length
 
     def of(self, symbol, length):
         """Steps (twice the node, plus the answer) of the symbols, whose lengths are given."""
-        model, heads = self.model, np.cumsum(length) - length
-        beyond = symbol >= model.numbered
-        start = self.start[np.where(beyond, model.escape + 3, symbol)]
-        place = np.arange(int(length.sum())) + np.repeat(start - heads, length)
-        if not beyond.any():
+        model, heads, mark = self.model, np.cumsum(length) - length, self.model.escape + 3
+        beyond = np.flatnonzero(symbol >= model.numbered)
+        place = spread(self.start[np.minimum(symbol, mark)], length)
+        if not len(beyond):
             return model.step[place]
-        step = model.step[np.minimum(place, len(model.step) - 1)]
-        digit = np.flatnonzero(np.repeat(beyond, length))
-        nth = (place - np.repeat(start, length))[digit] - self.tree[model.escape + 3]
-        number = np.repeat(symbol.astype(np.int64) - model.numbered, length)[digit]
-        digit, number, nth = digit[nth >= 0], number[nth >= 0], nth[nth >= 0]
+        step = model.step[np.minimum(place, len(model.step) - 1, out=place)]
+        # After the mark, the digits.
+        nth, number = np.arange(model.digits), (symbol[beyond].astype(np.int64) - model.numbered)[:, None]
         node = len(model.own) + (1 << nth) - 1 + (number >> (model.digits - nth))
-        step[digit] = node * 2 + (number >> (model.digits - 1 - nth) & 1)
+        step[(heads[beyond] + self.tree[mark])[:, None] + nth] = node * 2 + (number >> (model.digits - 1 - nth) & 1)
         return step
 
     def odds(self, step):
         return self.own[np.minimum(step >> np.uint32(1), np.uint32(len(self.own) - 1))]
 
+    @cached_property
     def sided(self):
         """The tree's log-odds of the right answer, in 1/16, in the order of the codes, behind them those of a numbered
         word: the mark's, and even ones for its digits."""
         model, mark = self.model, self.model.escape + 3
-        told = self.odds(model.step).astype(np.int16) - 128
+        told = (self.odds(model.step).astype(np.int16) - 128).astype(np.int8)
         told[(model.step & 1) == 0] *= -1
-        return np.concatenate([told, told[self.start[mark] : self.start[mark] + self.tree[mark]], np.zeros(model.digits, np.int16)])
+        return np.concatenate([told, told[self.start[mark] : self.start[mark] + self.tree[mark]], np.zeros(model.digits, np.int8)])
+
+    @cached_property
+    def celled(self):
+        """The same in quarters, as the high bits of a cell."""
+        return (np.clip(np.round(self.sided / 4), -31, 31).astype(np.int8) + np.int8(32)).astype(np.uint8)
 
     def places(self, symbol, length):
         """Where the decisions of the symbols are in `sided`."""
-        beyond = symbol >= self.model.numbered
-        start = np.where(beyond, len(self.model.step), self.start[np.where(beyond, 0, symbol)])
+        start = self.start[np.minimum(symbol, self.model.escape + 3)]
+        start[symbol >= self.numbered] = len(self.model.step)
         return spread(start, length)
 
 
 def spread(start, length):
     """Places of ranges, one range after the other."""
-    return np.arange(int(length.sum())) + np.repeat(start - (np.cumsum(length) - length), length)
+    end = np.cumsum(length)
+    made = np.repeat(start - end + length, length)
+    made += np.arange(len(made))
+    return made
+
+
+def neighbours(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of 64-bit keys in an order that has equal keys beside one another, in their own order, and which places
+    of that order begin a key."""
+    bits = np.uint64(max(1, len(key) - 1).bit_length())
+    # Sorting numbers is several times faster than sorting places: the key's high bits, and the place below.
+    by = (key >> bits << bits) + np.arange(len(key), dtype=np.uint64)
+    by.sort()
+    high = by >> bits
+    by &= (np.uint64(1) << bits) - np.uint64(1)
+    by = by.astype(np.int64)
+    told = key[by]
+    begins = np.ones(len(key), bool)
+    np.not_equal(told[1:], told[:-1], out=begins[1:])
+    if (begins[1:] & (high[1:] == high[:-1])).any():
+        # Different keys with like high bits.
+        by = np.argsort(key, kind="stable")
+        told = key[by]
+        np.not_equal(told[1:], told[:-1], out=begins[1:])
+    return by, begins
 
 
 class Texts:
@@ -380,36 +444,56 @@ class Texts:
         self.reader, self.buckets = reader, buckets
 
     def pairs(self, k: int):
-        """Of one of the contexts: symbol and the symbols before it, bucket of the distinct pairs, each inside symbol's pair,
-        and whether its text has had that before."""
+        """Of one of the contexts: symbol and the symbols before it, group of buckets of the distinct pairs, each inside
+        symbol's pair, and whether its text has had that before."""
         said = [self.made[self.inside - j] for j in range(k + 2)]
         context = hashed(said[1:])
-        key = paired(context, said[0])
-        by = np.argsort(key, kind="stable")
-        same = key[by[1:]] == key[by[:-1]]
-        first = by[np.concatenate([by[:1] >= 0, ~same])]
-        pair, again = np.zeros(len(by), np.int64), np.zeros(len(by), bool)
-        pair[by[1:]] = np.cumsum(~same)
-        again[by[1:]] = same & (self.of[by[1:]] == self.of[by[:-1]])
+        by, begins = neighbours(paired(context, said[0]))
+        first, nth = by[begins], np.cumsum(begins) - 1
+        again, of = np.zeros(len(by), bool), self.of[by]
+        again[by[1:]] = ~begins[1:] & (of[1:] == of[:-1])
         said = [x[first] for x in said]
-        bucket = (context[first] >> np.uint64(32)) % np.uint64(self.buckets)
+        group = grouped(context[first], self.buckets)
         # Pairs of a context by the beginning of the symbol's code: neighbours have answers in common, which compress.
-        order = np.argsort((bucket << np.uint64(44)) + self.reader.beside(said), kind="stable")
+        bits, places = max(1, -(-self.buckets // GROUP) - 1).bit_length(), max(1, len(first) - 1).bit_length()
+        order = (group << np.uint64(64 - bits)) + (self.reader.beside(said) << np.uint64(20) >> np.uint64(bits + places) << np.uint64(places))
+        order += np.arange(len(first), dtype=np.uint64)
+        order.sort()
+        order &= np.uint64((1 << places) - 1)
+        order = order.astype(np.int64)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        return [x[order] for x in said], bucket[order].astype(np.int64), rank[pair], again
+        pair = np.empty(len(by), np.int64)
+        pair[by] = rank[nth]
+        return [x[order] for x in said], group[order].astype(np.int64), pair, again
+
+    def runs(self, symbol: np.ndarray, runs: list[bytes], states: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Of the distinct pairs, whose symbols are given: how many runs each has, how many decisions each run, where the
+        runs of the pairs begin, states of the runs."""
+        number, size = run_sizes(runs, self.reader.lengths(symbol))
+        return number, size, np.cumsum(number) - number, np.frombuffer(b"".join(states), np.uint8)
 
     def placed(self, k: int, runs: list[bytes], states: list[bytes]):
         """The answers of one of the contexts to the distinct pairs, dealt to all decisions of the symbols."""
         said, _, pair, _ = self.pairs(k)
-        number, size = run_sizes(runs, self.reader.lengths(said[0]))
-        begin, state = np.cumsum(number) - number, np.frombuffer(b"".join(states), np.uint8)
-        made = []
-        for at in range(0, len(pair), LEARN):
-            some = pair[at : at + LEARN]
-            place = spread(begin[some], number[some])
-            made.append(np.repeat(state[place], size[place]))
-        return np.concatenate([state[:0], *made])
+        told = self.runs(said[0], runs, states)
+        made = [dealt(pair[at : at + PLACED], *told) for at in range(0, len(pair), PLACED)]
+        return np.concatenate([told[-1][:0], *made])
+
+
+def dealt(pair: np.ndarray, number: np.ndarray, size: np.ndarray, begin: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """The states of the pairs' decisions."""
+    place = spread(begin[pair], number[pair])
+    return np.repeat(state[place], size[place])
+
+
+def grouped(context: np.ndarray, buckets: int) -> np.ndarray:
+    """The group of the context's bucket."""
+    return bucketed(context, buckets) // np.uint64(GROUP)
+
+
+def bucketed(context: np.ndarray, buckets: int) -> np.ndarray:
+    return (context >> np.uint64(32)) % np.uint64(buckets)
 
 
 def hashed(before: list[np.ndarray]):
@@ -463,47 +547,92 @@ def sided_answers(reader: Decisions, asked: list[tuple[np.ndarray, ...]]) -> Ite
         yield np.repeat(state, size), np.repeat(others, size)
 
 
-def answer_runs(reader: Decisions, asked: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+def answer_runs(reader: Decisions, asked: list[tuple[np.ndarray, ...]], buckets: int = 1) -> Iterator[tuple[np.ndarray, ...]]:
     """What `sided_answers` gives, as runs of decisions of a pair that get the same: how many runs each pair has, how many
-    decisions each run, and both states of each run."""
-    context, symbol, n, texts = (np.concatenate(x) for x in zip(*asked, strict=True))
-    _, first, pair = np.unique(paired(context, symbol), return_index=True, return_inverse=True)
+    decisions each run, and both states of each run. The pairs may be of several buckets, each with slots of its own."""
+    columns = [np.concatenate(x) for x in zip(*asked, strict=True)]
+    bucket = bucketed(columns[0], buckets)
+    bucket = (bucket - bucket.min(initial=buckets)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    pair, made, pairs, runs = np.empty(len(order), np.int64), [], 0, 0
+    for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        own, *told = bucket_runs(reader, *[x[some] for x in columns])
+        pair[some] = own + pairs
+        told[1] += runs
+        pairs += len(told[0])
+        runs += len(told[-1])
+        made.append(told)
+    number, place, run, state = (np.concatenate(x) for x in zip(*made, strict=True))
+    at = 0
+    for x in asked:
+        own = pair[at : at + len(x[0])]
+        at += len(own)
+        runs = spread(place[own], number[own])
+        both = state[runs]
+        yield number[own], run[runs], (both & np.uint16(255)).astype(np.uint8), (both >> np.uint16(8)).astype(np.uint8)
+
+
+def bucket_runs(reader: Decisions, context, symbol, n, texts) -> tuple[np.ndarray, ...]:
+    """The distinct pair of each of a bucket's pairs; of the distinct pairs the number of runs and where they begin; size
+    and both states of all runs."""
+    by, begins = neighbours(paired(context, symbol))
+    pair = np.empty(len(by), np.int64)
+    pair[by] = np.cumsum(begins) - 1
+    first = by[begins]
     n, texts = (np.bincount(pair, x, len(first)).astype(np.uint32) for x in (n, texts))
     one = (n + texts // 2) // np.maximum(texts, 1)
     context, symbol = context[first], symbol[first]
     length = reader.lengths(symbol)
-    _, of, met = np.unique(context, return_inverse=True, return_counts=True)
     # A context that only one symbol follows has nothing against it, all along one run; others are counted.
-    lone, some = np.flatnonzero(met[of] == 1), np.flatnonzero(met[of] > 1)
+    by, begins = neighbours(context)
+    ends = np.append(begins[1:], True)[: len(by)]
+    alone = np.empty(len(by), bool)
+    alone[by] = begins & ends
+    lone, some = np.flatnonzero(alone), np.flatnonzero(~alone)
     size = length[some]
-    step = reader.of(symbol[some], size)
     # Four to eight slots for a decision that was counted.
     bits = max(10, int(size[n[some] > 0].sum()).bit_length() + 2)
-    slot = mixed(np.repeat(context[some], size) + (step >> np.uint32(1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    slot = (slot >> np.uint64(64 - bits)).astype(np.int64) * 2 + (step & np.uint32(1))
     counts = np.zeros(2 << bits, np.uint32)
-    np.add.at(counts, slot, np.repeat(n[some], size))
-    no, yes = counts[slot ^ 1], counts[slot]
-    both = sided(states(no, yes), states(no, yes - np.repeat(one[some], size)))
     heads = np.cumsum(size) - size
+    slot = np.empty(int(size.sum()), np.int64)
+    both = np.empty(len(slot), np.uint16)
+    # Few at once, which stay in the processor's cache.
+    cuts = [*range(0, len(some), COUNTED), len(some)]
+    parts = [(some[x:y], slice(int(heads[x]), int(heads[y - 1] + size[y - 1]))) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    for own, at in parts:
+        step = reader.of(symbol[own], length[own])
+        made = (step >> np.uint32(1)).astype(np.uint64)
+        made *= np.uint64(0x9E3779B97F4A7C15)
+        made += np.repeat(context[own], length[own])
+        made = mixed(made)
+        made >>= np.uint64(64 - bits)
+        made <<= np.uint64(1)
+        made += step & np.uint32(1)
+        slot[at] = made
+        np.add.at(counts, slot[at], np.repeat(n[own], length[own]))
+    counts = counts.view("<i8")
+    for own, at in parts:
+        # Both answers of a node in one look.
+        told = counts[slot[at] >> 1]
+        yes, high = told & 0xFFFFFFFF, told >> 32
+        no = yes + high
+        np.copyto(yes, high, where=(slot[at] & 1).astype(bool))
+        no -= yes
+        both[at] = both_states(no, yes, np.repeat(one[own], length[own]))
     begins = np.ones(len(both), bool)
-    begins[1:] = both[1:] != both[:-1]
+    np.not_equal(both[1:], both[:-1], out=begins[1:])
     begins[heads] = True
     begin = np.flatnonzero(begins)
     number = np.ones(len(symbol), np.int64)
     number[some] = np.diff(np.searchsorted(begin, np.append(heads, len(both))))
-    place = np.cumsum(number) - number
-    state, run = np.empty(int(number.sum()), np.uint16), np.empty(int(number.sum()), np.int64)
-    none = np.zeros(len(lone), np.uint32)
-    state[place[lone]], run[place[lone]] = sided(states(none, n[lone]), states(none, (n - one)[lone])), length[lone]
-    inside = spread(place[some], number[some])
-    state[inside], run[inside] = both[begin], np.diff(np.append(begin, len(both)))
-    at = 0
-    for x in asked:
-        own = pair[at : at + len(x[0])]
-        at += len(own)
-        runs = spread(place[own], number[own])
-        yield number[own], run[runs], (state[runs] & np.uint16(255)).astype(np.uint8), (state[runs] >> np.uint16(8)).astype(np.uint8)
+    # The runs of counted pairs, then those of the others.
+    place = np.empty(len(symbol), np.int64)
+    place[some] = np.cumsum(number[some]) - number[some]
+    place[lone] = len(begin) + np.arange(len(lone))
+    n, one = n[lone].astype(np.int64), one[lone]
+    state = np.concatenate([both[begin], both_states(np.zeros(len(lone), np.int64), n, one)])
+    run = np.concatenate([np.diff(np.append(begin, len(both))), length[lone]]).astype(np.uint8)
+    return pair, number, place, run, state
 
 
 def sided(state, others):
@@ -555,12 +684,24 @@ _STATE = _state(*np.divmod(np.arange(_FEW * _FEW), _FEW))
 
 
 def states(no, yes):
-    many = np.flatnonzero((no >= _FEW) | (yes >= _FEW))
-    made = _STATE[(no * np.uint32(_FEW) + yes) & np.uint32(_FEW * _FEW - 1)]
+    many = np.flatnonzero((no | yes) >= _FEW)
+    made = _STATE.take(no.astype(np.int64) * _FEW + yes, mode="clip")
     made[many] = _state(no[many], yes[many])
     return made
 
 
+def both_states(no, yes, one):
+    """The states of all counts, and of those without `one`, together; `no` and `yes` are 64-bit numbers."""
+    many, place = np.flatnonzero((no | yes) >= _FEW), no * _FEW
+    place += yes
+    state = _STATE.take(place, mode="clip")
+    place -= one
+    others = _STATE.take(place, mode="clip")
+    no, yes, one = no[many], yes[many], one[many]
+    state[many], others[many] = _state(no, yes), _state(no, yes - one)
+    return sided(state, others)
+
+
 def _answered(texts: DataFrame, model, buckets: int, k: int, passes: int) -> DataFrame:
     """Of one of the contexts, a row a batch and bucket: the runs of the batch's pairs, their states and, as `others`, how
     far the states without one text are from them, all packed. `part`: the batch's pass."""
@@ -568,24 +709,24 @@ def _answered(texts: DataFrame, model, buckets: int, k: int, passes: int) -> Dat
     def deal(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        reader = Decisions(model.value)
+        reader = model.value.reader
         for b in batches:
             for batch, heads, symbols in _rows(b, "batch", "heads", "blob"):
                 held = Texts(model.value, reader, heads, symbols, buckets)
-                said, bucket, pair, again = held.pairs(k)
-                n, more = (np.bincount(pair[x], minlength=len(bucket)).astype(np.uint32) for x in (held.training, held.training & again))
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+                said, group, pair, again = held.pairs(k)
+                n, more = (np.bincount(pair[x], minlength=len(group)).astype(np.uint32) for x in (held.training, held.training & again))
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]) if len(group) else np.zeros(1, np.int64)
                 blobs = [planes([*[c[x:y] for c in said], n[x:y], more[x:y]]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
                 size = len(blobs)
                 yield pa.record_batch(
-                    [pa.array([batch] * size, pa.int64()), pa.array(bucket[cuts[:-1]] if size else [], pa.int64()), pa.array(blobs, pa.binary())],
+                    [pa.array([batch] * size, pa.int64()), pa.array(group[cuts[:-1]] if size else [], pa.int64()), pa.array(blobs, pa.binary())],
                     ["batch", "bucket", "blob"],
                 )
 
     def answer(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        reader = Decisions(model.value)
+        reader = model.value.reader
         key, rows, asked = None, [], []
 
         def made(some):
@@ -598,7 +739,7 @@ def _answered(texts: DataFrame, model, buckets: int, k: int, passes: int) -> Dat
 
         def told():
             some = []
-            for batch, (number, size, state, others) in zip(rows, answer_runs(reader, asked), strict=True):
+            for batch, (number, size, state, others) in zip(rows, answer_runs(reader, asked, buckets), strict=True):
                 some.append((batch, packed(told_runs(number, size)), packed(state.tobytes()), packed(beyond(state, others))))
                 if len(some) == 500:
                     yield made(some)
@@ -642,25 +783,22 @@ def _asked(texts: DataFrame, told: DataFrame, part: int, passes: int, others: bo
     return own.unionByName(told).repartition(number, "batch").sortWithinPartitions("batch", "context", "bucket")
 
 
-def _placed(batches: Iterator, model: Model, buckets: int) -> Iterator:
-    """Each batch of texts and, of both contexts, the states of its decisions; those without one text where they are told."""
-    reader, held = Decisions(model), None
-
-    def told():
-        return held, [held.placed(k, *found[k]) for k in range(2)]
-
+def _told(batches: Iterator, model: Model, buckets: int) -> Iterator:
+    """Each batch of texts and, of both contexts, runs and states of its pairs; the states without one text where they are
+    told."""
+    held = None
     for b in batches:
         for _, context, _, heads, runs, states, others in _rows(b, *b.schema.names):
             if context < 0:
                 if held:
-                    yield told()
-                held, found = Texts(model, reader, heads, runs, buckets), [([], []), ([], [])]
+                    yield held, found
+                held, found = Texts(model, model.reader, heads, runs, buckets), [([], []), ([], [])]
             else:
                 found[context][0].append(unpacked(runs))
                 state = unpacked(states)
                 found[context][1].append(state if others is None else without(state, unpacked(others)))
     if held:
-        yield told()
+        yield held, found
 
 
 def _cells(asked: DataFrame, model, buckets: int) -> DataFrame:
@@ -670,9 +808,9 @@ def _cells(asked: DataFrame, model, buckets: int) -> DataFrame:
         import pyarrow as pa
 
         cells = None
-        for held, (one, two) in _placed(batches, model.value, buckets):
+        for held, found in _told(batches, model.value, buckets):
             cells = np.zeros(CELLS, np.int64) if cells is None else cells
-            _add(cells, held, one, two)
+            _add(cells, held, *found)
         if cells is not None:
             used = np.flatnonzero(cells)
             for at in range(0, len(used), 10_000):
@@ -682,18 +820,24 @@ def _cells(asked: DataFrame, model, buckets: int) -> DataFrame:
     return asked.mapInArrow(add, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def _add(cells: np.ndarray, texts: Texts, one: np.ndarray, two: np.ndarray) -> None:
-    """Adds the decisions of the training texts to the cells of what they get."""
+def _add(cells: np.ndarray, texts: Texts, one: tuple[list[bytes], list[bytes]], two: tuple[list[bytes], list[bytes]]) -> None:
+    """Adds the decisions of the training texts to the cells of what they get. The pair of the longer context tells that of
+    the shorter one, so each is looked at once and counts as often as the texts have it."""
     reader = texts.reader
-    own = (np.clip(np.round(reader.sided() / 4), -31, 31).astype(np.int32) + 32) << 16
-    length, done = reader.lengths(texts.symbols), 0
-    for at in range(0, len(length), LEARN):
-        size = length[at : at + LEARN]
-        cell = own[reader.places(texts.symbols[at : at + LEARN], size)]
-        cell += one[done : done + len(cell)].astype(np.int32) << 8
-        cell += two[done : done + len(cell)]
-        done += len(cell)
-        cells += np.bincount(cell[np.repeat(texts.training[at : at + LEARN], size)], minlength=CELLS)
+    said, _, pair, _ = texts.pairs(1)
+    n = np.bincount(pair[texts.training], minlength=len(said[0]))
+    length, (number, size, begin, state) = reader.lengths(said[0]), texts.runs(said[0], *two)
+    symbol, other = said[0], np.zeros(len(said[0]), np.int64)
+    said, _, shorter, _ = texts.pairs(0)
+    other[pair] = shorter
+    runs = texts.runs(said[0], *one)
+    some = np.flatnonzero(n)
+    for at in range(0, len(some), LEARN):
+        own = some[at : at + LEARN]
+        cell = reader.celled[reader.places(symbol[own], length[own])].astype(np.int64) << 16
+        cell += dealt(other[own], *runs).astype(np.int64) << 8
+        cell += dealt(own, number, size, begin, state)
+        np.add.at(cells, cell, np.repeat(n[own], length[own]))
 
 
 class Mixer:
@@ -701,50 +845,61 @@ class Mixer:
     drift of the weights follows its errors. Log-odds are those of the right answer."""
 
     def __init__(self, model: Model, weights: np.ndarray):
-        self.reader = Decisions(model)
-        self.own = (self.reader.sided() / 16).astype(np.float32)
-        # By state: what it has seen is above its log-odds and does not change them.
-        self.stretch = np.tile(((np.arange(64) - 32) / 4).astype(np.float32), 4)
-        self.weights = np.ascontiguousarray(weights.T, np.float32)
+        self.reader, self.weights = model.reader, np.ascontiguousarray(weights.T, np.float32)
 
     def costs(self, sizes: np.ndarray, symbols: np.ndarray, states: list[np.ndarray]) -> np.ndarray:
         end = np.cumsum(sizes)
         begin, length = end - sizes, self.reader.lengths(symbols)
-        places = np.cumsum(length) - length
+        # Where the decisions of the symbols begin.
+        places = np.append(0, np.cumsum(length))
         drift, total = np.zeros((3, len(sizes)), np.float32), np.zeros(len(sizes))
         for at in range(0, int(sizes.max(initial=0)), BLOCK):
             live = np.flatnonzero(sizes > at)
             first = begin[live] + at
-            n = np.minimum(end[live] - first, BLOCK)
+            last = np.minimum(end[live], first + BLOCK)
             # As many texts at once as fill a slice.
-            cuts = np.flatnonzero(np.diff((np.cumsum(n) - 1) // SLICE)) + 1
-            for some, f, k in zip(np.split(live, cuts), np.split(first, cuts), np.split(n, cuts), strict=True):
-                index = spread(f, k)
-                own = length[index]
-                sums = np.add.reduceat(own, np.cumsum(k) - k)
-                place = spread(places[f], sums)
-                self._block(self.reader.places(symbols[index], own), [x[place] for x in states], some, sums, drift, total)
+            cuts = np.flatnonzero(np.diff((np.cumsum(last - first) - 1) // SLICE)) + 1
+            for some, f, t in zip(np.split(live, cuts), np.split(first, cuts), np.split(last, cuts), strict=True):
+                said = [slice(*x) for x in zip(f.tolist(), t.tolist(), strict=True)]
+                made = [slice(*x) for x in zip(places[f].tolist(), places[t].tolist(), strict=True)]
+                where = self.reader.places(np.concatenate([symbols[x] for x in said]), np.concatenate([length[x] for x in said]))
+                own = self.reader.sided[where].astype(np.float32)
+                own *= np.float32(1 / 16)
+                told = [np.concatenate([x[y] for y in made]) for x in states]
+                self._block(own, told, some, places[t] - places[f], drift, total, (end[some] > t).any())
         return total
 
-    def _block(self, places, states, live, sizes, drift, total) -> None:
-        inputs = [self.own[places], *[self.stretch[s] for s in states]]
-        gate = (states[0] >> 6) * np.uint8(4) + (states[1] >> 6)
+    def _block(self, own, states, live, sizes, drift, total, more) -> None:
+        """`more`: one of the texts goes on."""
+        inputs = [own]
+        for x in states:
+            # What a state has seen is above its log-odds.
+            made = (x & np.uint8(63)).astype(np.float32)
+            made -= np.float32(32)
+            made *= np.float32(0.25)
+            inputs.append(made)
+        gate = states[0] >> np.uint8(6) << np.uint8(2)
+        gate |= states[1] >> np.uint8(6)
         heads = np.cumsum(sizes) - sizes
-        mixed = np.zeros(len(places), np.float32)
+        mixed = np.zeros(len(own), np.float32)
         moved = drift[:, live].any()
         for k, x in enumerate(inputs):
-            weight = self.weights[k][gate]
+            weight = self.weights[k].take(gate, mode="clip")
             if moved:
                 weight += np.repeat(drift[k, live], sizes)
             weight *= x
             mixed += weight
         np.clip(mixed, -9, 9, out=mixed)
-        hit = np.exp(-mixed)
+        np.negative(mixed, out=mixed)
+        hit = np.exp(mixed, out=mixed)
         hit += np.float32(1)
         total[live] += np.add.reduceat(np.log(hit), heads, dtype=np.float64)
+        if not more:
+            return
         miss = np.float32(1) - np.float32(1) / hit
         for k, x in enumerate(inputs):
-            drift[k, live] = np.clip(drift[k, live] + np.float32(RATE) * np.add.reduceat(miss * x, heads), -0.5, 0.5)
+            x *= miss
+            drift[k, live] = np.clip(drift[k, live] + np.float32(RATE) * np.add.reduceat(x, heads), -0.5, 0.5)
 
 
 def fitted(own: np.ndarray, one: np.ndarray, two: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -795,42 +950,42 @@ def coded_texts(docs: DataFrame, model) -> DataFrame:
 
     def code(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        coder = Coder(model.value)
+        coder = model.value.coder
         row = TaskContext.get().partitionId() << 40
         for batch in _small(batches):
-            size, texts = batch.num_rows, batch.column(2).to_pylist()
-            told, known, base, others, made = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), [[] for _ in texts], [[] for _ in texts]
+            size, texts = batch.num_rows, batch.column(2)
+            told, known, base, missed = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size, np.int64)
+            others, made = [pa.array([], pa.binary())], [np.zeros(0, np.int32)]
             for held in _parts(texts):
-                words: list[bytes] = []
-                ends = []
-                for _, piece, last in held:
-                    words += tokens(piece)
-                    if last:
-                        words.append(END_WORD)
-                    ends.append(len(words))
-                of, (missing, value, known_, symbols) = np.array([at for at, _, _ in held]), coder.coded(words)
-                number = np.diff([0, *ends])
-                part = np.repeat(of, number)
+                of, some, last = zip(*held, strict=True)
+                words, number = split(some)
+                # The end marks stand behind the words of last pieces.
+                ended, ends = np.array(last), np.cumsum(number)
+                order = np.insert(np.arange(len(words)), ends[ended], len(words))
+                words = pa.concat_arrays([words, pa.array([END_WORD], pa.binary())]).take(pa.array(order))
+                part = np.repeat(of, number + ended)
+                missing, value, known_, symbols = coder.coded(words)
                 told += np.bincount(part, minlength=size)
                 known += np.bincount(part, known_, size).astype(np.int64)
                 base += np.bincount(part, value, size)
-                for i, at in zip(missing.tolist(), part[missing].tolist(), strict=True):
-                    others[at].append(words[i])
-                for at, x, y in zip(of.tolist(), [0, *ends], ends, strict=False):
-                    made[at].append(symbols[x:y].tobytes())
+                missed += np.bincount(part[missing], minlength=size)
+                others.append(words.take(pa.array(missing)))
+                made.append(symbols)
+            starts = np.append(0, np.cumsum(told) * 4).astype(np.int32)
             yield pa.record_batch(
                 [
                     pa.array(np.arange(row, row + size)),
                     batch.column(0),
                     batch.column(1),
-                    pa.array([len(t) for t in texts], pa.int64()),
+                    pc.binary_length(texts).cast(pa.int64()),
                     pa.array(told),
                     pa.array(known),
                     pa.array(base),
-                    pa.array(others, pa.list_(pa.binary())),
-                    pa.array([b"".join(x) for x in made], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(missed)), pa.int32()), pa.concat_arrays(others)),
+                    pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(starts), pa.py_buffer(np.concatenate(made))]),
                 ],
                 [x.split()[0] for x in _CODED.split(", ")],
             )
@@ -852,14 +1007,14 @@ def _small(batches: Iterator) -> Iterator:
             yield batch.slice(at, ROWS)
 
 
-def _parts(texts: list[bytes]) -> Iterator[list[tuple[int, bytes, bool]]]:
-    """Pieces of texts (number, piece, whether it is the last), together of about a piece's size."""
+def _parts(texts) -> Iterator[list[tuple[int, bytes, bool]]]:
+    """Pieces of texts (number, piece, whether it is the last), together of about `READ` bytes."""
     held, size = [], 0
     for at, text in enumerate(texts):
-        for piece, last in pieces(text):
+        for piece, last in pieces(text.as_py()):
             held.append((at, piece, last))
             size += len(piece)
-            if size >= PIECE:
+            if size >= READ:
                 yield held
                 held, size = [], 0
     if held:
@@ -871,6 +1026,7 @@ def _batches(rows: DataFrame, model) -> DataFrame:
 
     def gather(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         held, size, number = [], 0, TaskContext.get().partitionId() << 40
@@ -886,10 +1042,15 @@ def _batches(rows: DataFrame, model) -> DataFrame:
             return made
 
         for batch in _small(batches):
-            for row, remainder, symbols, others, numbers in _rows(batch, "row", "remainder", "symbols", "others", "numbers"):
-                made = filled(model.value, np.frombuffer(symbols, "<i4"), others, [None if n < 0 else n for n in numbers or ()])
-                held.append((row, remainder > 0, made))
-                size += len(made)
+            symbols, others, numbers = (batch.column(n) for n in ("symbols", "others", "numbers"))
+            words, given = others.flatten(), numbers.flatten().to_numpy().astype(np.int64)
+            letters = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, int((given < 0).sum())], pa.int32()), words.filter(pa.array(given < 0))), b"")[0].as_py()
+            blob = np.frombuffer(b"".join(symbols.to_pylist()), "<i4")
+            made, ends = filled_in(model.value, blob, pc.binary_length(words).to_numpy().astype(np.int64), letters, given)
+            ends = np.append(0, ends)[np.append(0, np.cumsum(pc.binary_length(symbols).to_numpy() // 4))].tolist()
+            for row, training, x, y in zip(batch.column("row").to_pylist(), batch.column("remainder").to_pylist(), ends[:-1], ends[1:], strict=True):
+                held.append((row, training > 0, made[x:y]))
+                size += y - x
                 if size >= BATCH:
                     yield told()
         if held:
@@ -931,7 +1092,8 @@ def scores(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         mixer = Mixer(model.value, weights)
-        for held, states in _placed(batches, model.value, buckets):
+        for held, found in _told(batches, model.value, buckets):
+            states = [held.placed(k, *x) for k, x in enumerate(found)]
             row, _, sizes = np.frombuffer(held.heads, "<i8").reshape(3, -1)
             yield pa.record_batch([pa.array(row), pa.array(-mixer.costs(sizes, held.symbols, states) / math.log(10))], ["row", "score"])
 
