@@ -431,7 +431,7 @@ class Texts:
     a symbol, in the order of their buckets."""
 
     def __init__(self, model: Model, reader: Decisions, heads: bytes, symbols: bytes, buckets: int):
-        self.heads, self.symbols = heads, np.frombuffer(symbols, "<i4")
+        self.heads, self.symbols = heads, columns(symbols, 1)[0].astype(np.int32)
         _, training, sizes = np.frombuffer(heads, "<i8").reshape(3, -1)
         end = np.cumsum(sizes + 2)
         begin = end - sizes
@@ -511,7 +511,7 @@ def paired(context, symbol):
 def packed(data: bytes) -> bytes:
     import pyarrow as pa
 
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(data, asbytes=True)
 
 
 def unpacked(data: bytes) -> bytes:
@@ -1035,7 +1035,7 @@ def _batches(rows: DataFrame, model) -> DataFrame:
             nonlocal number, size
             row, training, symbols = zip(*held, strict=True)
             heads = np.array([row, training, [len(x) for x in symbols]], "<i8").tobytes()
-            made = pa.record_batch([pa.array([number], pa.int64()), pa.array([heads], pa.binary()), pa.array([np.concatenate(symbols).tobytes()], pa.binary())], ["batch", "heads", "blob"])
+            made = pa.record_batch([pa.array([number], pa.int64()), pa.array([heads], pa.binary()), pa.array([planes([np.concatenate(symbols)])], pa.binary())], ["batch", "heads", "blob"])
             number += 1
             held.clear()
             size = 0

@@ -319,6 +319,62 @@ def test_answers_come_back_from_runs():
         assert (np.repeat(np.concatenate(made), size) == np.concatenate([x[k] for x in wanted])).all()
 
 
+def test_rows_do_not_grow_with_buckets_times_batches(spark, monkeypatch):
+    """A batch has a row for each group of buckets."""
+    kept, rows = mixing.staged, []
+
+    def staged(df, name, *a, **b):
+        made = kept(df, name, *a, **b)
+        if name == "answers":
+            rows.append(made.groupBy("batch").count().agg(F.max("count")).first()[0])
+        return made
+
+    monkeypatch.setattr(mixing, "staged", staged)
+    monkeypatch.setattr(mixing, "BUCKET", 500)
+    monkeypatch.setattr(mixing, "BATCH", 3000)
+    docs = spark.createDataFrame([(i, prose(i, 40)) for i in range(400)], "doc_id long, text string")
+    buckets = mixing.scores(docs).first().train_tokens / 500
+    assert 1.5 * mixing.GROUP < buckets < 2 * mixing.GROUP and len(rows) == 2 and max(rows) == 2
+
+
+def test_buckets_of_a_group_have_slots_of_their_own():
+    model = mixing.Model([b"a", b"b"], np.array([3, 2, 1]), 6, 3, *mixing.coded(np.arange(2 + 256 + 4) + 1))
+    reader, r, asked = mixing.Decisions(model), np.random.default_rng(4), []
+    for size in (700, 1, 300):
+        n = r.integers(0, 100, size).astype(np.uint32)
+        context = mixing.mixed(r.integers(1, 60, size).astype(np.uint64))
+        asked.append((context, r.integers(0, 262, size).astype(np.int32), n, np.minimum(n, 2)))
+    bucket = [mixing.bucketed(x[0], 5) for x in asked]
+    together = [(np.split(np.repeat(state, size), np.cumsum(reader.lengths(x[1]))[:-1])) for x, (_, size, state, _) in zip(asked, mixing.answer_runs(reader, asked, 5), strict=True)]
+    for k in range(5):
+        some = [np.flatnonzero(b == k) for b in bucket]
+        own = [tuple(c[at] for c in x) for x, at in zip(asked, some, strict=True)]
+        for at, told, (_, size, state, _) in zip(some, together, mixing.answer_runs(reader, own), strict=True):
+            assert np.repeat(state, size).tolist() == [x for i in at for x in told[i].tolist()]
+
+
+def test_tables_of_the_tree_are_made_once_a_worker():
+    model = mixing.Model([b"a", b"b"], np.array([3, 2, 1]), 6, 3, *mixing.coded(np.ones(2 + 256 + 4, np.int64)))
+    assert model.reader is model.reader and model.reader.sided is model.reader.sided and model.coder is model.coder
+
+
+def test_words_are_told_apart_in_bulk():
+    r, some = random.Random(5), [b" ", b"\n", b"\t", b"\x0b", b"\x0c", b"\r", b"a", b"B", b"Zz", "Ä\u2003\x85".encode(), b"\x1c", b"\x00", b"\xff"]
+    for _ in range(300):
+        parts = [b"".join(r.choices(some, k=r.randint(0, 12))) for _ in range(r.randint(0, 5))]
+        words, number = mixing.split(parts)
+        assert words.to_pylist() == [w for p in parts for w in mixing.tokens(p)]
+        assert number.tolist() == [len(mixing.tokens(p)) for p in parts]
+
+
+@pytest.mark.parametrize("keys", [[], [7], [5, 5], [1 << 60, 1 << 60 | 1, 1 << 60, 3, 1 << 60 | 1, 3]])
+def test_equal_keys_stand_together(keys):
+    """Also where different keys have like high bits."""
+    by, begins = mixing.neighbours(np.array(keys, np.uint64))
+    assert [keys[i] for i in by] == sorted(keys) and by.tolist() == sorted(range(len(keys)), key=lambda i: keys[i])
+    assert begins.sum() == len(set(keys))
+
+
 def test_scores_leave_little_on_disk(spark, monkeypatch, tmp_path):
     """What nothing reads any more is gone, and so is what a step has shuffled when it ends."""
     kept, held = mixing.staged, []
