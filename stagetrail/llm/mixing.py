@@ -14,9 +14,9 @@ weights that cost least are found. Words are numbered by frequency, so a score d
 broadcast is the tree over the `VOCABULARY`
 most frequent words; every other word seen twice has a number, joined by word, and is the tree's mark for such words
 and the digits of its number, so the words with a code grow with the input. Decision counts are kept by context: each
-batch of texts deals its distinct (context, symbol) pairs to buckets, whose number grows with the training words; a
-bucket counts, and answers each batch with what its pairs' decisions have seen, in all texts and without one, as runs of
-decisions that have seen alike. A bucket has four slots or more for each of its own decisions, so they are no fuller on
+batch of texts deals its distinct (context, symbol) pairs to buckets, whose number grows with the training words, a row for
+each group of buckets; a bucket counts, and answers each batch with what its pairs' decisions have seen, in all texts and
+without one, as runs of decisions that have seen alike. A bucket has four slots or more for each of its own decisions, so they are no fuller on
 more text, and a frequent context costs a batch one row per symbol that follows it. Answers are staged by pair, and meet
 their texts in `PASSES` parts of the batches, once for the weights and once for the scores.
 
@@ -703,7 +703,7 @@ def both_states(no, yes, one):
 
 
 def _answered(texts: DataFrame, model, buckets: int, k: int, passes: int) -> DataFrame:
-    """Of one of the contexts, a row a batch and bucket: the runs of the batch's pairs, their states and, as `others`, how
+    """Of one of the contexts, a row a batch and group of buckets: the runs of the batch's pairs, their states and, as `others`, how
     far the states without one text are from them, all packed. `part`: the batch's pass."""
 
     def deal(batches: Iterator) -> Iterator:
